@@ -24,7 +24,7 @@ from lexmill.llm.common import small_batches
 #: Characters of text that are split into pre-tokens and looked up together.
 BLOCK_CHARS = 1 << 20
 #: Merged pre-tokens that a worker remembers before it starts afresh.
-MEMO = 100_000
+MEMO = 300_000
 #: A vocabulary goes to every executor; one of more bytes is refused.
 MAX_VOCAB_BYTES = 64 << 20
 
@@ -108,6 +108,7 @@ class Vocabulary:
         for key, slot in zip(keys, self.hash.slot_of.tolist(), strict=True):
             self.rank_at[slot] = ranks[key]
         self.pattern, self.ranks = pattern, ranks
+        self.packed = {k: r.to_bytes(4, "little") for k, r in ranks.items()}
         self.token = {r: k for k, r in ranks.items()}
         self._split, self._merged = None, {}
 
@@ -124,27 +125,41 @@ class Vocabulary:
         at = self.rank_at
         return [at[s] if s >= 0 else -1 for s in self.hash.lookup(parts)]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Merge the bytes of one pre-token, lowest rank first and leftmost among equals."""
-        n = len(piece)
-        right, left, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        ranks = self.ranks
-        heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
+    def merge(self, piece: bytes) -> bytes:
+        """Merge the bytes of one pre-token, lowest rank first and leftmost among equals; the ids packed.
+
+        ``right`` and ``left`` link each part's first byte to the next and the previous part; a merged part's
+        entry is len(piece). A heap entry holds rank, start and end of a possible merge in one integer.
+        """
+        n, get, pop, push = len(piece), self.ranks.get, heapq.heappop, heapq.heappush
+        k = n.bit_length()
+        low = (1 << k) - 1
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            if (r := get(piece[i : i + 2])) is not None:
+                heap.append((r << k | i) << k | i + 2)
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
-            if not alive[i] or right[i] >= n or right[right[i]] != end:
-                continue  # one of its two parts has been merged since
+            x = pop(heap)
+            end, i = x & low, x >> k & low
             gone = right[i]
-            alive[gone], right[i] = False, end
+            if gone >= n or right[gone] != end:
+                continue  # one of its two parts has been merged since
+            right[i], right[gone] = end, n
+            before = left[i]
+            if before >= 0 and (r := get(piece[before:end])) is not None:
+                push(heap, (r << k | before) << k | end)
             if end < n:
                 left[end] = i
-            before = left[i]
-            if before >= 0 and (r := ranks.get(piece[before:end])) is not None:
-                heapq.heappush(heap, (r, before, end))
-            if end < n and (r := ranks.get(piece[i : right[end]])) is not None:
-                heapq.heappush(heap, (r, i, right[end]))
-        return [ranks[piece[i : right[i]]] for i in range(n) if alive[i]]
+                after = right[end]
+                if (r := get(piece[i:after])) is not None:
+                    push(heap, (r << k | i) << k | after)
+        parts, i = [], 0
+        while i < n:
+            parts.append(self.packed[piece[i : right[i]]])
+            i = right[i]
+        return b"".join(parts)
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit integers."""
@@ -160,7 +175,7 @@ class Vocabulary:
             elif (ids := merged.get(raw)) is not None:
                 packed[p] = ids
             else:
-                packed[p] = merged[raw] = np.array(self.merge(raw), "<u4").tobytes()
+                packed[p] = merged[raw] = self.merge(raw)
         return [b"".join(map(packed.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: bytes) -> bytes:
