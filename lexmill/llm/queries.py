@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, mixing, quality_rules, urlfilter
-from lexmill.llm.common import read_table
+from lexmill.llm import bpe, chat, mixing, quality_rules, urlfilter, warc
+from lexmill.llm.common import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             or 100 * n_dup_lines > 50 * n_lines or 100 * n_upper > 50 * word_chars) as kept
 from b
 """
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lexmill-warc-{uuid.uuid4().hex}"
+    warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), path)
+    own = F.regexp_extract("record_id", r"^<urn:page:(-?\d*)>$", 1)
+    # responses are read whole and measured; of revisits, whose payload is elsewhere, only the headers are
+    whole = warc.read_warc(spark, path).where("record_type = 'response'")
+    whole = whole.select(own.alias("id"), F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    again = again.select(own.alias("id"), F.col("payload_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", "refers_to")
+    to = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
+    return whole.unionByName(again).select(F.col("id").try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", to.alias("refers_to"))
+
+
+ORACLES["op10_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h)) as n, sha256(h) as digest from p),
+f as (select *, min(page_id) over (partition by digest) as first from d)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when n >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id <> first then first end as refers_to
+from f
+"""
