@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, linededup, mixing, quality_rules, urlfilter, warc
+from lexmill.llm import bpe, chat, linededup, minhash, mixing, quality_rules, urlfilter, warc
 from lexmill.llm.common import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,6 +108,30 @@ from e group by conv_id
 """
 
 
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+ORACLES["op6_minhash"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) < 2 then [array_to_string(w, ' ')] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g
+  from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+e2 as (select a, b from e union all select b, a from e),
+r(id, root) as (select doc_id, doc_id from documents union select e2.b, r.root from r join e2 on r.id = e2.a),
+c as (select id, min(root) as component_id from r group by id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents left join n using (doc_id) join c on c.id = doc_id
+"""
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
