@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, linededup, minhash, mixing, quality_rules, urlfilter, warc
+from lexmill.llm import bpe, chat, classifier, embeddings, linededup, minhash, mixing, quality_rules, urlfilter, warc
 from lexmill.llm.common import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,30 @@ from documents left join n using (doc_id) join c on c.id = doc_id
 """
 
 
+@query
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read_table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return classifier.classify(read_table(spark, sf_dir, "documents"), trusted)
+
+
+@query
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_embeddings"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+n as (select a as vec_id, count(*) as n_links from l group by a),
+r(id, root) as (select vec_id, vec_id from embeddings union select l.b, r.root from r join l on r.id = l.a),
+c as (select id, min(root) as component_id from r group by id)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from embeddings left join n using (vec_id) join c on c.id = vec_id
+"""
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
