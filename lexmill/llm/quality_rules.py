@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a condition over a text's statistics. A bounded sample shows what each costs and how much it
+Each rule is a condition on a text. A bounded sample shows what each costs and how much it
 rejects; the cascade then tries the rules in order of rejection per cost and stops at the first that fails.
 The order changes the work, never the verdict.
 """
@@ -22,100 +22,128 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` maps the text column to a boolean column: true rejects."""
+    """``fails`` maps a text column without nulls to a boolean column: true rejects."""
 
     name: str
     fails: callable
 
 
+def _let(value: F.Column, f) -> F.Column:
+    """``f`` of a value that is computed once, wherever Catalyst moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _length_without(text: F.Column, characters: str) -> F.Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def _dup_lines(text: F.Column) -> tuple[F.Column, F.Column]:
-    """Lines with a word, and how many of them equal an earlier one."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    return lines, F.size(lines) - F.size(F.array_distinct(lines))
+def n_words(text: F.Column) -> F.Column:
+    return F.size(words(text))
+
+
+def word_chars(text: F.Column) -> F.Column:
+    return _length_without(text, BLANKS)
+
+
+def n_symbols(text: F.Column) -> F.Column:
+    return F.length(text) - _length_without(text, SYMBOLS)
+
+
+def lines_with_words(text: F.Column) -> F.Column:
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+
+
+def n_dup_lines(lines: F.Column) -> F.Column:
+    """Lines that equal an earlier one."""
+    return F.size(lines) - F.size(F.array_distinct(lines))
 
 
 def _window_codes(w: F.Column) -> F.Column:
     """(hash, position) of every 3-word window, sorted: equal windows are neighbours."""
-    n = F.size(w)
-    codes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    return F.array_sort(F.when(n >= 3, codes).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    codes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    return F.sort_array(F.when(F.size(w) >= 3, codes).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
 
 
-def text_statistics(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts over each whole text (null: empty), after the ``keep`` columns.
+def _repeated(code: F.Column) -> F.Column:
+    """Positions of the windows that a neighbour equals, sorted."""
+    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+    again = F.filter(code, lambda e, k: same(F.get(code, k - 1), e) | same(F.get(code, k + 1), e))
+    return F.sort_array(F.transform(again, lambda e: e["i"]))
 
-    n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines (equal to an earlier one) and
-    n_repeat_words (words covered by 3-word windows that the text holds twice or more), all bigint, and
-    ``text``. Windows are compared by 64-bit hashes. Work and memory are linear in a text's words but for the
-    sort of its windows, so very long and very repetitive texts are counted whole.
+
+def _covered(places: F.Column) -> F.Column:
+    """Words that windows at these positions cover."""
+    following = F.slice(places, F.lit(2), F.greatest(F.size(places), F.lit(1)))
+    steps = F.zip_with(places, following, lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+
+
+def n_repeat_words(text: F.Column) -> F.Column:
+    return _let(words(text), lambda w: _let(_window_codes(w), lambda c: _let(_repeated(c), _covered)))
+
+
+def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds counts over each whole text (null: empty) to ``df``, in place of columns of the same names.
+
+    n_words, word_chars, n_symbols, n_dup_lines (lines with a word, equal to an earlier one) and n_repeat_words
+    (words covered by 3-word windows that the text holds twice or more), all bigint. Windows are compared by
+    64-bit hashes. Work and memory are linear in a text's words but for the sort of its windows, so very long
+    and very repetitive texts are counted whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = df.select(*keep, text.alias("__t")).withColumn("__w", words(F.col("__t")))
-    d = d.withColumn("__c", _window_codes(F.col("__w")))
-    code = F.col("__c")
-    again = F.filter(code, lambda e, k: F.coalesce(F.get(code, k - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get(code, k + 1)["h"] == e["h"], F.lit(False)))
-    d = d.withColumn("__r", F.array_sort(F.transform(again, lambda e: e["i"])))
-    following = F.slice("__r", F.lit(2), F.greatest(F.size("__r"), F.lit(1)))
-    covered = F.aggregate(F.zip_with("__r", following, lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
-    lines, dup = _dup_lines(F.col("__t"))
-    return d.select(
-        *keep,
-        F.size("__w").cast("bigint").alias("n_words"),
-        _length_without(F.col("__t"), BLANKS).cast("bigint").alias("word_chars"),
-        (F.length("__t") - _length_without(F.col("__t"), SYMBOLS)).cast("bigint").alias("n_symbols"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        dup.cast("bigint").alias("n_dup_lines"),
-        covered.cast("bigint").alias("n_repeat_words"),
-        F.col("__t").alias("text"),
-    )
-
-
-#: Over the columns of text_statistics. base: too short, or mostly repeated windows.
+    counts = {
+        "n_words": n_words(text),
+        "word_chars": word_chars(text),
+        "n_symbols": n_symbols(text),
+        "n_dup_lines": _let(lines_with_words(text), n_dup_lines),
+        "n_repeat_words": n_repeat_words(text),
+    }
+    return df.withColumns({name: c.cast("bigint") for name, c in counts.items()})
+
+
+#: Each looks at the text alone and counts only what it needs.
 RULES = [
-    Rule("short", lambda: F.col("n_words") < 50),
-    Rule("repeats", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    Rule("symbols", lambda: 100 * F.col("n_symbols") > 10 * F.col("n_words")),
-    Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
-    Rule("dup_lines", lambda: 100 * F.col("n_dup_lines") > 50 * F.col("n_lines")),
-    Rule("shouting", lambda: 100 * F.length(F.regexp_replace("text", r"\P{Lu}+", "")) > 50 * F.col("word_chars")),
+    Rule("short", lambda t: n_words(t) < 50),
+    Rule("repeats", lambda t: 100 * n_repeat_words(t) > 50 * n_words(t)),
+    Rule("symbols", lambda t: 100 * n_symbols(t) > 10 * n_words(t)),
+    Rule("word_length", lambda t: ~word_chars(t).between(2 * n_words(t), 20 * n_words(t))),
+    Rule("dup_lines", lambda t: _let(lines_with_words(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x))),
+    Rule("shouting", lambda t: 100 * F.length(F.regexp_replace(t, r"\P{Lu}+", "")) > 50 * word_chars(t)),
 ]
 
 
-def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Rules by rejection per cost on ``sample`` (a bounded, materialised table of statistics)."""
-    plain = sample.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(r.fails().cast("int")), F.lit(0)).alias(f"r{i}") for i, r in enumerate(rules))).first()
+def order_rules(sample: DataFrame, rules: list[Rule], text_col: str = "text") -> list[Rule]:
+    """Rules by rejection per second on ``sample``, a bounded table that is at hand. Equal scores keep their order."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     scores = []
     for i, r in enumerate(rules):
         began = time.perf_counter()
-        sample.agg(F.max(r.fails())).first()
-        cost = time.perf_counter() - began
-        scores.append((-(plain[f"r{i}"] or 0) / max(plain["n"], 1) / max(cost, 1e-6), i))
+        rejected = sample.agg(F.count_if(r.fails(text))).first()[0]
+        scores.append((-rejected / max(time.perf_counter() - began, 1e-6), i))
     return [rules[i] for _, i in sorted(scores)]
 
 
-def cascade(statistics: DataFrame, rules: list[Rule]) -> F.Column:
+def cascade(text: F.Column, rules: list[Rule]) -> F.Column:
     """The name of the first rule that rejects, null if none does; later rules are not evaluated then."""
     out = None
     for r in rules:
-        out = F.when(r.fails(), F.lit(r.name)) if out is None else out.when(r.fails(), F.lit(r.name))
+        out = F.when(r.fails(text), F.lit(r.name)) if out is None else out.when(r.fails(text), F.lit(r.name))
     return F.lit(None).cast("string") if out is None else out
 
 
-def judge(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: list[Rule] | None = None) -> DataFrame:
-    """The statistics of every text, ``rejected_by`` (the first failing rule in the order found) and ``kept``.
+def judge(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """``df`` with ``rejected_by`` (the first failing rule in the order found) and ``kept``.
 
-    Null, empty and blank texts have no words and are rejected as short. Repeated rows are judged each. An
-    empty table gives no rows. Columns of ``df`` other than ``keep`` and the text are not read.
+    Null, empty and blank texts have no words and are rejected. Repeated rows are judged each. An empty table
+    gives no rows. Columns ``rejected_by`` and ``kept`` of ``df`` are replaced. Which rule is named may change with
+    the measured order where several reject; ``kept`` never does.
     """
     rules = RULES if rules is None else rules
-    sample = text_statistics(df.select(*keep, text_col).limit(SAMPLE_ROWS), text_col, keep).cache()
+    sample = df.select(text_col).limit(SAMPLE_ROWS).cache()
     try:
-        ordered = order_rules(sample, rules)
+        sample.count()
+        ordered = order_rules(sample, rules, text_col)
     finally:
         sample.unpersist()
-    stats = text_statistics(df, text_col, keep)
-    return stats.withColumn("rejected_by", cascade(stats, ordered)).withColumn("kept", F.col("rejected_by").isNull())
+    verdict = cascade(F.coalesce(F.col(text_col), F.lit("")), ordered)
+    return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
