@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` maps a text column without nulls to a boolean column: true rejects."""
+    """``fails`` maps a text column without nulls and the array of its words to a boolean column: true rejects."""
 
     name: str
     fails: callable
@@ -37,10 +37,6 @@ def _length_without(text: F.Column, characters: str) -> F.Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def n_words(text: F.Column) -> F.Column:
-    return F.size(words(text))
-
-
 def word_chars(text: F.Column) -> F.Column:
     return _length_without(text, BLANKS)
 
@@ -58,28 +54,35 @@ def n_dup_lines(lines: F.Column) -> F.Column:
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
-def _window_codes(w: F.Column) -> F.Column:
-    """(hash, position) of every 3-word window, sorted: equal windows are neighbours."""
-    codes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    return F.sort_array(F.when(F.size(w) >= 3, codes).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+def n_repeat_words(w: F.Column) -> F.Column:
+    """Words covered by 3-word windows that ``w`` holds twice or more.
+
+    A window is a number: as many low bits as the positions need hold its position, the others bits of its
+    hash. Sorted, equal windows are neighbours, and the gaps between their positions tell what they cover.
+    """
+    n = F.size(w) - 2
+
+    def counted(bits: F.Column) -> F.Column:
+        code = lambda i: F.call_function("shiftleft", F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("bigint"))
+        codes = F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), code))
+        return _let(codes, lambda c: _let(_repeated(c, bits), _covered))
+
+    return F.when(n >= 2, _let(F.length(F.bin(n)), counted)).otherwise(F.lit(0))
 
 
-def _repeated(code: F.Column) -> F.Column:
-    """Positions of the windows that a neighbour equals, sorted."""
-    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    again = F.filter(code, lambda e, k: same(F.get(code, k - 1), e) | same(F.get(code, k + 1), e))
-    return F.sort_array(F.transform(again, lambda e: e["i"]))
+def _repeated(c: F.Column, bits: F.Column) -> F.Column:
+    """Positions of the windows that equal a neighbour, sorted."""
+    pairs = F.filter(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.call_function("shiftright", F.get(c, k - 1).bitwiseXOR(F.get(c, k)), bits) == 0)
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)
+    both = F.transform(pairs, lambda k: F.array(place(F.get(c, k - 1)), place(F.get(c, k))))
+    return F.sort_array(F.array_distinct(F.flatten(both)))
 
 
 def _covered(places: F.Column) -> F.Column:
     """Words that windows at these positions cover."""
     following = F.slice(places, F.lit(2), F.greatest(F.size(places), F.lit(1)))
     steps = F.zip_with(places, following, lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
-    return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-
-
-def n_repeat_words(text: F.Column) -> F.Column:
-    return _let(words(text), lambda w: _let(_window_codes(w), lambda c: _let(_repeated(c), _covered)))
+    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda s, x: s + x).cast("int")
 
 
 def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,28 +90,28 @@ def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word, equal to an earlier one) and n_repeat_words
     (words covered by 3-word windows that the text holds twice or more), all bigint. Windows are compared by
-    64-bit hashes. Work and memory are linear in a text's words but for the sort of its windows, so very long
+    64-bit hashes, less the bits that number the text's windows. Work and memory are linear in a text's words but for the sort of its windows, so very long
     and very repetitive texts are counted whole.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     counts = {
-        "n_words": n_words(text),
+        "n_words": F.size(words(text)),
         "word_chars": word_chars(text),
         "n_symbols": n_symbols(text),
         "n_dup_lines": _let(lines_with_words(text), n_dup_lines),
-        "n_repeat_words": n_repeat_words(text),
+        "n_repeat_words": _let(words(text), n_repeat_words),
     }
     return df.withColumns({name: c.cast("bigint") for name, c in counts.items()})
 
 
-#: Each looks at the text alone and counts only what it needs.
+#: Each looks at the text and its words, and counts only what it needs.
 RULES = [
-    Rule("short", lambda t: n_words(t) < 50),
-    Rule("repeats", lambda t: 100 * n_repeat_words(t) > 50 * n_words(t)),
-    Rule("symbols", lambda t: 100 * n_symbols(t) > 10 * n_words(t)),
-    Rule("word_length", lambda t: ~word_chars(t).between(2 * n_words(t), 20 * n_words(t))),
-    Rule("dup_lines", lambda t: _let(lines_with_words(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x))),
-    Rule("shouting", lambda t: 100 * F.length(F.regexp_replace(t, r"\P{Lu}+", "")) > 50 * word_chars(t)),
+    Rule("short", lambda t, w: F.size(w) < 50),
+    Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 50 * F.size(w)),
+    Rule("symbols", lambda t, w: 100 * n_symbols(t) > 10 * F.size(w)),
+    Rule("word_length", lambda t, w: ~word_chars(t).between(2 * F.size(w), 20 * F.size(w))),
+    Rule("dup_lines", lambda t, w: _let(lines_with_words(t), lambda x: 100 * n_dup_lines(x) > 50 * F.size(x))),
+    Rule("shouting", lambda t, w: 100 * F.length(F.regexp_replace(t, r"\P{Lu}+", "")) > 50 * word_chars(t)),
 ]
 
 
@@ -118,17 +121,21 @@ def order_rules(sample: DataFrame, rules: list[Rule], text_col: str = "text") ->
     scores = []
     for i, r in enumerate(rules):
         began = time.perf_counter()
-        rejected = sample.agg(F.count_if(r.fails(text))).first()[0]
+        rejected = sample.agg(F.count_if(cascade(text, [r]).isNotNull())).first()[0]
         scores.append((-rejected / max(time.perf_counter() - began, 1e-6), i))
     return [rules[i] for _, i in sorted(scores)]
 
 
 def cascade(text: F.Column, rules: list[Rule]) -> F.Column:
     """The name of the first rule that rejects, null if none does; later rules are not evaluated then."""
-    out = None
-    for r in rules:
-        out = F.when(r.fails(text), F.lit(r.name)) if out is None else out.when(r.fails(text), F.lit(r.name))
-    return F.lit(None).cast("string") if out is None else out
+
+    def first(w: F.Column) -> F.Column:
+        out = F
+        for r in rules:
+            out = out.when(r.fails(text, w), F.lit(r.name))
+        return out
+
+    return _let(words(text), first) if rules else F.lit(None).cast("string")
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
