@@ -1,4 +1,4 @@
-"""Named queries over the test tables, each with the SQL that must give the same rows."""
+"""Registered queries, each an operator bound to driver tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,3 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The driver's tables as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers ``f(tables)`` under its name, with the SQL that gives the same rows (None: tested by other means)."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+from lexmill.plans import aggregates, matching, streams, texts  # noqa: E402, F401
