@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.compat import digits, first_hit, floor_days, normal_name
+from lexmill.functions.compat import digits, first_hit, floor_days, let, normal_name
 
 
 def _has(c: Column, part: str) -> Column:
@@ -75,12 +75,17 @@ def array_fingerprint(parts: Column) -> Column:
 def trigram_overlap(a: Column, b: Column, upto: int = 5000) -> Column:
     """Shared trigrams of the lower-cased heads over the larger set (not Jaccard)."""
 
-    def grams(c: Column) -> Column:
-        head = F.lower(F.left(c, F.lit(upto)))
+    def grams(head: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1))), lambda i: F.substr(head, i, F.lit(3))))
 
-    x, y = grams(a), grams(b)
-    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
+    def overlap(sets: Column) -> Column:
+        return F.size(F.array_intersect(sets["a"], sets["b"])) / F.greatest(F.size(sets["a"]), F.size(sets["b"]))
+
+    def cut(c: Column) -> Column:
+        return F.lower(F.left(c, F.lit(upto)))
+
+    heads = F.struct(cut(a).alias("a"), cut(b).alias("b"))
+    return let(heads, lambda h: let(F.struct(grams(h["a"]).alias("a"), grams(h["b"]).alias("b")), overlap))
 
 
 def cosine(a: Column, b: Column) -> Column:

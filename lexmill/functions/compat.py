@@ -68,3 +68,8 @@ def first_hit(rules: list[tuple[Column, str]], default: str | None) -> Column:
     for condition, label in rules:
         out = out.when(condition, F.lit(label))
     return out.otherwise(F.lit(default))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, wherever Catalyst moves the expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
