@@ -72,20 +72,16 @@ def array_fingerprint(parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.array_sort(parts)).cast("binary"))
 
 
-def trigram_overlap(a: Column, b: Column, upto: int = 5000) -> Column:
-    """Shared trigrams of the lower-cased heads over the larger set (not Jaccard)."""
+def trigrams(c: Column, upto: int = 5000) -> Column:
+    """Distinct trigrams of the lower-cased head; a shorter text is its own."""
+    head = F.lower(F.left(c, F.lit(upto)))
+    three = lambda ch: F.transform(F.sequence(F.lit(0), F.size(ch) - 3), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1), F.get(ch, i + 2)))
+    return F.when(F.length(head) < 3, F.array(head)).otherwise(F.array_distinct(let(F.split(head, ""), three)))
 
-    def grams(head: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1))), lambda i: F.substr(head, i, F.lit(3))))
 
-    def overlap(sets: Column) -> Column:
-        return F.size(F.array_intersect(sets["a"], sets["b"])) / F.greatest(F.size(sets["a"]), F.size(sets["b"]))
-
-    def cut(c: Column) -> Column:
-        return F.lower(F.left(c, F.lit(upto)))
-
-    heads = F.struct(cut(a).alias("a"), cut(b).alias("b"))
-    return let(heads, lambda h: let(F.struct(grams(h["a"]).alias("a"), grams(h["b"]).alias("b")), overlap))
+def trigram_overlap(a: Column, b: Column) -> Column:
+    """Shared trigrams of two trigram sets over the larger set (not Jaccard)."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.functions.cases import trigram_overlap
+from lexmill.functions.cases import trigram_overlap, trigrams
 
 
 def identity_groups(df: DataFrame, identity: Column, key: str) -> DataFrame:
@@ -26,10 +26,11 @@ def similar_in_block(df: DataFrame, key: str, text: str, block: str, first: int
     """Pairs among the ``first`` rows of each block whose trigram overlap exceeds ``above``: a feature bounded by ``first``."""
     d = df.where(F.length(text) > least).select(block, key, text)
     d = d.withColumn("n", F.row_number().over(Window.partitionBy(block).orderBy(key))).where(F.col("n") <= first).drop("n")
-    a = d.select(block, F.col(key).alias("a"), F.col(text).alias("__s"))
-    b = d.select(block, F.col(key).alias("b"), F.col(text).alias("__t"))
-    pairs = a.join(b, block).where((F.col("a") < F.col("b")) & (F.col("__s") != F.col("__t")))
-    pairs = pairs.select("a", "b", trigram_overlap(F.col("__s"), F.col("__t")).alias("overlap"))
+    d = d.select(block, key, F.md5(F.col(text).cast("binary")).alias("__h"), trigrams(F.col(text)).alias("__g"))
+    a = d.select(block, F.col(key).alias("a"), F.col("__h").alias("__i"), F.col("__g").alias("__x"))
+    b = d.select(block, F.col(key).alias("b"), "__h", F.col("__g").alias("__y"))
+    pairs = a.join(b, block).where((F.col("a") < F.col("b")) & (F.col("__i") != F.col("__h")))
+    pairs = pairs.select("a", "b", trigram_overlap(F.col("__x"), F.col("__y")).alias("overlap"))
     return pairs.where(F.col("overlap") > above)
 
 
