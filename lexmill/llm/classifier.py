@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import small_batches, staged
 
-ORDER = 5
+ORDER = 4
 #: Of ten parts of the trusted texts (by hash of the text), one is held out for the quantiles.
 FOLDS = 10
 #: A language's threshold is this quantile of its held-out texts' perplexities, times SLACK.
-QUANTILE, SLACK = 0.995, 1.1
+QUANTILE, SLACK = 0.995, 1.25
 #: Characters of texts of one language that are scored together; a longer text is a batch of its own.
 BATCH_CHARS = 16 << 20
 #: Trusted ids up to this number are broadcast (16 bytes each); beyond, they are joined by a shuffle.
@@ -33,18 +33,30 @@ BROADCAST_IDS = 1_000_000
 #: Languages up to this number: their discounts (a few numbers for each order) are broadcast.
 MAX_LANGS = 10_000
 BEGIN, END = "\x02", "\x03"
-_BLANKS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+BLANKS = " \t\n\x0b\x0c\r"
 
 
-def split_words(text: str | None) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+``."""
-    return [w for w in (text or "").translate(_BLANKS).split(" ") if w]
+def split_words(text: str) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8: exactly what bytes are split at."""
+    return text.encode("utf-8", "surrogatepass").split()
 
 
-def word_grams(word: str, order: int) -> list[str]:
+def word_grams(word: bytes, order: int) -> list[str]:
     """The n-gram that ends at each character of a word and at its end mark."""
-    s = BEGIN * (order - 1) + word + END
-    return [s[i : i + order] for i in range(len(word) + 1)]
+    s = BEGIN * (order - 1) + word.decode("utf-8", "surrogatepass") + END
+    return [s[i : i + order] for i in range(len(s) - order + 1)]
+
+
+class _WordScores(dict):
+    """ln p of a word, computed when first asked for."""
+
+    def __init__(self, of_gram: dict[str, float], order: int):
+        super().__init__()
+        self.of_gram, self.order = of_gram.__getitem__, order
+
+    def __missing__(self, word: bytes) -> float:
+        self[word] = found = sum(map(self.of_gram, word_grams(word, self.order)))
+        return found
 
 
 def _batches(rows: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str | None, list, list[str]]]:
@@ -76,14 +88,15 @@ def _gram_rows(rows: DataFrame, order: int, by_batch: bool) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, keys, texts in _batches(it, BATCH_CHARS):
-            counts: Counter = Counter()
-            for t in texts:
-                counts.update(split_words(t))
             if by_batch:
-                grams = list({g for w in counts for g in word_grams(w, order)})
+                distinct = set().union(*map(split_words, texts))
+                grams = list({g for w in distinct for g in word_grams(w, order)})
                 first, names = pa.array([_batch_id(lang, keys, texts)] * len(grams), pa.int64()), ["batch", "lang", "gram"]
                 yield pa.RecordBatch.from_arrays([first, pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names)
             else:
+                counts: Counter = Counter()
+                for t in texts:
+                    counts.update(split_words(t))
                 total: dict[str, int] = {}
                 for w, n in counts.items():
                     for g in word_grams(w, order):
@@ -100,7 +113,7 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
         for lang, keys, texts in _batches(it, BATCH_CHARS):
             ident = _batch_id(lang, keys, texts)
             for k in range(0, len(keys), 1000):
-                raw = [t.encode() for t in texts[k : k + 1000]]
+                raw = [t.encode("utf-8", "surrogatepass") for t in texts[k : k + 1000]]
                 body = b"".join(raw)
                 packed = pa.compress(body, codec="zstd", asbytes=True)
                 mine = list(zip(*keys[k : k + 1000], strict=True))
@@ -176,17 +189,16 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise RuntimeError("a second reading formed other batches than the first")
-        get = dict(zip(grams["gram"].to_pylist(), (math.nan if x is None else x for x in grams["logp"].to_pylist()), strict=True)).__getitem__
-        memo: dict[str, float] = {}
+        memo = _WordScores(dict(zip(grams["gram"].to_pylist(), (math.nan if x is None else x for x in grams["logp"].to_pylist()), strict=True)), order)
         out: list[tuple] = []
         for lang, keys, held, sizes, packed in zip(*(texts[c].to_pylist() for c in ("lang", "keys", "held", "sizes", "texts")), strict=True):
             body, at = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True), 0
             for key, apart, size in zip(keys, held, sizes, strict=True):
-                own = split_words(body[at : at + size].decode())
+                raw = body[at : at + size]
                 at += size
-                for w in {*own} - memo.keys():
-                    memo[w] = sum(map(get, word_grams(w, order)))
-                out.append((key, apart, lang, sum(map(len, own)) + len(own), float(np.sum(np.fromiter(map(memo.__getitem__, own), float, len(own))))))
+                own = raw.split()
+                n = len(raw.decode("utf-8", "surrogatepass")) - sum(map(raw.count, (b.encode() for b in BLANKS))) + len(own)
+                out.append((key, apart, lang, n, float(np.fromiter(map(memo.__getitem__, own), float, len(own)).sum())))
         kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "held", "lang", "n_symbols", "logp"])
 
