@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +45,9 @@ def folder_fingerprints(documents: DataFrame) -> DataFrame:
 
 def docx_text(documents: DataFrame) -> DataFrame:
     """folder, filename, text of ``content`` read as DOCX: the paragraphs of the body, null if it is none."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def read(content: pd.Series) -> pd.Series:
-        import io
-        import re
-        import zipfile
-        from html import unescape
-
         def one(raw: bytes) -> str | None:
             try:
                 body = zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml").decode()
