@@ -5,9 +5,11 @@ sets of similarity 0.8 share at least MATCHES of COORDINATES keys but for a chan
 meet under one of each other's COORDINATES - MATCHES + 1 rarest keys (prefix); longer lists are skipped and
 count only in the comparison of whole signatures. What passes that is confirmed on whole shingle sets.
 
-Under each key, classes are first compared with one pivot and merged; further pivots follow while a key
-still holds many unmerged classes; then all pairs that are still in different components are compared. So a
-group of n near copies costs about n comparisons, and no pair that could join two components is left out.
+Under each key, classes are first compared with one pivot and merged, so a group of n near copies costs about
+n comparisons. Then the classes of a key that are still in different components are dealt into blocks of
+bounded size and compared there, shortest first, on one byte of each coordinate: at first each class hands on
+its best match alone, then every match. Only matches leave a task, and no pair that could join two components
+is left out.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from lexmill.llm.common import components, drop_staged, small_batches, staged
 COORDINATES, MATCHES = 40, 21
 #: Ids up to this number are broadcast (16 bytes each) to pick texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Pairs per posting up to which the pairs of different components are all compared instead of another pivot.
-PAIRS_PER_POSTING, PIVOTS = 2, 8
+#: Classes of a key in one block at most (about), rows compared in one go, and pairs handed on in one go.
+BLOCK, ROWS, PAIRS = 4096, 16_384, 100_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -83,9 +85,10 @@ def _signatures(df: DataFrame, key: str, text_col: str, width: int) -> DataFrame
             flat = np.concatenate([k for k in keys if k is not None] or [np.zeros(0, np.int64)])
             offsets = np.concatenate([[0], np.cumsum([0 if k is None else COORDINATES for k in keys])]).astype(np.int32)
             out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(out, ["id", "n", "same", "keys"])
+            out.append(pa.array([None if k is None else k.astype(np.uint8).tobytes() for k in keys], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, ["id", "n", "same", "keys", "sig"])
 
-    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text_col).alias("__text")).mapInArrow(run, "id bigint, n bigint, same binary, keys array<bigint>")
+    return df.select(F.col(key).cast("bigint").alias("id"), F.col(text_col).alias("__text")).mapInArrow(run, "id bigint, n bigint, same binary, keys array<bigint>, sig binary")
 
 
 def _sets(df: DataFrame, key: str, text_col: str, ids: DataFrame, width: int) -> DataFrame:
@@ -120,6 +123,130 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, u, v), those whose signatures agree in MATCHES coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = (_bytes(batch.column("u")) == _bytes(batch.column("v"))).sum(1) >= MATCHES
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "u", "v").mapInArrow(run, "a bigint, b bigint")
+
+
+def block_pairs(t: pa.Table, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of one cell, but not of one component, that agree in MATCHES coordinates and may reach ``percent`` by size.
+
+    Rows are sorted by cell and size; a row meets those after it while sizes allow. Rows on one side (0 or 1)
+    of a cell do not meet, those of side 2 all do. ``best``: of each row only the pair of most matches.
+    """
+    cell, n, c, side = (t[x].to_numpy() for x in ("cell", "n", "c", "side"))
+    sig, size = _bytes(t["sig"].combine_chunks()), len(cell)
+    most, partner = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    i, d, held, pending = np.arange(size), 0, [], 0
+    while len(i):
+        d += 1
+        i = i[: np.searchsorted(i, size - d)]
+        i = i[(cell[i + d] == cell[i]) & (percent * n[i + d] <= 100 * n[i])]
+        p = i[(c[i + d] != c[i]) & ((side[i] == 2) | (side[i + d] != side[i]))]
+        matches = (sig[p] == sig[p + d]).sum(1)
+        p, matches = p[matches >= MATCHES], matches[matches >= MATCHES]
+        if best:
+            for row, other in ((p, p + d), (p + d, p)):
+                better = matches > most[row]
+                most[row[better]], partner[row[better]] = matches[better], other[better]
+        elif len(p):
+            held.append((p, p + d))
+            pending += len(p)
+            if pending >= PAIRS:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, pending = [], 0
+    if best:
+        held = [(np.flatnonzero(most), partner[most > 0])]
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, id, ...) with cell and side: the rows of a key in one cell or, beyond BLOCK, in a cell for each two of its blocks."""
+    large = staged(rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(large, "k", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    first, second = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.withColumns({"cell": F.xxhash64("k", first, second), "side": side})
+
+
+def _in_blocks(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of the rows (k, id, n, c, sig), by ``block_pairs``."""
+
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = t["id"].to_numpy()
+        for p, q in block_pairs(t, percent, best):
+            a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                cell = t["cell"].to_numpy()
+                end = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+                yield from found(t.slice(0, end))
+                held, n = t.slice(end).to_batches(), t.num_rows - end
+        if held:
+            yield from found(pa.Table.from_batches(held).combine_chunks())
+
+    cells = _dealt(rows).select("cell", "side", "id", "n", "c", "sig").repartition("cell").sortWithinPartitions("cell", "n")
+    return cells.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _links(df: DataFrame, key: str, text_col: str, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) whose components are those of all pairs of classes at ``percent`` or more."""
+    posted = classes.select("id", F.explode("keys").alias("k"))
+    lists = posted.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
+    shared = posted.join(lists, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("ks")).where(F.size("ks") >= MATCHES)
+    # keys that no other class has are the rarest of all: they fill the prefix first, and need no list
+    slots = F.greatest(F.lit(0), F.size("ks") - (MATCHES - 1))
+    prefix = shared.select("id", F.explode(F.transform(F.slice("ks", F.lit(1), slots), lambda x: x["k"])).alias("k"))
+    lists = staged(prefix, "lists")
+    if lists.isEmpty():
+        return None
+    sizes = classes.select("id", "n", "sig")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Stages the links among candidates; only the texts of these are read."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return staged(_confirmed(pairs, _sets(df, key, text_col, staged(ids, "ids"), width), percent).distinct(), "links")
+
+    # each class meets the smallest id of each of its keys
+    pivots = lists.groupBy("k").agg(F.min("id").alias("a"))
+    met = lists.join(pivots, "k").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    met = met.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sig").alias("u")), "a")
+    met = met.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("o"), F.col("sig").alias("v")), "b")
+    seen = staged(_alike(met.where(100 * F.least("m", "o") >= percent * F.greatest("m", "o"))).distinct(), "pairs")
+    edges = confirmed(seen)
+    for best in (True, False):
+        now = lists.withColumn("component_id", F.lit(None).cast("bigint")) if edges.isEmpty() else lists.join(staged(components(edges), "labels"), "id", "left")
+        now = now.withColumn("c", F.coalesce("component_id", "id")).select("k", "id", "c")
+        # keys under which all classes are in one component have nothing more to tell
+        open_ = now.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
+        rows = staged(now.join(open_, "k", "left_semi").join(sizes, "id"), "open")
+        pairs = staged(_in_blocks(rows, percent, best).join(seen, ["a", "b"], "left_anti"), "pairs")
+        drop_staged(rows)
+        if not pairs.isEmpty():
+            seen, edges = seen.unionByName(pairs), edges.unionByName(confirmed(pairs))
+    return edges
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: ``key``, n_shingles, component_id (smallest key reachable), kept (key is it).
 
@@ -133,8 +260,8 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id",
         raise ValueError("signatures are laid out for 80 percent or more")
     small_batches(df.sparkSession)
     docs = staged(_signatures(df, key, text_col, width), "signatures")
-    classes = docs.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = staged(classes.select("same", "id", "n", "keys"), "classes")
+    classes = docs.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = staged(classes.select("same", "id", "n", "keys", "sig"), "classes")
     edges = _links(df, key, text_col, classes, width, percent)
     found = components(edges) if edges is not None else None
     ids = docs.select("id", "n", "same").join(classes.select("same", F.col("id").alias("first")), "same", "left")
@@ -155,55 +282,3 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
 
 
-def _links(df: DataFrame, key: str, text_col: str, classes: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """Links (a, b) whose components are those of all pairs of classes at ``percent`` or more."""
-    posted = classes.select("id", F.explode("keys").alias("k"))
-    lists = posted.groupBy("k").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(lists, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("ks")).where(F.size("ks") >= MATCHES)
-    # keys that no other class has are the rarest of all: they fill the prefix first, and need no list
-    slots = F.greatest(F.lit(0), F.size("ks") - (MATCHES - 1))
-    prefix = shared.select("id", F.transform(F.slice("ks", F.lit(1), slots), lambda x: x["k"]).alias("ks"))
-    heads = staged(prefix.join(classes.select("id", "n", "keys"), "id"), "heads")
-    if heads.isEmpty():
-        return None
-    sets = staged(_sets(df, key, text_col, heads.select("id"), width), "sets").dropDuplicates(["id"])
-    lists = staged(heads.select("id", "n", F.explode("ks").alias("k")), "lists")
-    sigs = heads.select("id", "keys")
-    labels = None
-    done = edges = None
-    for turn in range(PIVOTS + 1):
-        now = lists if labels is None else lists.join(labels, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        if labels is None:
-            now = now.withColumn("c", F.col("id"))
-        # keys under which all classes are in one component have nothing more to tell
-        by = now.groupBy("k", "c").agg(F.count("*").alias("m")).groupBy("k").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("cs"))
-        open_ = staged(by.where("cs > 1").select("k", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs"), "m"), "open")
-        total = open_.agg(F.sum("pairs").alias("p"), F.sum("m").alias("m")).first()
-        if not total["m"]:
-            break
-        left = now.join(open_.select("k"), "k", "left_semi")
-        last = turn == PIVOTS or (turn > 0 and total["p"] <= PAIRS_PER_POSTING * total["m"])
-        fits = 100 * F.least("n", "o") >= percent * F.greatest("n", "o")
-        if last:
-            right = left.select("k", F.col("id").alias("b"), F.col("n").alias("o"), F.col("c").alias("d"))
-            pairs = left.withColumnRenamed("id", "a").join(right, "k").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & fits)
-        else:
-            # a pivot for each key: the smallest id first, then in an order that changes with each turn
-            order = F.struct(F.col("id")) if turn == 0 else F.struct(F.xxhash64("c", F.lit(turn)), F.xxhash64("id", F.lit(turn)), F.col("id"))
-            pivots = left.groupBy("k").agg(F.min_by(F.struct(F.col("id").alias("b"), F.col("n").alias("o"), F.col("c").alias("d")), order).alias("p"))
-            pairs = left.withColumnRenamed("id", "a").join(pivots, "k").select("*", "p.*").where((F.col("a") != F.col("b")) & (F.col("c") != F.col("d")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        alike = pairs.join(sigs.select(F.col("id").alias("a"), F.col("keys").alias("u")), "a").join(sigs.select(F.col("id").alias("b"), F.col("keys").alias("v")), "b")
-        alike = alike.where(F.size(F.array_intersect("u", "v")) >= MATCHES).select("a", "b")
-        new = staged(_confirmed(alike, sets, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        drop_staged(open_)
-        if last:
-            break
-        if not new.isEmpty() or labels is None:
-            labels = staged(components(edges), "labels")
-    return edges
