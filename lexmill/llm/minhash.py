@@ -38,8 +38,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 _RANDOM = np.random.default_rng(20240101)
-_FACTORS = _RANDOM.integers(0, 1 << 64, COORDINATES, np.uint64) | np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 64, COORDINATES, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 32, (COORDINATES, 1), np.uint32) | np.uint32(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 32, (COORDINATES, 1), np.uint32)
 _NAMES = _RANDOM.integers(0, 1 << 64, COORDINATES, np.uint64)
 
 
@@ -65,11 +65,19 @@ def shingle_set(text: str | None, hashes: dict, width: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """One key for each coordinate: the least value of its hash function, mixed with the coordinate's name."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max)
-    for k in range(0, len(s), 8192):
-        least = np.minimum(least, (s[k : k + 8192, None] * _FACTORS + _SHIFTS).min(0))
-    return _mixed(least ^ _NAMES).view(np.int64)
+    """One key for each coordinate: the shingle its 32-bit hash function puts first, whole, mixed with the coordinate's name."""
+    half, first, least = (s >> np.uint64(32)).astype(np.uint32), None, None
+    for k in range(0, len(s), 4096):
+        h = half[k : k + 4096] * _FACTORS
+        h += _SHIFTS
+        at = h.argmin(1)
+        value, shingle = h[np.arange(COORDINATES), at], s[k + at]
+        if first is None:
+            least, first = value, shingle
+        else:
+            first = np.where(value < least, shingle, first)
+            least = np.minimum(value, least)
+    return _mixed(first ^ _NAMES).view(np.int64)
 
 
 def _signatures(df: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
