@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,37 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: root[i] for a, b in edges if a != b for i in (a, b)}
+
+
+def test_minhash_blocks_let_each_pair_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = spark.createDataFrame([(k, i) for k, m in ((1, 23), (2, 3), (3, 1)) for i in range(m)], "k bigint, id bigint")
+    cells = {}
+    for r in minhash._dealt(rows).collect():
+        cells.setdefault((r["k"], r["cell"]), []).append((r["id"], r["side"]))
+    assert max(map(len, cells.values())) < 23
+    met = sorted((k, *sorted((i, j))) for (k, _), own in cells.items() for n, (i, s) in enumerate(own) for j, t in own[:n] if s == 2 or s != t)
+    assert met == [(k, i, j) for k, m in ((1, 23), (2, 3)) for i in range(m) for j in range(i + 1, m)]
+
+
+@pytest.mark.parametrize("limit", [1, 100])
+def test_minhash_block_pairs_equal_brute_force(monkeypatch, limit):
+    monkeypatch.setattr(minhash, "PAIRS", limit)
+    rng = np.random.default_rng(3)
+    n = 120
+    sig = rng.integers(0, 2, (n, minhash.COORDINATES), np.uint8)
+    cell, size, c, side = np.sort(rng.integers(0, 4, n)), rng.integers(50, 90, n), rng.integers(0, 9, n), rng.integers(0, 3, n)
+    side[cell != 2], side[cell == 2] = 2, side[cell == 2] % 2
+    order = np.lexsort((size, cell))
+    size, sig = size[order], sig[order]
+    t = pa.table({"cell": cell, "n": size, "c": c, "side": side, "sig": [s.tobytes() for s in sig]})
+    meet = lambda i, j: cell[i] == cell[j] and c[i] != c[j] and (side[i] == 2 or side[i] != side[j]) and 80 * size[j] <= 100 * size[i]
+    matches = {(i, j): int((sig[i] == sig[j]).sum()) for i in range(n) for j in range(i + 1, n) if meet(i, j)}
+    matches = {p: m for p, m in matches.items() if m >= minhash.MATCHES}
+    got = [(int(a), int(b)) for p, q in minhash.block_pairs(t, 80, False) for a, b in zip(p, q, strict=True)]
+    assert matches and sorted(got) == sorted(matches)
+    most = {}
+    for (i, j), m in matches.items():
+        most[i], most[j] = max(m, most.get(i, 0)), max(m, most.get(j, 0))
+    best = [(int(a), int(b)) for p, q in minhash.block_pairs(t, 80, True) for a, b in zip(p, q, strict=True)]
+    assert {a: matches[min(a, b), max(a, b)] for a, b in best} == most
