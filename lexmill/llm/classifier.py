@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import small_batches, staged
 
-ORDER = 4
+ORDER = 5
 #: Of ten parts of the trusted texts (by hash of the text), one is held out for the quantiles.
 FOLDS = 10
 #: A language's threshold is this quantile of its held-out texts' perplexities, times SLACK.
-QUANTILE, SLACK = 0.995, 1.25
+QUANTILE, SLACK = 0.995, 1.1
 #: Characters of texts of one language that are scored together; a longer text is a batch of its own.
 BATCH_CHARS = 16 << 20
 #: Trusted ids up to this number are broadcast (16 bytes each); beyond, they are joined by a shuffle.

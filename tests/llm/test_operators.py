@@ -127,6 +127,15 @@ def test_classifier_rejects_junk(spark):
     assert not out[2000]["kept"] and not out[2001]["kept"] and out[2002]["kept"]
 
 
+def test_classifier_thresholds_are_the_stated_ones(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 60))), "es") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = classifier.classify(df, df.select("doc_id")).join(df.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(10)) == 0).alias("held")), "doc_id").collect()
+    assert classifier.ORDER == 5
+    assert abs(out[0]["threshold"] - 1.1 * max(r["perplexity"] for r in out if r["held"])) < 1e-9
+
+
 def test_model_sums_to_one(spark):
     rows = spark.createDataFrame([(1, "es", "aba abc bca", False)], "key bigint, lang string, text string, held boolean")
     model = classifier.train(rows, 3)
