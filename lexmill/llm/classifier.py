@@ -1,7 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-A text is its words, a word its characters between begin and end marks; the model, one for each language,
-predicts every character and end mark from the ORDER - 1 characters before it. Training keeps counts only, as
+A text is its words, each with an end mark that also stands for the blank, behind begin marks; the model, one for
+each language, predicts every character and end mark from the ORDER - 1 symbols before it, those of earlier words
+included, so the order of words counts as far as these reach. Training keeps counts only, as
 tables sharded by n-gram. Scoring gathers the n-grams of a batch of texts, joins each distinct one with the
 counts of every order, and hands the probabilities back to the batch. A document whose perplexity exceeds its
 language's quantile, taken over trusted texts that the model was not trained on, is not kept.
@@ -10,7 +11,6 @@ language's quantile, taken over trusted texts that the model was not trained on,
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,30 +33,57 @@ BROADCAST_IDS = 1_000_000
 #: Languages up to this number: their discounts (a few numbers for each order) are broadcast.
 MAX_LANGS = 10_000
 BEGIN, END = "\x02", "\x03"
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def split_words(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8: exactly what bytes are split at."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def word_grams(word: bytes, order: int) -> list[str]:
-    """The n-gram that ends at each character of a word and at its end mark."""
-    s = BEGIN * (order - 1) + word.decode("utf-8", "surrogatepass") + END
-    return [s[i : i + order] for i in range(len(s) - order + 1)]
-
-
-class _WordScores(dict):
-    """ln p of a word, computed when first asked for."""
-
-    def __init__(self, of_gram: dict[str, float], order: int):
-        super().__init__()
-        self.of_gram, self.order = of_gram.__getitem__, order
-
-    def __missing__(self, word: bytes) -> float:
-        self[word] = found = sum(map(self.of_gram, word_grams(word, self.order)))
-        return found
+#: Characters whose n-grams are taken apart at once; what a longer text has beyond is a further piece.
+PIECE = 1 << 20
+
+
+def symbols(text: str) -> str:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, each with an end mark: what the model predicts one by one."""
+    words = text.encode("utf-8", "surrogatepass").split()  # bytes are split at exactly these blanks
+    return b"".join(w + END.encode() for w in words).decode("utf-8", "surrogatepass")
+
+
+def _pieces(texts: list[str], order: int) -> Iterator[list[tuple[int, str]]]:
+    """(place of the text, symbols with the ``order`` - 1 before them), grouped into about ``PIECE`` characters."""
+    group: list[tuple[int, str]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        s = symbols(text)
+        if s:
+            s = BEGIN * (order - 1) + s
+        for at in range(0, len(s) - order + 1, PIECE):
+            group.append((k, s[at : at + PIECE + order - 1]))
+            size += len(group[-1][1])
+            if size >= PIECE:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _grams(pieces: list[str], order: int) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of the pieces, none across two, and of every n-gram in order its place among these."""
+    code = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.unique(code)
+    place = np.zeros(int(known[-1]) + 1, np.int64)
+    place[known] = np.arange(len(known))
+    dense = place[code]
+    n = len(code) - order + 1
+    ids, bound = dense[:n], len(known)
+    for k in range(1, order):
+        if bound * len(known) >= 1 << 62:
+            ids = np.unique(ids, return_inverse=True)[1]
+            bound = int(ids.max()) + 1
+        ids = ids * len(known) + dense[k : k + n]
+        bound *= len(known)
+    whole = np.ones(n + order, bool)
+    ends = np.cumsum([len(p) for p in pieces])
+    for k in range(1, order):
+        whole[ends - k] = False
+    at = np.flatnonzero(whole[:n])
+    _, first, inverse = np.unique(ids[at], return_index=True, return_inverse=True)
+    body = code[at[first][:, None] + np.arange(order)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [body[i : i + order] for i in range(0, len(body), order)], inverse
 
 
 def _batches(rows: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str | None, list, list[str]]]:
@@ -89,17 +116,17 @@ def _gram_rows(rows: DataFrame, order: int, by_batch: bool) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, keys, texts in _batches(it, BATCH_CHARS):
             if by_batch:
-                distinct = set().union(*map(split_words, texts))
-                grams = list({g for w in distinct for g in word_grams(w, order)})
+                distinct: set[str] = set()
+                for group in _pieces(texts, order):
+                    distinct.update(_grams([p for _, p in group], order)[0])
+                grams = list(distinct)
                 first, names = pa.array([_batch_id(lang, keys, texts)] * len(grams), pa.int64()), ["batch", "lang", "gram"]
                 yield pa.RecordBatch.from_arrays([first, pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names)
             else:
-                counts: Counter = Counter()
-                for t in texts:
-                    counts.update(split_words(t))
                 total: dict[str, int] = {}
-                for w, n in counts.items():
-                    for g in word_grams(w, order):
+                for group in _pieces(texts, order):
+                    own, which = _grams([p for _, p in group], order)
+                    for g, n in zip(own, np.bincount(which, minlength=len(own)).tolist(), strict=True):
                         total[g] = total.get(g, 0) + n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
 
@@ -189,16 +216,24 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
         if not texts.num_rows:
             raise RuntimeError("a second reading formed other batches than the first")
-        memo = _WordScores(dict(zip(grams["gram"].to_pylist(), (math.nan if x is None else x for x in grams["logp"].to_pylist()), strict=True)), order)
+        of_gram = dict(zip(grams["gram"].to_pylist(), (math.nan if x is None else x for x in grams["logp"].to_pylist()), strict=True)).__getitem__
         out: list[tuple] = []
         for lang, keys, held, sizes, packed in zip(*(texts[c].to_pylist() for c in ("lang", "keys", "held", "sizes", "texts")), strict=True):
             body, at = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True), 0
-            for key, apart, size in zip(keys, held, sizes, strict=True):
-                raw = body[at : at + size]
+            own = []
+            for size in sizes:
+                own.append(body[at : at + size].decode("utf-8", "surrogatepass"))
                 at += size
-                own = raw.split()
-                n = len(raw.decode("utf-8", "surrogatepass")) - sum(map(raw.count, (b.encode() for b in BLANKS))) + len(own)
-                out.append((key, apart, lang, n, float(np.fromiter(map(memo.__getitem__, own), float, len(own)).sum())))
+            n, total = [0] * len(own), [0.0] * len(own)
+            for group in _pieces(own, order):
+                names, which = _grams([p for _, p in group], order)
+                each, start = np.fromiter(map(of_gram, names), float, len(names))[which], 0
+                for k, p in group:
+                    end = start + len(p) - order + 1
+                    n[k] += end - start
+                    total[k] += float(each[start:end].sum())
+                    start = end
+            out += zip(keys, held, [lang] * len(keys), n, total, strict=True)
         kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "held", "lang", "n_symbols", "logp"])
 

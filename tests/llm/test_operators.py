@@ -136,6 +136,37 @@ def test_classifier_thresholds_are_the_stated_ones(spark):
     assert abs(out[0]["threshold"] - 1.1 * max(r["perplexity"] for r in out if r["held"])) < 1e-9
 
 
+def test_classifier_rejects_shuffled_words(spark):
+    rng = random.Random(6)
+    order = [w for w in WORDS if w != "trece"]
+    good = lambda n: " ".join(order[(k + n) % 12] for k in range(60))
+    texts = [good(rng.randrange(12)) + f"\n{WORDS[i % 7]}" * (i % 5) for i in range(300)]
+    mixed = [" ".join(rng.sample(texts[i].split(), len(texts[i].split()))) for i in range(20)]
+    df = spark.createDataFrame([(i, t, "es") for i, t in enumerate(texts + mixed)], "doc_id bigint, text string, lang string")
+    out = {r["doc_id"]: r for r in classifier.classify(df, df.where("doc_id < 300").select("doc_id")).collect()}
+    assert sum(out[i]["kept"] for i in range(300)) >= 295
+    assert not any(out[300 + i]["kept"] for i in range(20))
+    assert all(out[300 + i]["n_symbols"] == out[i]["n_symbols"] for i in range(20))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_classifier_grams_equal_slices(monkeypatch, piece):
+    monkeypatch.setattr(classifier, "PIECE", piece)
+    texts = ["ab  cd\n", "", " \t", "\x00\x02x\x03 ñ🙂", "é", "".join(map(chr, range(300, 20000))), "a\ud800b\x85c"]
+    for order in (1, 3, 5):
+        got = [[] for _ in texts]
+        for group in classifier._pieces(texts, order):
+            names, which = classifier._grams([p for _, p in group], order)
+            assert len(set(names)) == len(names)
+            place = iter(which.tolist())
+            for k, p in group:
+                got[k] += [names[next(place)] for _ in range(len(p) - order + 1)]
+        for t, g in zip(texts, got, strict=True):
+            s = "".join(w.decode("utf-8", "surrogatepass") + "\x03" for w in t.encode("utf-8", "surrogatepass").split())
+            s = "\x02" * (order - 1) + s if s else ""
+            assert g == [s[i : i + order] for i in range(len(s) - order + 1)]
+
+
 def test_model_sums_to_one(spark):
     rows = spark.createDataFrame([(1, "es", "aba abc bca", False)], "key bigint, lang string, text string, held boolean")
     model = classifier.train(rows, 3)
