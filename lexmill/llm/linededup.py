@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Documents that share lines are found through the lines' hashes: every repeated line ties a later document to
-the document that holds the line first, so a line held by n documents makes n - 1 pairs, rare or not, and none
-among the later ones. Each pair is aligned with a patience diff (lines that are unique in both are its
+the document that holds the line first, so a line held by n documents makes n - 1 pairs, rare or not. Every
+shortest run of two or more adjacent lines that has the words of a block ties them in the same way, so later
+documents that share what no first holder of its lines holds in that order are paired too. Each pair is aligned with a patience diff (lines that are unique in both are its
 anchors) and the aligned common blocks are deleted from the later document.
 """
 
@@ -104,16 +105,29 @@ def _line_rows(df: DataFrame, text_col: str, key: str) -> DataFrame:
     return d.select(key, "at", F.transform("at", count).alias("sizes"), F.transform("at", lambda i: F.xxhash64(F.get(F.col("__l"), i))).alias("hashes"))
 
 
+def _windows(min_block_words: int) -> F.Column:
+    """From each line on, the hash of the shortest run of two lines or more with ``min_block_words`` words; none where the text ends before."""
+    start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
+    full = lambda acc: (acc["lines"] >= 2) & (acc["words"] >= min_block_words)
+    more = lambda acc, n: F.when(full(acc), acc).otherwise(F.struct((acc["lines"] + 1).alias("lines"), (acc["words"] + n).alias("words")))
+    # every line has a word, so a run is never longer than this
+    lines = F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), lambda i: F.aggregate(F.slice("sizes", i, max(2, min_block_words)), start, more, lambda acc: F.when(full(acc), acc["lines"])))
+    runs = F.transform(lines, lambda n, k: F.when(n.isNotNull(), F.xxhash64(F.slice("hashes", k + 1, n))))
+    return F.when(F.size("sizes") < 2, F.array().cast("array<bigint>")).otherwise(F.filter(runs, lambda h: h.isNotNull()))
+
+
 def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, gone): the line numbers (from 0) to delete, for documents that lose lines.
 
     The earlier of two documents is that with the smaller key. A line stays in the document that holds it
-    first, whatever happens to others; repeats within a document stay. Pairs come from hashes of 64 bits and
+    first, whatever happens to others; repeats within a document stay. A document is compared with the first
+    holder of each of its lines and of each of its runs of adjacent lines, not with every earlier one: what it
+    shares with another only with other lines between may stay where all first holders have it in another order. Pairs come from hashes of 64 bits and
     the alignment compares them. Only arrays of hashes are moved, never texts.
     """
     small_batches(df.sparkSession)
     rows = _line_rows(df.where(F.col(key).isNotNull()), text_col, key).groupBy(key).agg(*(F.max_by(c, F.struct(F.size("at"), F.hash("hashes"))).alias(c) for c in ("at", "sizes", "hashes")))
-    held = rows.select(F.col(key).alias("later"), F.explode(F.array_distinct("hashes")).alias("h"))
+    held = rows.select(F.col(key).alias("later"), F.explode(F.array_distinct(F.concat("hashes", _windows(min_block_words)))).alias("h"))
     first = held.groupBy("h").agg(F.min("later").alias("earlier"), F.max("later").alias("last")).where("earlier < last").select("h", "earlier")
     pairs = held.join(first, "h").where("earlier < later").select("earlier", "later").distinct()
     a = rows.select(F.col(key).alias("earlier"), F.col("hashes").alias("theirs"))

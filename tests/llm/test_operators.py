@@ -70,6 +70,35 @@ def test_line_dedup_keeps_first(spark):
     assert got[4][1] == 1 and got[5] == ("own a", 0)
 
 
+def all_pairs_left(texts, least=5):
+    """What stays when every document is aligned with every earlier one."""
+    rows = []
+    for t in texts:
+        at = [i for i, x in enumerate(t.split("\n")) if x.strip()]
+        lines = t.split("\n")
+        rows.append((at, [len(lines[i].split()) for i in at], [lines[i] for i in at]))
+    out = []
+    for j, (at, sizes, later) in enumerate(rows):
+        gone = {at[k] for i in range(j) for k in linededup.doomed(rows[i][2], later, sizes, least)}
+        out.append("\n".join(x for i, x in enumerate(texts[j].split("\n")) if i not in gone))
+    return out
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    short = [f"s{i} t{i}" for i in range(30)]
+    long_ = [" ".join(f"l{i}w{k}" for k in range(6)) for i in range(12)]
+    passage = "\n".join(short)
+    alone = [f"own {i} of document {i} is here\n{x}\nand {i}" for i, x in enumerate(short)]
+    other_order = ["\n".join(long_[6:] + long_[:6][::-1]), "\n".join(long_), "\n".join(long_)]
+    rng = random.Random(7)
+    extra = ["\n".join(f"x{k + n}" for k in range(rng.randint(2, 9))) for n in (0, 3, 0, 5, 3, 1)]
+    texts = [*alone, f"C\n{passage}\nc", f"D\n{passage}\nd", *other_order, *extra]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, texts)).collect()}
+    want = all_pairs_left(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert want[31] == "D\nd" and want[34] == ""
+
+
 def test_patience_matches_are_a_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
