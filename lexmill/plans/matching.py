@@ -118,6 +118,12 @@ def j19_token_overlap(t: Tables):
     return relational.token_overlap(d, "id", F.col("w"), 2)
 
 
+@query()
+def j19_token_overlap_all(t: Tables):
+    # j19_token_overlap and its SQL take a subset; this is every part
+    return relational.token_overlap_by_set(t.part, "p_partkey", F.split(F.lower("p_name"), " "), 2)
+
+
 @query(r"""with c as (select conv_id * 1000 + turn as msg, length(text) as n, text from conversations),
   k as (select c_custkey, regexp_replace(c_name, '\D', '', 'g')::bigint as d, c_nationkey from customer),
   m as (select msg, 1 as tier, c_custkey from c join k on n = d and n % 3 = 0 union all select msg, 2, c_custkey from c join k on n % 50 = d and n % 2 = 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.cases import array_fingerprint, cosine, final_ruling
 from lexmill.functions.compat import normal_name, title_case
-from lexmill.operators import privacy, search
+from lexmill.operators import privacy, search, vectors
 from lexmill.plans.catalogue import Tables, query
 
 
@@ -49,6 +49,12 @@ def f49_cosine(t: Tables):
     return a.join(b, near).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), cosine(F.col("a.embedding"), F.col("b.embedding")).alias("similarity"))
 
 
+@query()
+def f49_cosine_threshold(t: Tables):
+    # f49_cosine and its SQL compare neighbours of one label only; this is every pair that reaches the threshold
+    return vectors.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.5)
+
+
 @query(r"""select page_id, regexp_extract(url, '://([^/]+)', 1) as host, len(regexp_extract_all(html, '<a ')) as links, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages""")
 def x26_page_fields(t: Tables):
     links = F.size(F.regexp_extract_all("html", F.lit("(<a )"), F.lit(1))).cast("bigint")

@@ -1,9 +1,11 @@
 from datetime import date, datetime
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import cases, compat
-from lexmill.operators import dedup, privacy, relational, search
+from lexmill.operators import dedup, privacy, relational, search, vectors
 from lexmill.sources import files
 from lexmill.streaming import flows
 
@@ -77,6 +79,29 @@ def test_greedy_clusters_follow_key_order(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 0, 1), (2, 0, 1), (3, 0, 3), (4, 1, 4)]
 
 
+def test_token_overlap_of_all_keys(spark):
+    words = [["a b c", "c b a", "a b", "x", "a b b", "c d a", "", None, "d x c a"][i % 9] for i in range(250)]
+    df = spark.createDataFrame(list(enumerate(words)), "id bigint, w string")
+    sets = [set((w or "").split(" ")) if w is not None else set() for w in words]
+    want = {(i, j, len(sets[i] & sets[j])) for j in range(250) for i in range(j) if len(sets[i] & sets[j]) >= 2}
+    got = relational.token_overlap_by_set(df, "id", F.split("w", " "), 2).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [7, 1024])
+def test_cosine_pairs_of_all_vectors(spark, rows):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).round(3)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(98, [0.0] * 4, 0), (99, None, 1)], "id int, v array<double>, b int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for j in range(60) for i in range(j) if u[i] @ u[j] >= 0.7}
+    got = vectors.cosine_pairs(df, "id", "v", 0.7, rows=rows).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+    assert all(abs(r["similarity"] - u[r["a"]] @ u[r["b"]]) < 1e-12 for r in got)
+    got = vectors.cosine_pairs(df, "id", "v", 0.7, "b", rows).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((i, j) for i, j in want if i % 3 == j % 3)
+
+
 def test_bm25_order(spark):
     docs = spark.createDataFrame([(1, "tutela salud"), (2, "Tutela tutela"), (3, "otra cosa"), (4, None), (5, "nada"), (6, "mas")], "id int, t string")
     got = [r["id"] for r in search.bm25(docs, "id", "t", ["tutela"]).orderBy("score").collect()]
