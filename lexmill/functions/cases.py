@@ -72,9 +72,9 @@ def array_fingerprint(parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.array_sort(parts)).cast("binary"))
 
 
-def trigrams(c: Column, upto: int = 5000) -> Column:
-    """Distinct trigrams of the lower-cased head; a shorter text is its own."""
-    head = F.lower(F.left(c, F.lit(upto)))
+def trigrams(c: Column, upto: int | None = 5000) -> Column:
+    """Distinct trigrams of the lower-cased head (None: of the whole text); a shorter text is its own."""
+    head = F.lower(c if upto is None else F.left(c, F.lit(upto)))
     three = lambda ch: F.transform(F.sequence(F.lit(0), F.size(ch) - 3), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1), F.get(ch, i + 2)))
     return F.when(F.length(head) < 3, F.array(head)).otherwise(F.array_distinct(let(F.split(head, ""), three)))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.cases import trigram_overlap, trigrams
+from lexmill.llm.common import staged
 
 
 def identity_groups(df: DataFrame, identity: Column, key: str) -> DataFrame:
@@ -34,6 +35,29 @@ def similar_in_block(df: DataFrame, key: str, text: str, block: str, first: int
     return pairs.where(F.col("overlap") > above)
 
 
+def similar_texts(df: DataFrame, key: str, text: str, least: int = 200, above: float = 0.9) -> DataFrame:
+    """(a, b, overlap) of all pairs a < b of rows with different texts whose trigram overlap exceeds ``above``, on whole texts.
+
+    Rows with the same text are one class. Two sets that overlap so far share one of their rarest trigrams, as many of
+    each as may be missing and one more, and are of like size; such pairs are candidates and are compared exactly.
+    """
+    rows = df.where(F.length(text) > least).select(F.col(key).alias("k"), F.sha2(F.col(text).cast("binary"), 256).alias("h"), F.col(text).alias("t"))
+    member = rows.select("k", "h")
+    sets = staged(rows.groupBy("h").agg(F.any_value("t").alias("t")).select("h", trigrams(F.col("t"), None).alias("g")).withColumn("n", F.size("g")), "trigrams")
+    each = sets.select("h", "n", F.explode("g").alias("w"))
+    common = each.groupBy("w").agg(F.count("*").alias("f"))
+    held = each.join(common, "w").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+    # at least floor(above n) + 1 are shared, so one of the first n - floor(above n) is; the small part less is for rounding
+    prefix = F.col("n") - F.floor(F.col("n") * F.lit(above) - F.lit(1e-9)).cast("int")
+    heads = held.select("h", "n", F.explode(F.slice("o", F.lit(1), prefix)).alias("o")).select("h", "n", "o.w").where(F.col("n") > 0)
+    x, y = heads.select("w", F.col("h").alias("i"), F.col("n").alias("p")), heads.select("w", F.col("h").alias("j"), F.col("n").alias("q"))
+    pairs = x.join(y, "w").where((F.col("i") < F.col("j")) & (F.least("p", "q") > above * F.greatest("p", "q") - 1e-6)).select("i", "j").distinct()
+    pairs = pairs.join(sets.select(F.col("h").alias("i"), F.col("g").alias("x")), "i").join(sets.select(F.col("h").alias("j"), F.col("g").alias("y")), "j")
+    pairs = pairs.select("i", "j", trigram_overlap(F.col("x"), F.col("y")).alias("overlap")).where(F.col("overlap") > above)
+    pairs = pairs.join(member.select(F.col("h").alias("i"), F.col("k").alias("s")), "i").join(member.select(F.col("h").alias("j"), F.col("k").alias("e")), "j")
+    return pairs.select(F.least("s", "e").alias("a"), F.greatest("s", "e").alias("b"), "overlap")
+
+
 def greedy_clusters(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
     """First-seed clusters inside each block: (key, block, seed). Rows join the first seed, in key order, that is near enough.
 

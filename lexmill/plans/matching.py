@@ -214,6 +214,12 @@ def d01_identity_groups(t: Tables):
     return dedup.identity_groups(t.documents, F.struct("lang", "source", F.left("text", F.lit(20)).alias("head")), "doc_id")
 
 
+@query()
+def d01_identity_whole(t: Tables):
+    # d01_identity_groups and its SQL take the first 20 characters as the identity; this takes the whole text
+    return dedup.identity_groups(t.documents, F.struct("lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("hash")), "doc_id")
+
+
 @query("""select md5(text) as hash, count(*) as n, count(distinct source) as owners, case when count(distinct source) = 1 then count(*) - 1 else 0 end as removable,
   case when count(distinct source) > 1 then count(*) - count(distinct source) else 0 end as reviewable from documents group by 1 having count(*) > 1""")
 def d05_hash_duplicates(t: Tables):
@@ -228,6 +234,12 @@ def d06_similar_in_block(t: Tables):
     return dedup.similar_in_block(t.documents, "doc_id", "text", "source")
 
 
+@query()
+def d06_similar_texts(t: Tables):
+    # d06_similar_in_block and its SQL compare 5,000 characters of ten rows of a source; this compares all rows whole
+    return dedup.similar_texts(t.documents, "doc_id", "text")
+
+
 @query()
 def d18_greedy_clusters(t: Tables):
     return dedup.greedy_clusters(t.embeddings, "vec_id", "embedding", "label", 0.3)

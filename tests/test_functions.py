@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -102,6 +103,26 @@ def test_cosine_pairs_of_all_vectors(spark, rows):
     assert sorted((r["a"], r["b"]) for r in got) == sorted((i, j) for i, j in want if i % 3 == j % 3)
 
 
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [" ".join(word() for _ in range(n)) for n in (45, 60, 1100)]
+    texts = [None, "", "short"] + base + base[:2]
+    for t in base:
+        for k in (1, 2, 4, 8):
+            w = t.split()
+            w[-k:] = [word() for _ in range(k)]
+            texts += [" ".join(w)] * (1 + k % 3)
+    texts.append(base[2][:5000] + " " + " ".join(str(1000000 + i) for i in range(300)))  # differs after 5,000 characters
+    sets = [{t.lower()[i : i + 3] for i in range(len(t) - 2)} if t and len(t) > 200 else set() for t in texts]
+    n = len(texts)
+    want = {(i, j, round(len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])), 9)) for j in range(n) for i in range(j) if sets[i] and sets[j] and texts[i] != texts[j]}
+    want = {x for x in want if x[2] > 0.9}
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = dedup.similar_texts(df, "id", "t").collect()
+    assert sorted((r["a"], r["b"], round(r["overlap"], 9)) for r in got) == sorted(want) and len(want) > 20
+
+
 def test_bm25_order(spark):
     docs = spark.createDataFrame([(1, "tutela salud"), (2, "Tutela tutela"), (3, "otra cosa"), (4, None), (5, "nada"), (6, "mas")], "id int, t string")
     got = [r["id"] for r in search.bm25(docs, "id", "t", ["tutela"]).orderBy("score").collect()]
