@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.cases import trigram_overlap, trigrams
 from lexmill.llm.common import staged
+from lexmill.operators.vectors import cosine_pairs
 
 
 def identity_groups(df: DataFrame, identity: Column, key: str) -> DataFrame:
@@ -58,30 +57,32 @@ def similar_texts(df: DataFrame, key: str, text: str, least: int = 200, above: f
     return pairs.select(F.least("s", "e").alias("a"), F.greatest("s", "e").alias("b"), "overlap")
 
 
-def greedy_clusters(df: DataFrame, key: str, vector: str, block: str, threshold: float) -> DataFrame:
-    """First-seed clusters inside each block: (key, block, seed). Rows join the first seed, in key order, that is near enough.
+def greedy_clusters(df: DataFrame, key: str, vector: str, block: str | None, threshold: float) -> DataFrame:
+    """First-seed clusters (key, block, seed), or (key, seed) of all rows without ``block``: rows join the first seed, in key order, that is near enough.
 
-    The order matters, so a block is one group; blocks must be bounded by the caller.
+    Keys are integers and differ. Near pairs come from bounded blocks of vectors. In rounds, a row becomes a seed once
+    no undecided row of a smaller key is near to it, and the rows near to a seed are decided; each takes its smallest seed.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        seeds: list[int] = []
-        own = []
-        for n in range(len(x)):
-            near = np.flatnonzero(x[seeds] @ x[n] >= threshold) if seeds else []
-            if len(near):
-                own.append(seeds[near[0]])
-            else:
-                seeds.append(n)
-                own.append(n)
-        ids = pdf[key].to_numpy()
-        return pd.DataFrame({key: ids, block: pdf[block].to_numpy(), "seed": ids[own]})
-
-    kinds = dict(df.dtypes)
-    return df.select(key, vector, block).groupBy(block).applyInPandas(run, f"{key} {kinds[key]}, {block} {kinds[block]}, seed {kinds[key]}")
+    kind = dict(df.dtypes)[key]
+    pairs = staged(cosine_pairs(df, key, vector, threshold, block).select("a", "b"), "pairs")
+    linked = pairs.select(F.col("b").alias("k"))
+    # a row without a near one of a smaller key is a seed at once
+    seeds = [staged(df.select(F.col(key).cast("bigint").alias("k")).join(linked, "k", "left_anti"), "seeds")]
+    todo, left = staged(linked.distinct(), "undecided"), pairs
+    while not todo.isEmpty():
+        near = left.join(seeds[-1].select(F.col("k").alias("a")), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        rest = staged(todo.join(near, "k", "left_anti"), "undecided")
+        open_ = staged(left.join(rest.select(F.col("k").alias("a")), "a", "left_semi").join(rest.select(F.col("k").alias("b")), "b", "left_semi").select("a", "b"), "pairs")
+        seeds.append(staged(rest.join(open_.select(F.col("b").alias("k")), "k", "left_anti"), "seeds"))
+        todo, left = staged(rest.join(seeds[-1], "k", "left_anti"), "undecided"), open_
+    found = seeds[0]
+    for more in seeds[1:]:
+        found = found.unionByName(more)
+    found = staged(found, "seeds")
+    joined = pairs.join(found.select(F.col("k").alias("a")), "a").join(found.select(F.col("k").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("__k")).agg(F.min("a").alias("seed"))
+    own = [key, block] if block else [key]
+    out = df.select(*own).join(joined, F.col(key) == F.col("__k"), "left")
+    return out.select(*own, F.coalesce("seed", key).cast(kind).alias("seed"))
 
 
 def purge(df: DataFrame, canonical: DataFrame, keys: list[str], key: str) -> DataFrame:

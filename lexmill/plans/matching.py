@@ -242,7 +242,7 @@ def d06_similar_texts(t: Tables):
 
 @query()
 def d18_greedy_clusters(t: Tables):
-    return dedup.greedy_clusters(t.embeddings, "vec_id", "embedding", "label", 0.3)
+    return dedup.greedy_clusters(t.embeddings, "vec_id", "embedding", None, 0.3)
 
 
 @query("""with m as (select o_custkey as old, min(o_custkey) over (partition by c_mktsegment, c_nationkey) as new from (select distinct o_custkey from orders) join customer on c_custkey = o_custkey)

@@ -123,6 +123,22 @@ def test_similar_texts_equal_brute_force(spark):
     assert sorted((r["a"], r["b"], round(r["overlap"], 9)) for r in got) == sorted(want) and len(want) > 20
 
 
+@pytest.mark.parametrize("block", [None, "b"])
+def test_greedy_clusters_equal_the_loop(spark, block):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    ids = rng.permutation(150) * 3
+    df = spark.createDataFrame([(int(i), v.tolist(), int(i) % 2) for i, v in zip(ids, x)] + [(999, [0.0] * 3, 0)], "id int, v array<double>, b int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, seeds = {999: 999}, []
+    for n in np.argsort(ids):
+        near = [s for s in seeds if u[s] @ u[n] >= 0.8 and (block is None or ids[s] % 2 == ids[n] % 2)]
+        want[int(ids[n])] = int(ids[near[0] if near else n])
+        seeds += [] if near else [n]
+    got = dedup.greedy_clusters(df, "id", "v", block, 0.8).collect()
+    assert {r["id"]: r["seed"] for r in got} == want and len(got) == len(want) and 2 < len(seeds) < 100
+
+
 def test_bm25_order(spark):
     docs = spark.createDataFrame([(1, "tutela salud"), (2, "Tutela tutela"), (3, "otra cosa"), (4, None), (5, "nada"), (6, "mas")], "id int, t string")
     got = [r["id"] for r in search.bm25(docs, "id", "t", ["tutela"]).orderBy("score").collect()]
