@@ -35,10 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes copies of it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.select(*COLUMNS).join(copies, "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*COLUMNS)
+    """As many rows of each row of ``docs`` as the mix takes copies of it, whether its doc_id is null, repeated or neither."""
+    taken = mixing.mix(docs, carry=tuple(COLUMNS)).where("copies > 0").select("row", "copies")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

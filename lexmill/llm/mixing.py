@@ -32,7 +32,7 @@ def spread_targets(sizes: list[float], weights: list[float], cap: float) -> list
         by_weight = sum(weights[i] for i in free)
         over = {i for i in free if left * weights[i] / by_weight > cap * sizes[i]}
         for i in over or free:
-            targets[i] = cap * sizes[i] if over else left * weights[i] / by_weight
+            targets[i] = float(cap * sizes[i]) if over else left * weights[i] / by_weight
         free -= over or free
     return targets
 
@@ -83,7 +83,7 @@ def solve_tilts(cells: DataFrame, sources: list[tuple], cap: float, rounds: int
     return tilt
 
 
-def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", key: str = "doc_id", cycle: tuple[float, ...] = CYCLE, cap: int = 3) -> DataFrame:
+def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", key: str = "doc_id", cycle: tuple[float, ...] = CYCLE, cap: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Copies of every document so that each source's words come near its target.
 
     Sources in code point order, null last, weigh ``cycle``, repeating; they share all words, none above
@@ -91,9 +91,12 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", key:
     source's), ``copies`` (0 to ``cap``) and ``taken`` (copies times size). Null and blank texts have size 0
     and no copies; a null source is a source. Repeated rows are documents of their own; rows equal in key,
     source and size are ranked by key hash only, so which of them gets the extra copy is arbitrary but the
-    result as a table is the same. Reruns agree. An empty table gives no rows.
+    result as a table is the same. With ``carry``, these columns come along as a struct ``row``, so that no join
+    by ``key`` is needed, and they decide between such rows. Reruns agree. An empty table gives no rows.
     """
-    docs = staged(df.select(F.col(key), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("bigint").alias("size")), "sizes")
+    row = [F.struct(*carry).alias("row")] if carry else []
+    names = ["row"] if carry else []
+    docs = staged(df.select(*row, F.col(key), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("bigint").alias("size")), "sizes")
     cells = staged(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -120,14 +123,14 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", key:
     plan = rated.select(F.col("source").alias("__source"), F.col("size").alias("__size"), "n", "source_size", "target", "copies")
     plan = F.broadcast(plan) if cells.count() <= BROADCAST_CELLS else plan
     d = docs.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).drop("__source", "__size")
-    d = d.withColumn("parts", F.ceil(F.col("n") / RANKED)).withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.col("parts")))
+    d = d.withColumn("parts", F.ceil(F.col("n") / RANKED)).withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit(1), *names), F.col("parts")))
     group = Window.partitionBy("source", "size", "part")
     extra = F.col("copies") % F.col("n")
     shift = F.pmod(F.xxhash64("source", "size", "part"), F.lit(1 << 20)) / (1 << 20)
     quota = F.floor(F.count("*").over(group) * extra / F.col("n") + shift)
-    ranked = F.row_number().over(group.orderBy(F.xxhash64(key), key)) <= quota
+    ranked = F.row_number().over(group.orderBy(F.xxhash64(key), key, *names)) <= quota
     d = d.withColumn("share", F.floor(F.col("copies") / F.col("n")).cast("bigint") + ranked.cast("bigint"))
-    return d.select(key, "source", "size", "source_size", "target", F.least("share", F.lit(cap)).cast("bigint").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return d.select(*names, key, "source", "size", "source_size", "target", F.least("share", F.lit(cap)).cast("bigint").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _settle(rated: DataFrame, cap: int, rounds: int = 16, near: float = 2e-4) -> list[tuple]:

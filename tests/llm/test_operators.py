@@ -62,6 +62,22 @@ def test_mixing_meets_targets(spark):
         assert abs(r["taken"] - r["target"]) <= max(45, 0.01 * r["target"])
 
 
+def test_pipeline_mixing_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    ids = [None, None, 7, 7, 7]
+    rows = [(k, f"a{i} " * 10, "es", "a", 1) for i, k in enumerate(ids)] + [([None, 7, 100 + i][i % 3], f"b{i} " * 10, "es", "b", 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.mix_sources(spark, df, "").collect()
+    count = {r: 0 for r in rows}
+    for r in out:
+        count[tuple(r)] += 1
+    # a's share of all 650 words by weight is above 3 times its own 50: each of its rows is taken 3 times, and b's get the other 500
+    assert all(count[r] == 3 for r in rows[:5])
+    assert max(count.values()) <= 3 and sum(count[r] for r in rows[5:]) == 50
+    assert list(out[0].asDict()) == corpus_pipeline.COLUMNS
+
+
 def test_line_dedup_keeps_first(spark):
     line = " ".join(WORDS[:6])
     texts = [f"{line}\nown a", f"own b\n{line}\nown c", None, "", f"{line}\n{line}", "own a"]
