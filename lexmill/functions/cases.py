@@ -51,12 +51,14 @@ def spaced_id(long_id: Column) -> Column:
 
 #: A filing number that is a form's own, and the digits of a court id's department.
 FILING_BLACKLIST, COURT_PREFIX = ("3634740",), "68"
+#: Telephone numbers of the office.
+FILING_PHONES = ("6076337000", "6076336100", "6076336000")
 
 
 def valid_filing(c: Column) -> Column:
-    """Seven digits or more, not listed, not a court id, not one digit repeated."""
+    """Seven digits or more, not listed, not a court id, not one digit repeated, not a telephone number."""
     d = digits(c)
-    return F.coalesce((F.length(d) >= 7) & ~d.isin(*FILING_BLACKLIST) & ~F.startswith(d, F.lit(COURT_PREFIX)) & ~F.regexp_like(d, F.lit(r"^(\d)\1+$")), F.lit(False))
+    return F.coalesce((F.length(d) >= 7) & ~d.isin(*FILING_BLACKLIST, *FILING_PHONES) & ~F.startswith(d, F.lit(COURT_PREFIX)) & ~F.regexp_like(d, F.lit(r"^(\d)\1+$")), F.lit(False))
 
 
 def case_identity(long_id: Column, name: Column, text: Column) -> Column:

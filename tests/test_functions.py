@@ -51,6 +51,10 @@ def test_identifiers(spark):
     assert [one(spark, cases.valid_filing(F.lit(x))) for x in ("3634740", "1111111", "6812345678", "123456", "1234567")] == [False, False, False, False, True]
 
 
+def test_filing_is_no_telephone_number(spark):
+    assert [one(spark, cases.valid_filing(F.lit(x))) for x in ("6076337000", "607 633 6100", "6076336000", "6076337001")] == [False, False, False, True]
+
+
 def test_traffic_light(spark):
     now = F.lit(datetime(2026, 1, 10))
     light = lambda state, due: one(spark, cases.traffic_light(F.lit(state), F.lit(due).cast("timestamp"), now))
