@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Rules up to this number are broadcast (about 200 bytes each); more are joined by a shuffle, salted.
 BROADCAST_RULES = 100_000
-#: No rule's path may be longer than this, which bounds the expressions of one URL.
-MAX_RULE_PATH = 2048
+#: Characters of a rule's path and labels of its host that its expression holds, which bounds the expressions of one URL; what a longer rule has
+#: beyond is compared with the URL itself.
+HEAD, LABELS = 2048, 127
 SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST_PATH = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -36,19 +37,21 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str
     host, then ``block`` before ``allow``. Returns the ``keep`` columns, ``host``, ``path``, ``rule`` (host
     and path of the winner, else null) and ``verdict`` (``default`` without a rule). Repeated rows are judged
     each; null and malformed URLs have an empty host and path and fit no rule; an empty rule table gives
-    every row ``default``. Other columns of ``df`` are not read.
+    every row ``default``, an empty ``df`` no rows. Other columns of ``df`` are not read. Very long URLs are judged whole: only suffixes
+    with as many labels and prefixes with as many characters as some rule has are expanded.
     """
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").distinct()
     n_rules = rules.count()
-    lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").limit(MAX_RULE_PATH + 2).collect()]
-    if lengths and lengths[-1] > MAX_RULE_PATH:
-        raise ValueError(f"a rule's path has more than {MAX_RULE_PATH} characters")
+    dots = lambda h: F.length(h) - F.length(F.replace(h, F.lit("."), F.lit(""))) + 1
+    # at most LABELS and HEAD + 1 values, whatever the rules
+    counts = [r[0] for r in rules.select(F.least(dots(F.col("host")), F.lit(LABELS)).alias("n")).distinct().collect()]
+    lengths = [r[0] for r in rules.select(F.least(F.length("path"), F.lit(HEAD)).alias("n")).distinct().collect()]
     host, path = host_and_path(F.col(url_col))
     rows = df.select(*keep, F.monotonically_increasing_id().alias("__row"), host.alias("__host"), path.alias("__path"))
 
-    labels = F.split("__host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("__path"))
+    there = F.filter(F.array(*map(F.lit, sorted(counts))).cast("array<int>"), lambda n: n <= dots(F.col("__host")))
+    suffixes = F.transform(there, lambda n: F.call_function("substring_index", F.col("__host"), F.lit("."), -n))
+    fitting = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("__path"))
     heads = F.transform(fitting, lambda n: F.substring(F.col("__path"), F.lit(1), n))
     salt = F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int") if n_rules > BROADCAST_RULES else F.lit(0)
     expressions = (
@@ -62,14 +65,18 @@ def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[str
         F.struct(
             (F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), F.col("verdict"), F.concat("host", "path").alias("rule")
         ).alias("__rule"),
-        _digest(F.col("host"), F.col("path")).alias("__full"),
+        _digest(F.substring_index("host", ".", -LABELS), F.substring("path", 1, HEAD)).alias("__full"),
+        F.when(dots(F.col("host")) > LABELS, F.col("host")).alias("__long"),
+        F.expr(f"substring(path, {HEAD + 1})").alias("__rest"),
     ).withColumn("__short", F.substring("__full", 1, 8))
     if n_rules > BROADCAST_RULES:
         listed = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     else:
         listed = F.broadcast(listed.withColumn("__salt", F.lit(0)))
     hits = expressions.join(listed, ["__short", "__salt"], "left")
-    found = F.when(F.col("__digest") == F.col("__full"), F.col("__rule"))
+    whole_host = F.col("__long").isNull() | (F.col("__host") == F.col("__long")) | F.endswith("__host", F.concat(F.lit("."), "__long"))
+    whole_path = F.expr(f"startswith(substring(__path, {HEAD + 1}), __rest)")
+    found = F.when((F.col("__digest") == F.col("__full")) & whole_host & whole_path, F.col("__rule"))
     # all expressions of a row come from one task: the map side reduces them to one row before the shuffle
     best = hits.groupBy("__row").agg(*(F.first(c).alias(c) for c in [*keep, "__host", "__path"]), F.max(found).alias("__best"))
     return best.select(
