@@ -1,23 +1,26 @@
 """Line dedup by pairwise alignment.
 
-Documents that share lines are found through the lines' hashes: every repeated line ties a later document to
-the document that holds the line first, so a line held by n documents makes n - 1 pairs, rare or not. Every
-shortest run of two or more adjacent lines that has the words of a block ties them in the same way, so later
-documents that share what no first holder of its lines holds in that order are paired too. Each pair is aligned with a patience diff (lines that are unique in both are its
-anchors) and the aligned common blocks are deleted from the later document.
+Overlapping documents are found through hashes of their shared lines: every line that has the words of a block, and
+around shorter lines every shortest run that has, ties a later document to the document that holds it first, so a
+line held by n documents makes n - 1 pairs, rare or not. Each pair is aligned with a patience diff (lines that are
+unique in both are its anchors) and the aligned common blocks are deleted from the later document, then those common
+runs that stand in another order. Any block of a document that any earlier one holds is thus deleted through the
+first holders of its runs, whether or not these two documents were compared.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BLANK_CLASS, BLANKS, small_batches
+from lexmill.llm.common import small_batches
 
 #: A common block of fewer words stays.
 MIN_BLOCK_WORDS = 5
@@ -81,12 +84,60 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _spans(sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs with ``least`` words from each line on and up to each line, where the text has them; sorted."""
+    if all(n >= least for n in sizes):
+        return [(i, i + 1) for i in range(len(sizes))]
+    out, end, words = set(), 0, 0
+    for start in range(len(sizes)):
+        while words < least and end < len(sizes):
+            words += sizes[end]
+            end += 1
+        if words >= least:
+            out.add((start, end))
+        words -= sizes[start]
+    start = words = 0
+    for end in range(len(sizes)):
+        words += sizes[end]
+        while words - sizes[start] >= least:
+            words -= sizes[start]
+            start += 1
+        if words >= least:
+            out.add((start, end + 1))
+    return sorted(out)
+
+
+def runs(hashes: Sequence[int], sizes: Sequence[int], least: int) -> Iterator[tuple[tuple[int, int], int]]:
+    """((start, end), name) of the runs of ``_spans``; the name tells lines and, for a repeated run, which repeat it is."""
+    seen: Counter[tuple[int, ...]] = Counter()
+    for start, end in _spans(sizes, least):
+        own = tuple(hashes[start:end])
+        seen[own] += 1
+        yield (start, end), own[0] if len(own) == seen[own] == 1 else xxhash.xxh3_64_intdigest(array("q", (*own, seen[own])).tobytes()) - (1 << 63)
+
+
 def doomed(earlier: Sequence[int], later: Sequence[int], sizes: Sequence[int], least: int) -> list[int]:
-    """Places in ``later`` of the aligned common blocks that hold at least ``least`` words."""
+    """Places in ``later`` of the aligned common blocks that hold at least ``least`` words, and of the common runs in another order.
+
+    ``sizes`` are the words of the later document's lines; equal lines have as many in both.
+    """
+    gone = set(_blocks(patience(earlier, later), sizes, least))
+    if len(gone) < len(later):
+        words = dict(zip(later, sizes, strict=True))
+        # lines that only the earlier one has make runs of their own, which the later one never holds
+        held = {name for _, name in runs(earlier, [words.get(x, least) for x in earlier], least)}
+        for place, name in runs(later, sizes, least):
+            if name in held:
+                gone.update(range(*place))
+    return sorted(gone)
+
+
+def _blocks(matches: list[tuple[int, int]], sizes: Sequence[int], least: int) -> list[int]:
+    """Places in the later document of the matched blocks, adjacent in both, that hold at least ``least`` words."""
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
-    for i, j in [*patience(earlier, later), (-9, -9)]:
+    for i, j in [*matches, (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
             if sum(sizes[k] for k in block) >= least:
                 out += block
@@ -96,38 +147,40 @@ def doomed(earlier: Sequence[int], later: Sequence[int], sizes: Sequence[int], l
     return out
 
 
-def _line_rows(df: DataFrame, text_col: str, key: str) -> DataFrame:
-    """(key, at, sizes, hashes): place, words and hash of every line that has a word."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    d = df.select(F.col(key), lines.alias("__l"))
-    d = d.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("__l") - 1), lambda i: F.btrim(F.get(F.col("__l"), i), F.lit(BLANKS)) != ""))
-    count = lambda i: F.size(F.split(F.btrim(F.get(F.col("__l"), i), F.lit(BLANKS)), BLANK_CLASS + "+"))
-    return d.select(key, "at", F.transform("at", count).alias("sizes"), F.transform("at", lambda i: F.xxhash64(F.get(F.col("__l"), i))).alias("hashes"))
+def _line_rows(df: DataFrame, text_col: str, key: str, least: int) -> DataFrame:
+    """(key, at, sizes, hashes, names): place, words and hash of every line that has a word, and the names of the document's runs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        for batch in batches:
+            columns: tuple[list, ...] = ([], [], [], [])
+            for text in batch.column(1):
+                at, sizes, hashes = [], [], []
+                for k, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                    if n := len(line.split()):  # bytes are split at exactly the blanks
+                        at.append(k)
+                        sizes.append(n)
+                        hashes.append(xxhash.xxh3_64_intdigest(line) - (1 << 63))
+                for column, own in zip(columns, (at, sizes, hashes, list({name for _, name in runs(hashes, sizes, least)})), strict=True):
+                    column.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(k)) for c, k in zip(columns, kinds, strict=True))], [key, "at", "sizes", "hashes", "names"])
 
-def _windows(min_block_words: int) -> F.Column:
-    """From each line on, the hash of the shortest run of two lines or more with ``min_block_words`` words; none where the text ends before."""
-    start = F.struct(F.lit(0).alias("lines"), F.lit(0).alias("words"))
-    full = lambda acc: (acc["lines"] >= 2) & (acc["words"] >= min_block_words)
-    more = lambda acc, n: F.when(full(acc), acc).otherwise(F.struct((acc["lines"] + 1).alias("lines"), (acc["words"] + n).alias("words")))
-    # every line has a word, so a run is never longer than this
-    lines = F.transform(F.sequence(F.lit(1), F.size("sizes") - 1), lambda i: F.aggregate(F.slice("sizes", i, max(2, min_block_words)), start, more, lambda acc: F.when(full(acc), acc["lines"])))
-    runs = F.transform(lines, lambda n, k: F.when(n.isNotNull(), F.xxhash64(F.slice("hashes", k + 1, n))))
-    return F.when(F.size("sizes") < 2, F.array().cast("array<bigint>")).otherwise(F.filter(runs, lambda h: h.isNotNull()))
+    kind = df.select(key).dtypes[0][1]
+    return df.select(key, F.col(text_col).alias("__text")).mapInArrow(run, f"`{key}` {kind}, at array<int>, sizes array<int>, hashes array<bigint>, names array<bigint>")
 
 
 def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(key, gone): the line numbers (from 0) to delete, for documents that lose lines.
 
     The earlier of two documents is that with the smaller key. A line stays in the document that holds it
-    first, whatever happens to others; repeats within a document stay. A document is compared with the first
-    holder of each of its lines and of each of its runs of adjacent lines, not with every earlier one: what it
-    shares with another only with other lines between may stay where all first holders have it in another order. Pairs come from hashes of 64 bits and
-    the alignment compares them. Only arrays of hashes are moved, never texts.
+    first, whatever happens to others; repeats within a document stay, but for as many as an earlier one holds. A document is
+    aligned with the first holder of each of its runs, rare or frequent, which finds every block that any earlier one
+    holds. Pairs come from hashes of 64 bits and the alignment compares them. Only arrays of hashes are moved, never texts.
     """
     small_batches(df.sparkSession)
-    rows = _line_rows(df.where(F.col(key).isNotNull()), text_col, key).groupBy(key).agg(*(F.max_by(c, F.struct(F.size("at"), F.hash("hashes"))).alias(c) for c in ("at", "sizes", "hashes")))
-    held = rows.select(F.col(key).alias("later"), F.explode(F.array_distinct(F.concat("hashes", _windows(min_block_words)))).alias("h"))
+    rows = _line_rows(df.where(F.col(key).isNotNull()), text_col, key, min_block_words)
+    rows = rows.groupBy(key).agg(*(F.max_by(c, F.struct(F.size("at"), F.hash("hashes"))).alias(c) for c in ("at", "sizes", "hashes", "names")))
+    held = rows.select(F.col(key).alias("later"), F.explode("names").alias("h"))
     first = held.groupBy("h").agg(F.min("later").alias("earlier"), F.max("later").alias("last")).where("earlier < last").select("h", "earlier")
     pairs = held.join(first, "h").where("earlier < later").select("earlier", "later").distinct()
     a = rows.select(F.col(key).alias("earlier"), F.col("hashes").alias("theirs"))
