@@ -1,15 +1,16 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
 Documents with equal shingle sets are one class. A class is posted under its (coordinate, value) keys. Two
-sets of similarity 0.8 share at least MATCHES of COORDINATES keys but for a chance of about 1e-5, so they
+sets of similarity 0.8 share at least MATCHES of COORDINATES keys but for a chance of 2.2e-5, so they
 meet under one of each other's COORDINATES - MATCHES + 1 rarest keys (prefix); longer lists are skipped and
 count only in the comparison of whole signatures. What passes that is confirmed on whole shingle sets.
 
 Under each key, classes are first compared with one pivot and merged, so a group of n near copies costs about
 n comparisons. Then the classes of a key that are still in different components are dealt into blocks of
-bounded size and compared there, shortest first, on one byte of each coordinate: at first each class hands on
-its best match alone, then every match. Only matches leave a task, and no pair that could join two components
-is left out.
+bounded size. A first pass over the blocks compares one byte of each coordinate, shortest set first, and keeps
+the classes that have a partner of MATCHES; these bring their whole shingle sets to the same blocks, which
+confirm the pairs and hand on a spanning forest of the links found. No pair ever leaves a task, only classes and
+edges of forests do, and no link that joins two components is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from lexmill.llm.common import components, drop_staged, small_batches, staged
 COORDINATES, MATCHES = 40, 21
 #: Ids up to this number are broadcast (16 bytes each) to pick texts; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Classes of a key in one block at most (about), rows compared in one go, and pairs handed on in one go.
-BLOCK, ROWS, PAIRS = 4096, 16_384, 100_000
+#: Classes and shingles of a key in one block at most (about), and bytes of rows compared in one go.
+BLOCK, BLOCK_SHINGLES, HELD = 1024, 1 << 21, 32 << 20
+#: Shingles of the partners of one class that are looked up at once.
+LOOKED_UP = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -146,42 +149,58 @@ def _alike(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "u", "v").mapInArrow(run, "a bigint, b bigint")
 
 
-def block_pairs(t: pa.Table, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, row) of one cell, but not of one component, that agree in MATCHES coordinates and may reach ``percent`` by size.
+def block_suspects(t: pa.Table, percent: int) -> np.ndarray:
+    """Which rows have a partner in their cell, but not in their component, with MATCHES equal coordinates and a size that ``percent`` allows.
 
     Rows are sorted by cell and size; a row meets those after it while sizes allow. Rows on one side (0 or 1)
-    of a cell do not meet, those of side 2 all do. ``best``: of each row only the pair of most matches.
+    of a cell do not meet, those of side 2 all do.
     """
     cell, n, c, side = (t[x].to_numpy() for x in ("cell", "n", "c", "side"))
     sig, size = _bytes(t["sig"].combine_chunks()), len(cell)
-    most, partner = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    i, d, held, pending = np.arange(size), 0, [], 0
+    found, i, d = np.zeros(size, bool), np.arange(size), 0
     while len(i):
         d += 1
         i = i[: np.searchsorted(i, size - d)]
         i = i[(cell[i + d] == cell[i]) & (percent * n[i + d] <= 100 * n[i])]
         p = i[(c[i + d] != c[i]) & ((side[i] == 2) | (side[i + d] != side[i]))]
-        matches = (sig[p] == sig[p + d]).sum(1)
-        p, matches = p[matches >= MATCHES], matches[matches >= MATCHES]
-        if best:
-            for row, other in ((p, p + d), (p + d, p)):
-                better = matches > most[row]
-                most[row[better]], partner[row[better]] = matches[better], other[better]
-        elif len(p):
-            held.append((p, p + d))
-            pending += len(p)
-            if pending >= PAIRS:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held, pending = [], 0
-    if best:
-        held = [(np.flatnonzero(most), partner[most > 0])]
-    if held:
-        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+        p = p[(sig[p] == sig[p + d]).sum(1) >= MATCHES]
+        found[p] = found[p + d] = True
+    return found
+
+
+def cell_links(t: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """(row, row) of one cell, sorted by size: links on whole sets that, with the components there are, join all that the cell's links join."""
+    n, side, label = t["n"].to_numpy(), t["side"].to_numpy(), t["c"].to_numpy().copy()
+    sig, packed = _bytes(t["sig"].combine_chunks()), t["shingles"].to_pylist()
+    ends = np.cumsum(n)
+    starts = ends - n
+    known, code = np.unique(np.frombuffer(b"".join(packed), np.uint64), return_inverse=True)
+    mine, out = np.zeros(len(known), bool), []
+    for i in range(len(n) - 1):
+        end = int(np.searchsorted(n, 100 * int(n[i]) // percent, "right"))
+        others = np.arange(i + 1, end)
+        others = others[(label[others] != label[i]) & ((side[i] == 2) | (side[others] != side[i]))]
+        others = others[(sig[others] == sig[i]).sum(1) >= MATCHES]
+        if not len(others):
+            continue
+        own = code[starts[i] : ends[i]]
+        mine[own] = True
+        for some in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // LOOKED_UP)) + 1):
+            upto = np.cumsum(n[some])
+            at = np.arange(upto[-1]) + np.repeat(starts[some] - upto + n[some], n[some])
+            common = np.add.reduceat(mine[code[at]], upto - n[some], dtype=np.int64)
+            for j in some[100 * common >= percent * (n[i] + n[some] - common)]:
+                if label[j] != label[i]:
+                    out.append((i, int(j)))
+                    label[label == label[j]] = label[i]
+        mine[own] = False
+    return out
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` (k, id, ...) with cell and side: the rows of a key in one cell or, beyond BLOCK, in a cell for each two of its blocks."""
-    large = staged(rows.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    """``rows`` (k, id, n, ...) with cell and side: the rows of a key in one cell or, beyond a block, in a cell for each two of its blocks."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = staged(rows.groupBy("k").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.join(large, "k", "left").withColumn("own", F.coalesce(own, F.lit(0)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
@@ -190,30 +209,48 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.withColumns({"cell": F.xxhash64("k", first, second), "side": side})
 
 
-def _in_blocks(rows: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the rows (k, id, n, c, sig), by ``block_pairs``."""
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, in tables of about HELD bytes none of which ends inside a cell."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD:
+            t = pa.Table.from_batches(held).combine_chunks()
+            cell = t["cell"].to_numpy()
+            end = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
+            if end:
+                yield t.slice(0, end)
+            held = t.slice(end).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
 
-    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = t["id"].to_numpy()
-        for p, q in block_pairs(t, percent, best):
-            a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _suspects(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the rows (k, id, n, c, sig), dealt into cells, those that have a candidate partner there: (cell, side, id, n, c, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ROWS:
-                t = pa.Table.from_batches(held).combine_chunks()
-                cell = t["cell"].to_numpy()
-                end = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on in the next batch
-                yield from found(t.slice(0, end))
-                held, n = t.slice(end).to_batches(), t.num_rows - end
-        if held:
-            yield from found(pa.Table.from_batches(held).combine_chunks())
-
-    cells = _dealt(rows).select("cell", "side", "id", "n", "c", "sig").repartition("cell").sortWithinPartitions("cell", "n")
+        for t in _whole_cells(batches):
+            yield from t.filter(pa.array(block_suspects(t, percent))).to_batches()
+
+    cells = _dealt(rows).select("cell", "side", "id", "n", "c", "sig").repartition("cell").sortWithinPartitions("cell", "n", "id")
+    return cells.mapInArrow(run, cells.schema)
+
+
+def _cell_forests(suspects: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of the cells, a spanning forest of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches):
+            cell, ids, found = t["cell"].to_numpy(), t["id"].to_numpy(), []
+            ends = [*(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for start, end in zip([0, *ends], ends, strict=False):
+                found += [(ids[start + i], ids[start + j]) for i, j in cell_links(t.slice(start, end - start), percent)]
+            edges = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(edges.min(1)), pa.array(edges.max(1))], ["a", "b"])
+
+    cells = suspects.join(sets, "id").select("cell", "side", "id", "n", "c", "sig", "shingles").repartition("cell").sortWithinPartitions("cell", "n", "id")
     return cells.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -230,28 +267,29 @@ def _links(df: DataFrame, key: str, text_col: str, classes: DataFrame, width: in
         return None
     sizes = classes.select("id", "n", "sig")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Stages the links among candidates; only the texts of these are read."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return staged(_confirmed(pairs, _sets(df, key, text_col, staged(ids, "ids"), width), percent).distinct(), "links")
+    def whole(ids: DataFrame) -> DataFrame:
+        """The shingle sets of the classes in ``ids``; only their texts are read."""
+        return _sets(df, key, text_col, staged(ids.distinct(), "ids"), width)
 
     # each class meets the smallest id of each of its keys
     pivots = lists.groupBy("k").agg(F.min("id").alias("a"))
     met = lists.join(pivots, "k").where("a < id").select("a", F.col("id").alias("b")).distinct()
     met = met.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("sig").alias("u")), "a")
     met = met.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("o"), F.col("sig").alias("v")), "b")
-    seen = staged(_alike(met.where(100 * F.least("m", "o") >= percent * F.greatest("m", "o"))).distinct(), "pairs")
-    edges = confirmed(seen)
-    for best in (True, False):
-        now = lists.withColumn("component_id", F.lit(None).cast("bigint")) if edges.isEmpty() else lists.join(staged(components(edges), "labels"), "id", "left")
-        now = now.withColumn("c", F.coalesce("component_id", "id")).select("k", "id", "c")
-        # keys under which all classes are in one component have nothing more to tell
-        open_ = now.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
-        rows = staged(now.join(open_, "k", "left_semi").join(sizes, "id"), "open")
-        pairs = staged(_in_blocks(rows, percent, best).join(seen, ["a", "b"], "left_anti"), "pairs")
-        drop_staged(rows)
-        if not pairs.isEmpty():
-            seen, edges = seen.unionByName(pairs), edges.unionByName(confirmed(pairs))
+    pairs = staged(_alike(met.where(100 * F.least("m", "o") >= percent * F.greatest("m", "o"))), "pairs")
+    edges = staged(_confirmed(pairs, whole(pairs.select(F.explode(F.array("a", "b")).alias("id"))), percent), "links")
+    drop_staged(pairs)
+    # then those of each key that are not yet in one component meet each other
+    now = lists.withColumn("component_id", F.lit(None).cast("bigint")) if edges.isEmpty() else lists.join(staged(components(edges), "labels"), "id", "left")
+    now = now.withColumn("c", F.coalesce("component_id", "id")).select("k", "id", "c")
+    open_ = now.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
+    rows = staged(now.join(open_, "k", "left_semi").join(sizes, "id"), "open")
+    drop_staged(lists)
+    suspects = staged(_suspects(rows, percent), "suspects")
+    drop_staged(rows)
+    if not suspects.isEmpty():
+        edges = edges.unionByName(staged(_cell_forests(suspects, whole(suspects.select("id")), percent), "links"))
+    drop_staged(suspects)
     return edges
 
 
