@@ -2,11 +2,14 @@
 
 Writing rolls gzip archives, one member per record, whose extra field ``sl`` holds the member's lengths.
 Reading plans one partition for each bundle of archives, pushes record-type and header predicates into the
-scan, inflates a record's headers first and steps over the rest of a member that no one asked for.
+scan, inflates a record's headers first and steps over the rest of a member that no one asked for. Archives of
+other writers, gzip members without lengths or plain, are read too: a record that no one asked for is then
+inflated in passing but not kept.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 import urllib.parse
@@ -34,6 +37,10 @@ FIELDS = {
 SCHEMA = ", ".join(f"{c} {'bigint' if c == 'payload_length' else 'string'}" for c in FIELDS) + ", payload binary"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 MANIFEST = "_manifest"
+#: Names the fields of a record whose values are percent-encoded, because a header line cannot hold them as they are.
+ENCODED = "X-Percent-Encoded"
+#: Longest header block of a record.
+MAX_HEAD = 1 << 20
 #: Bytes after which a writer starts another archive, and that one reading task is given.
 ROLL, BUNDLE = 32 << 20, 32 << 20
 #: Bytes of rows gathered before a batch goes to Spark.
@@ -44,14 +51,17 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _quoted(value: str) -> str:
-    """Characters that a header line cannot hold, percent-encoded; the percent sign too, so that it can be undone."""
-    return urllib.parse.quote(value, safe="".join(chr(i) for i in range(33, 127) if chr(i) != "%") + " ")
+def _plain(value: str) -> bool:
+    """Whether a header line can hold the value as it is."""
+    return value == value.strip() and value.isprintable()
 
 
 def member(headers: dict[str, str | None], block: bytes) -> bytes:
     """One record as a gzip member with its lengths in the extra field."""
-    head = "".join(f"{k}: {_quoted(v)}\r\n" for k, v in headers.items() if v is not None)
+    there = {k: v for k, v in headers.items() if v is not None}
+    if odd := [k for k, v in there.items() if not _plain(v)]:
+        there |= {k: urllib.parse.quote(there[k], safe="", errors="surrogatepass") for k in odd} | {ENCODED: " ".join(odd)}
+    head = "".join(f"{k}: {v}\r\n" for k, v in there.items())
     raw = f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
     packer = zlib.compressobj(3, zlib.DEFLATED, -15)
     body = packer.compress(raw) + packer.flush()
@@ -60,36 +70,92 @@ def member(headers: dict[str, str | None], block: bytes) -> bytes:
     return start + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
+def _headers(head: bytes) -> dict[str, str]:
+    """Fields of a record by their usual spelling; a line that starts with a blank goes on with the one before."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    known = {x.lower(): x for x in (*FIELDS.values(), "Content-Length", "Content-Type", ENCODED)}
+    out = {}
+    for k, colon, v in (line.partition(":") for line in lines):
+        if colon:
+            out[known.get(k.strip().lower(), k.strip())] = v.strip()
+    return out | {k: urllib.parse.unquote(out[k], errors="surrogatepass") for k in out.get(ENCODED, "").split() if k in out}
+
+
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    """What follows the HTTP headers of an HTTP block; other blocks are payloads themselves."""
+    if not headers.get("Content-Type", "application/http").startswith("application/http"):
+        return block
+    return block.partition(b"\r\n\r\n")[2]
+
+
 def records(f, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers and payload of the records that ``wanted(headers)`` accepts.
 
-    Of other members only the first inflated kilobytes, up to the end of the headers, are read.
+    Of other members with lengths only the first inflated kilobytes, up to the end of the headers, are read.
+    A damaged record that is read whole raises; so does an archive that ends inside a record.
     """
-    while len(start := f.read(24)) == 24:
+    at = f.tell()
+    while start := f.read(24):
         if start[:4] != b"\x1f\x8b\x08\x04" or start[12:14] != b"sl":
-            raise ValueError("not a member with its lengths in an sl field")
-        length = struct.unpack("<I", start[16:20])[0]
-        at = f.tell()
+            f.seek(at)
+            yield from _stream_records(gzip.GzipFile(fileobj=f) if start[:2] == b"\x1f\x8b" else f, wanted, with_payload)
+            return
         # the prefix of a member is 24 bytes and its trailer 8: the lengths count both
-        left = length - 32
+        left = struct.unpack("<I", start[16:20])[0] - 32
         body = f.read(min(left, 2048))
         unpacker = zlib.decompressobj(-15)
         raw = unpacker.decompress(body, 4096)
         while b"\r\n\r\n" not in raw:
-            more = unpacker.unconsumed_tail or f.read(min(left - (f.tell() - at), 4096))
+            more = unpacker.unconsumed_tail or f.read(min(left - (f.tell() - at - 24), 4096))
             if not more:
                 raise ValueError("a record without an end of headers")
             raw += unpacker.decompress(more, 4096)
         head, _, block = raw.partition(b"\r\n\r\n")
-        headers = {k: urllib.parse.unquote(v) for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
+        headers = _headers(head)
         if wanted(headers):
             payload = None
             if with_payload:
-                rest = unpacker.decompress(unpacker.unconsumed_tail) + unpacker.decompress(f.read(left - (f.tell() - at))) + unpacker.flush()
-                block = (block + rest)[: int(headers["Content-Length"])]
-                payload = block.partition(b"\r\n\r\n")[2]
+                rest = unpacker.decompress(unpacker.unconsumed_tail) + unpacker.decompress(f.read(left - (f.tell() - at - 24))) + unpacker.flush()
+                if struct.unpack("<I", f.read(8)[:4])[0] != zlib.crc32(rest, zlib.crc32(raw)):
+                    raise ValueError("a record whose bytes do not match its checksum")
+                payload = _payload(headers, (block + rest)[: int(headers["Content-Length"])])
             yield headers, payload
-        f.seek(at + left + 8)
+        at += left + 32
+        f.seek(at)
+
+
+def _stream_records(f, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """As ``records``, of a stream of plain records; gzip checks the sums of its members."""
+    while True:
+        line = f.readline()
+        while line in (b"\r\n", b"\n"):
+            line = f.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        head = line
+        while (line := f.readline()) not in (b"\r\n", b"\n"):
+            head += line
+            if not line or len(head) > MAX_HEAD:
+                raise ValueError("a record without an end of headers")
+        headers = _headers(head.replace(b"\r\n", b"\n").replace(b"\n", b"\r\n").rstrip())
+        size, keep = int(headers["Content-Length"]), wanted(headers)
+        block, left = [], size
+        while left:
+            part = f.read(min(left, 1 << 20))
+            if not part:
+                raise ValueError("an archive that ends inside a record")
+            left -= len(part)
+            if keep and with_payload:
+                block.append(part)
+        if keep:
+            yield headers, _payload(headers, b"".join(block)) if with_payload else None
 
 
 @dataclass
@@ -124,8 +190,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         fs, root = _open(self.path)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-            listed = [line.split("\t") for line in f.read().decode().splitlines()]
+        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
+            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
+                listed = [line.split("\t") for line in f.read().decode().splitlines()]
+        else:  # archives of other writers
+            found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+            listed = [(x.path[len(root.rstrip("/")) + 1 :], x.size) for x in found if x.type == pafs.FileType.File and x.path.endswith((".warc", ".warc.gz"))]
         out, own, size = [], [], 0
         for name, n in sorted(listed, key=lambda x: (-int(x[1]), x[0])):
             if own and size + int(n) > BUNDLE:
@@ -146,10 +216,10 @@ class WarcReader(DataSourceReader):
 
         for name in partition.files:
             with fs.open_input_file(f"{root}/{name}") as plain:
-                for headers, payload in records(io.BufferedReader(plain, 1 << 16) if isinstance(plain, io.RawIOBase) else plain, self.wanted, self.with_payload):
+                for headers, payload in records(io.BufferedReader(plain, 1 << 16), self.wanted, self.with_payload):
                     values = [headers.get(h) for h in FIELDS.values()]
                     length = values[list(FIELDS).index("payload_length")]
-                    values[list(FIELDS).index("payload_length")] = None if length is None else int(length)
+                    values[list(FIELDS).index("payload_length")] = int(length) if length is not None else None if payload is None else len(payload)
                     rows.append((*values, payload))
                     size += 500 + len(payload or b"")
                     if size > BATCH:
