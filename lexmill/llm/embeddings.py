@@ -145,6 +145,53 @@ def _measured(vectors: DataFrame, probes: np.ndarray, books: tuple, threshold: f
     return 1
 
 
+def _meetings(width: int, visits: int, shared, threshold: float):
+    """Counts the links between two blocks, and those whose vectors meet in the traversal."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"links": pa.array([], pa.int64()), "met": pa.array([], pa.int64())})
+        x, y, met, links = matrix(left["v"].combine_chunks(), width), matrix(right["v"].combine_chunks(), width), 0, 0
+        # a pair meets if the one of the higher cell visits the cell of the other
+        cells = [d1.argmin(1) * d2.shape[1] + d2.argmin(1) for d1, d2 in (distances(x, shared.value), distances(y, shared.value))]
+        for at in range(0, len(y), 4096):
+            a, b = np.nonzero(x @ y[at : at + 4096].T >= threshold)
+            b += at
+            other = left["id"].to_numpy()[a] != right["id"].to_numpy()[b]
+            a, b = a[other], b[other]
+            if len(a):
+                up = cells[0][a] >= cells[1][b]
+                u, w = np.where(up[:, None], x[a], y[b]), np.where(up[:, None], y[b], x[a])
+                met += int((place_in_traversal(u, w, shared.value) <= visits).sum())
+                links += len(a)
+        return pa.table({"links": [links], "met": [met]})
+
+    return run
+
+
+def recall(df: DataFrame, vec_col: str = "embedding", key: str = "vec_id", threshold: float = 0.9, target: float = TARGET_RECALL, every: int = 100) -> list[tuple[int, int, int, int]]:
+    """(width, visits, links, of these met) for each width: the links between vectors whose key is divisible by ``every`` and all others,
+    found by brute force over the whole table, and how many of them the traversal meets. Null and invalid vectors have none."""
+    vectors = staged(_unit_vectors(df, key, vec_col).where("v is not null and id is not null"), "recall")
+    out = []
+    for width, n in [tuple(r) for r in vectors.groupBy("width").agg(F.count_distinct("v")).orderBy("width").collect()]:
+        own = vectors.where(F.col("width") == width)
+        books, visits = fit(own, width, n, threshold, target)
+        shared = vectors.sparkSession.sparkContext.broadcast(books)
+
+        # queries and vectors in blocks, every block of the one with every block of the other
+        blocks = max(1, math.ceil(n / 50_000))
+        dealt = own.select("id", "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).alias("b"))
+        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        asked = own.where(F.pmod("id", F.lit(every)) == 0).select("id", "v", upto(blocks).alias("b"))
+        asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(math.ceil(blocks / every))))
+        dealt = dealt.withColumn("q", upto(math.ceil(blocks / every)))
+        found = asked.groupBy("b", "q").cogroup(dealt.groupBy("b", "q")).applyInArrow(_meetings(width, visits, shared, threshold), "links bigint, met bigint")
+        links, met = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("met"), F.lit(0))).first()
+        out.append((width, visits, links, met))
+    return out
+
+
 def _postings(vectors: DataFrame, books: tuple, width: int, visits: int) -> DataFrame:
     """(cell, role, id, mult, v): each vector once as a member (role 0) of its cell and as a visitor (role 1) of lower ones."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
@@ -235,7 +282,7 @@ def near_duplicates(df: DataFrame, vec_col: str = "embedding", key: str = "vec_i
     Null vectors, vectors of length zero and those with a null or non-finite component link with nothing, nor do
     vectors of different widths link. Equal vectors are compared once and counted each. A null key has no links.
     Rows that share a key are vectors of their own; each shows the links of all of them that come first in their classes. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. ``recall`` measures the share of links that are found.
     """
     every = staged(_unit_vectors(df, key, vec_col), "vectors")
     valid = every.where("v is not null and id is not null")
