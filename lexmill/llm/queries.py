@@ -158,7 +158,7 @@ from embeddings left join n using (vec_id) join c on c.id = vec_id
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.text_statistics(quality_rules.judge(read_table(spark, sf_dir, "documents")))
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"), statistics=True)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept")
 
