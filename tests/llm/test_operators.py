@@ -50,6 +50,23 @@ def test_url_rules(spark):
     assert got == {0: ("example.org/es/", "block"), 1: ("org/", "allow"), 2: ("com/de/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
 
 
+def test_url_rules_long_and_repeated(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "HEAD", 4)
+    monkeypatch.setattr(urlfilter, "LABELS", 2)
+    many = ".".join(["a"] * 20_000) + ".org"
+    urls = [f"http://{many}/es/long/x", "http://b.c.org/es/long", "http://c.org/es/lo", "http://x.b.c.org/es/longer", "http://x.b.c.org/es/longer", "http://z.c.org/", "http://org/" + "p" * 100_000]
+    rules = [("b.c.org", "/es/long", "block"), ("c.org", "/es/", "allow"), ("b.c.org", "/es/longe", "allow"), ("org", "/es/long", "block"), ("org", "/es/", "block"), ("org", "/pppp", "block"), ("org", "/ppppq", "allow")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, table).collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u.removeprefix("http://").partition("/")
+        fit = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == ((max(fit)[3], max(fit)[2]) if fit else (None, "allow"))
+    assert urlfilter.judge(pages.limit(0), table).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge(pages, table.limit(0)).collect()} == {"allow"}
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "b", "c", None])) for i in range(3000)] + [(9999, None, "a")]
@@ -62,6 +79,60 @@ def test_mixing_meets_targets(spark):
         assert abs(r["taken"] - r["target"]) <= max(45, 0.01 * r["target"])
 
 
+def plain_mix(rows, cycle=(5.0, 2.0, 1.0), cap=3):
+    """source -> (words, target, tilt) by bisection in plain Python; ``rows``: (source, size)."""
+    sources = sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
+    words = {s: sum(n for x, n in rows if x == s) for s in sources}
+    weight = {s: cycle[i % len(cycle)] for i, s in enumerate(sources)}
+    target, free = {}, set(sources)
+    while free:
+        left = sum(words.values()) - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > cap * words[s]}
+        target |= {s: cap * words[s] for s in over} or share
+        free -= over or free
+    out = {}
+    for s in sources:
+        low, high = -100.0, 100.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            got = sum(n * min(cap, np.exp(min(50.0, tilt * n))) for x, n in rows if x == s)
+            low, high = (tilt, high) if got < target[s] else (low, tilt)
+        out[s] = (words[s], target[s], tilt)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{"a": 30, "b": 800, "c": 900}, {"a": 5, "b": 9, "c": 2000, None: 1000}, {"a": 400, "b": 0, "c": 300}, {"a": 1}])
+def test_mixing_equals_brute_force(spark, sizes):
+    rng = random.Random(5)
+    rows = [(s, rng.choice([0, 3, 3, 7, rng.randint(1, 60)])) for s, n in sizes.items() for _ in range(n or 4)]
+    rows = [(s, n if sizes[s] else 0) for s, n in rows]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), s, -1, "x") for i, (s, n) in enumerate(rows)], "doc_id bigint, text string, source string, size bigint, copies string")
+    out = mixing.mix(df).collect()
+    want = plain_mix(rows)
+    assert len(out) == len(rows)
+    for s, (words, target, tilt) in want.items():
+        own = [r for r in out if r["source"] == s]
+        largest = max(r["size"] for r in own)
+        assert all(r["source_size"] == words and abs(r["target"] - target) < 1e-6 * max(target, 1) for r in own)
+        # whole copies stray from the target by less than two documents, from a capped source's not at all
+        assert abs(sum(r["taken"] for r in own) - target) <= (0 if target == 3 * words else 2 * largest)
+        for n in {r["size"] for r in own if r["size"]}:
+            same = [r["copies"] for r in own if r["size"] == n]
+            assert max(same) - min(same) <= 1 and max(same) <= 3
+            # what _settle gives or takes comes on top of the rounding of the tilted rates
+            assert abs(sum(same) - len(same) * min(3, np.exp(min(50.0, tilt * n)))) <= 2 + 2 * largest / n
+    assert all(r["taken"] == r["copies"] * r["size"] for r in out)
+
+
+def test_mixing_odd_inputs(spark):
+    df = spark.createDataFrame([(1, None, None), (None, " ", "a"), (1, "", "a")], "doc_id bigint, text string, source string")
+    assert [(r["size"], r["taken"], r["target"]) for r in mixing.mix(df).collect()] == [(0, 0, 0.0)] * 3
+    assert mixing.mix(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(7, "a b c d", "a")] * 5 + [(8, "w " * 30, "b")] * 4, "doc_id bigint, text string, source string")
+    assert mixing.mix(same).count() == 9
+
+
 def test_pipeline_mixing_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
@@ -87,19 +158,53 @@ def test_line_dedup_keeps_first(spark):
 
 
 def all_pairs_left(texts, least=5):
-    """What stays when every document is aligned with every earlier one."""
+    """What stays when every run of adjacent lines with ``least`` words that any earlier document holds too goes."""
     rows = []
     for t in texts:
-        at = [i for i, x in enumerate(t.split("\n")) if x.strip()]
-        lines = t.split("\n")
+        lines = (t or "").split("\n")
+        at = [i for i, x in enumerate(lines) if x.strip()]
         rows.append((at, [len(lines[i].split()) for i in at], [lines[i] for i in at]))
+    runs = [{tuple(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)} for _, _, x in rows]
     out = []
     for j, (at, sizes, later) in enumerate(rows):
-        gone = {at[k] for i in range(j) for k in linededup.doomed(rows[i][2], later, sizes, least)}
-        out.append("\n".join(x for i, x in enumerate(texts[j].split("\n")) if i not in gone))
+        gone = set()
+        for start in range(len(later)):
+            for end in range(start + 1, len(later) + 1):
+                if sum(sizes[start:end]) >= least and any(tuple(later[start:end]) in r for r in runs[:j]):
+                    gone |= {at[k] for k in range(start, end)}
+        out.append(texts[j] and "\n".join(x for i, x in enumerate(texts[j].split("\n")) if i not in gone))
     return out
 
 
+def test_line_dedup_odd_inputs(spark):
+    rng = random.Random(9)
+    line = [" ".join(f"w{k}" for k in range(i % 7 + 1)) + f" {i}" for i in range(12)]
+    texts = ["\n".join(rng.sample(line, rng.randint(0, 7))) for _ in range(60)] + [None, "", "\n \n", line[6] + "\n" + "x\n" * 5000, "x\n" * 5000]
+    df = docs(spark, texts, ("n_removed", "gone", "hashes", "at"))
+    out = linededup.dedup(df)
+    assert out.columns == ["doc_id", "text", "gone", "hashes", "at", "n_removed"]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [got[i] for i in range(63)] == all_pairs_left(texts[:63]) and got[64].replace("\n", "") == ""
+    assert linededup.dedup(df.limit(0)).count() == 0
+    again = spark.createDataFrame([(1, line[6]), (2, line[6]), (2, line[6]), (None, line[6]), (None, None)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup(again).collect() if r["text"] is not None) == [(0, line[6]), (1, line[6]), (2, ""), (2, "")]
+
+
+def test_line_dedup_with_repeats(spark):
+    """Of repeated runs at least as many go as any earlier document holds, and nothing goes that none holds."""
+    rng = random.Random(11)
+    line = [" ".join(f"w{k}" for k in range(i % 7 + 1)) + f" {i}" for i in range(9)]
+    lines = [[rng.choice(line) for _ in range(rng.randint(0, 9))] for _ in range(50)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(docs(spark, ["\n".join(x) for x in lines])).collect()}
+    could = all_pairs_left(["\n".join(x) for x in lines])
+    for j, own in enumerate(lines):
+        left = got[j].split("\n") if got[j] else []
+        assert all(left.count(x) >= could[j].split("\n").count(x) for x in line)
+        for x in line:
+            if len(x.split()) >= 5:
+                assert left.count(x) <= max(0, own.count(x) - max([0, *(e.count(x) for e in lines[:j])]))
+
+
 def test_line_dedup_equals_all_pairs(spark):
     short = [f"s{i} t{i}" for i in range(30)]
     long_ = [" ".join(f"l{i}w{k}" for k in range(6)) for i in range(12)]
@@ -115,6 +220,16 @@ def test_line_dedup_equals_all_pairs(spark):
     assert want[31] == "D\nd" and want[34] == ""
 
 
+def test_doomed_equals_shared_runs():
+    rng = random.Random(1)
+    for _ in range(2000):
+        size = [rng.randint(1, 6) for _ in range(12)]
+        a, b = (rng.sample(range(12), rng.randint(0, 9)) for _ in range(2))
+        spans = lambda x: {(i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(size[k] for k in x[i:j]) >= 5}  # noqa: E731, B023
+        held = {tuple(a[i:j]) for i, j in spans(a)}
+        assert linededup.doomed(a, b, [size[x] for x in b], 5) == sorted({k for i, j in spans(b) if tuple(b[i:j]) in held for k in range(i, j)})
+
+
 def test_patience_matches_are_a_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
@@ -233,15 +348,44 @@ def test_embeddings_equal_brute_force(spark):
     assert out == {i: (int(link[i].sum()), int(root[i])) for i in range(len(u))} | {i: (0, i) for i in range(100, 105)}
 
 
+def test_embeddings_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL", 4)
+    monkeypatch.setattr(embeddings, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x = np.concatenate([x, x[:300] + 0.1 * rng.normal(size=(300, 16)), x[:200] + 0.2 * rng.normal(size=(200, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    assert all(out[i]["n_links"] <= link[i].sum() for i in range(len(u)))
+    assert sum(r["n_links"] for r in out.values()) >= 0.99 * link.sum() > 0
+    ((width, visits, links, met),) = embeddings.recall(df, every=3)
+    assert width == 16 and visits > 1 and links == link[::3].sum() and met >= 0.99 * links
+
+
+def test_embeddings_repeated_keys_and_empty(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (3, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({"n": F.lit(1), "id": F.lit("x"), "v": F.lit(0)})
+    out = sorted((r["vec_id"] or 0, r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect())
+    assert [x[0] for x in out] == [0, 1, 1, 2, 3] and out[-1] == (3, 2, False) and out[-2] == (2, 2, True)
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_quality_rules(spark):
     texts = [None, "", " ".join(f"w{i}" for i in range(60)), "a b c " * 30, "ONE " * 60, "x\n" * 60]
-    out = {r["doc_id"]: r for r in quality_rules.text_statistics(quality_rules.judge(docs(spark, texts, ("kept", "n_words")))).collect()}
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, texts, ("kept", "n_words")), statistics=True).collect()}
+    assert out == {r["doc_id"]: r for r in quality_rules.judge(quality_rules.text_statistics(docs(spark, texts))).select(*out[0].asDict()).collect()} | {k: r for k, r in out.items() if r["rejected_by"]}
+    assert quality_rules.judge(docs(spark, texts).limit(0), statistics=True).count() == 0
     assert [out[i]["kept"] for i in range(6)] == [False, False, True, False, False, False]
     assert [out[i]["n_repeat_words"] for i in range(4)] == [0, 0, 0, 90]
     assert out[5]["n_dup_lines"] == 59
 
 
-def test_repeat_words_brute_force(spark):
+@pytest.mark.parametrize("kinds", [None, 2, 1])
+def test_repeat_words_brute_force(spark, monkeypatch, kinds):
+    if kinds:  # nearly all hashes collide: only words can tell windows apart
+        monkeypatch.setattr(quality_rules, "_window_hash", lambda w, i: F.pmod(F.xxhash64(F.get(w, i)), F.lit(kinds)))
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(60)]
     got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.text_statistics(docs(spark, texts)).collect()}
@@ -265,6 +409,46 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "empty")).count() == 0
 
 
+def other_archive(records, gz):
+    """WARC records as another writer makes them: no lengths, bare URIs, own order and case of fields."""
+    import gzip
+
+    out = b""
+    for kind, uri, http, body in records:
+        block = (b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" if http else b"") + body
+        mime = "application/http; msgtype=response" if http else "text/plain"
+        one = f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Type: {mime}\r\nContent-Length: {len(block)}\r\nWARC-Record-ID: <{uri}>\r\n\r\n".encode() + block + b"\r\n\r\n"
+        out += gzip.compress(one) if gz == "each" else one
+    return gzip.compress(out) if gz == "whole" else out
+
+
+@pytest.mark.parametrize("gz", ["each", "whole", ""])
+def test_warc_of_other_writers(spark, tmp_path, gz):
+    own = [("warcinfo", "i", False, b"software: x"), ("response", "http://a/%20b?c=%C3%B1", True, b"\r\n\r\nbody" * 9000), ("request", "q", True, b""), ("response", "http://ñ/", True, "ñ".encode())]
+    (tmp_path / "w" / "deep").mkdir(parents=True)
+    name = "x.warc.gz" if gz else "x.warc"
+    (tmp_path / "w" / "deep" / name).write_bytes(other_archive(own, gz))
+    (tmp_path / "w" / "notes.txt").write_text("no archive")
+    got = {r["target_uri"]: (r["record_type"], bytes(r["payload"]), r["payload_length"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {u: (k, b, len(b)) for k, u, _, b in own}
+    assert {r["target_uri"] for r in warc.read_warc(spark, str(tmp_path / "w"), payload=False).where("record_type = 'response'").collect()} == {own[1][1], own[3][1]}
+
+
+def test_warc_is_read_by_gzip_and_checked(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/%20b", "x" * 200), (1, "a\x85 b", "y" * 300), (None, "u", "y" * 300), (None, None, ""), (5, "u", "z" * 200_000)], "page_id bigint, url string, html string")
+    warc.write_warc(warc.page_records(pages), str(tmp_path / "w"))
+    out = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["target_uri"] or "", r["record_type"], r["payload_length"]) for r in out) == [("", "response", 0), ("a\x85 b", "response", 300), ("http://a/%20b", "response", 200), ("u", "response", 200_000), ("u", "revisit", 300)]
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    assert b"WARC-Target-URI: http://a/%20b\r\n" in b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    damaged = bytearray(warc.member({"WARC-Type": "response"}, b"HTTP/1.1 200 OK\r\n\r\nbody"))
+    damaged[-8] ^= 1
+    with pytest.raises(ValueError, match="checksum"):
+        list(warc.records(__import__("io").BytesIO(bytes(damaged)), lambda h: True, True))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
@@ -278,7 +462,7 @@ def test_components(spark):
 
 def test_minhash_blocks_let_each_pair_meet_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    rows = spark.createDataFrame([(k, i) for k, m in ((1, 23), (2, 3), (3, 1)) for i in range(m)], "k bigint, id bigint")
+    rows = spark.createDataFrame([(k, i, 9) for k, m in ((1, 23), (2, 3), (3, 1)) for i in range(m)], "k bigint, id bigint, n bigint")
     cells = {}
     for r in minhash._dealt(rows).collect():
         cells.setdefault((r["k"], r["cell"]), []).append((r["id"], r["side"]))
@@ -287,24 +471,25 @@ def test_minhash_blocks_let_each_pair_meet_once(spark, monkeypatch):
     assert met == [(k, i, j) for k, m in ((1, 23), (2, 3)) for i in range(m) for j in range(i + 1, m)]
 
 
-@pytest.mark.parametrize("limit", [1, 100])
-def test_minhash_block_pairs_equal_brute_force(monkeypatch, limit):
-    monkeypatch.setattr(minhash, "PAIRS", limit)
+@pytest.mark.parametrize("limit", [1, 200])
+def test_minhash_cells_equal_brute_force(monkeypatch, limit):
+    monkeypatch.setattr(minhash, "LOOKED_UP", limit)
     rng = np.random.default_rng(3)
-    n = 120
-    sig = rng.integers(0, 2, (n, minhash.COORDINATES), np.uint8)
-    cell, size, c, side = np.sort(rng.integers(0, 4, n)), rng.integers(50, 90, n), rng.integers(0, 9, n), rng.integers(0, 3, n)
-    side[cell != 2], side[cell == 2] = 2, side[cell == 2] % 2
-    order = np.lexsort((size, cell))
-    size, sig = size[order], sig[order]
-    t = pa.table({"cell": cell, "n": size, "c": c, "side": side, "sig": [s.tobytes() for s in sig]})
-    meet = lambda i, j: cell[i] == cell[j] and c[i] != c[j] and (side[i] == 2 or side[i] != side[j]) and 80 * size[j] <= 100 * size[i]
-    matches = {(i, j): int((sig[i] == sig[j]).sum()) for i in range(n) for j in range(i + 1, n) if meet(i, j)}
-    matches = {p: m for p, m in matches.items() if m >= minhash.MATCHES}
-    got = [(int(a), int(b)) for p, q in minhash.block_pairs(t, 80, False) for a, b in zip(p, q, strict=True)]
-    assert matches and sorted(got) == sorted(matches)
-    most = {}
-    for (i, j), m in matches.items():
-        most[i], most[j] = max(m, most.get(i, 0)), max(m, most.get(j, 0))
-    best = [(int(a), int(b)) for p, q in minhash.block_pairs(t, 80, True) for a, b in zip(p, q, strict=True)]
-    assert {a: matches[min(a, b), max(a, b)] for a, b in best} == most
+    base = [np.unique(rng.integers(0, 1 << 60, 50).astype(np.uint64)) for _ in range(6)]
+    sets = sorted((np.unique(np.concatenate([b[rng.permutation(50)[: rng.integers(40, 50)]], rng.integers(0, 1 << 60, rng.integers(0, 9)).astype(np.uint64)])) for b in base for _ in range(12)), key=len)
+    n, c, size = [len(x) for x in sets], rng.integers(0, 30, len(sets)), len(sets)
+    sigs = [minhash.signature(x).astype(np.uint8) for x in sets]
+    for side in (np.full(size, 2), rng.integers(0, 2, size)):
+        t = pa.table({"cell": np.zeros(size, np.int64), "n": n, "c": c, "side": side, "sig": [x.tobytes() for x in sigs], "shingles": [x.tobytes() for x in sets]})
+        meet = [(i, j) for i in range(size) for j in range(i + 1, size) if c[i] != c[j] and (side[i] == 2 or side[i] != side[j]) and 80 * n[j] <= 100 * n[i] and (sigs[i] == sigs[j]).sum() >= minhash.MATCHES]
+        links = [(i, j) for i, j in meet if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        assert links and np.flatnonzero(minhash.block_suspects(t, 80)).tolist() == sorted({k for p in meet for k in p})
+
+        def joined(edges):
+            root = c.copy()
+            for i, j in edges:
+                root[root == root[j]] = root[i]
+            return [[bool(root[i] == root[j]) for j in range(size)] for i in range(size)]
+
+        forest = minhash.cell_links(t, 80)
+        assert set(forest) <= set(links) and len(forest) < 30 and joined(forest) == joined(links)
