@@ -20,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import small_batches
+from lexmill.llm.common import drop_staged, small_batches, staged
 
 #: A common block of fewer words stays.
 MIN_BLOCK_WORDS = 5
+#: Runs with more holders than both LEAST_HOT and one HOT_RUNS-th of all holders of shared runs are dealt into salts.
+LEAST_HOT, HOT_RUNS = 1000, 10_000
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -179,10 +181,17 @@ def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_blo
     """
     small_batches(df.sparkSession)
     rows = _line_rows(df.where(F.col(key).isNotNull()), text_col, key, min_block_words)
-    rows = rows.groupBy(key).agg(*(F.max_by(c, F.struct(F.size("at"), F.hash("hashes"))).alias(c) for c in ("at", "sizes", "hashes", "names")))
+    rows = staged(rows.groupBy(key).agg(*(F.max_by(c, F.struct(F.size("at"), F.hash("hashes"))).alias(c) for c in ("at", "sizes", "hashes", "names"))), "lines")
     held = rows.select(F.col(key).alias("later"), F.explode("names").alias("h"))
-    first = held.groupBy("h").agg(F.min("later").alias("earlier"), F.max("later").alias("last")).where("earlier < last").select("h", "earlier")
-    pairs = held.join(first, "h").where("earlier < later").select("earlier", "later").distinct()
+    first = held.groupBy("h").agg(F.min("later").alias("earlier"), F.max("later").alias("last"), F.count("*").alias("n")).where("earlier < last")
+    first = staged(first.select("h", "earlier", "n"), "first")
+    # a run that very many documents hold is dealt into salts; of such runs there are never more than HOT_RUNS
+    most = max(LEAST_HOT, (first.agg(F.sum("n")).first()[0] or 0) // HOT_RUNS)
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(first.where(F.col("n") > most).select("h", salts.alias("salts")))
+    salted = held.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("later"), "salts"), F.lit(0)).cast("int"))
+    firsts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("h", "salt", "earlier")
+    pairs = salted.join(firsts, ["h", "salt"]).where("earlier < later").select("earlier", "later").distinct()
     a = rows.select(F.col(key).alias("earlier"), F.col("hashes").alias("theirs"))
     b = rows.select(F.col(key).alias("later"), "at", "sizes", "hashes")
 
@@ -195,7 +204,9 @@ def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_blo
     kind = df.select(key).dtypes[0][1]
     paired = pairs.join(a, "earlier").join(b, "later").select("later", "theirs", "at", "sizes", "hashes")
     found = paired.mapInArrow(run, f"later {kind}, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy(F.col("later").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    gone = staged(found.groupBy(F.col("later").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
+    drop_staged(rows, first)
+    return gone
 
 
 def dedup(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:

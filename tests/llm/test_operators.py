@@ -205,7 +205,9 @@ def test_line_dedup_with_repeats(spark):
                 assert left.count(x) <= max(0, own.count(x) - max([0, *(e.count(x) for e in lines[:j])]))
 
 
-def test_line_dedup_equals_all_pairs(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "LEAST_HOT", hot)
     short = [f"s{i} t{i}" for i in range(30)]
     long_ = [" ".join(f"l{i}w{k}" for k in range(6)) for i in range(12)]
     passage = "\n".join(short)
