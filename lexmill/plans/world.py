@@ -97,7 +97,7 @@ select event_id as id, '<' || cast(event_id % 4000 as string) || '@corte>' as me
 from {{events}}"""
 
 USAGE = f"""
-select event_id as id, ts as at, {_words("user_id", "deepseek", "openai", "anthropic")} as provider, {_words("event_id", "chat", "reasoner", "mini", "unknown")} as model,
+select event_id as id, ts as used, {_words("user_id", "deepseek", "openai", "anthropic")} as provider, {_words("event_id", "chat", "reasoner", "mini", "unknown")} as model,
   event_id * 37 % 5000 as tokens_in, event_id * 11 % 900 as tokens_out, case when event_id % 6 = 0 then 'bad' when event_id % 7 = 0 then null else cast(event_id % 90 as string) end as cost,
   case when event_id % 4 = 0 then null else user_id end as case_id, event_id * 13 % 4000 as ms,
   {_words("event_id", None, None, None, "429 too many", None, "rate exceeded", "timeout", None, None, None, None)} as error
