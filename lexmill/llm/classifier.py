@@ -3,8 +3,9 @@
 A text is its words, each with an end mark that also stands for the blank, behind begin marks; the model, one for
 each language, predicts every character and end mark from the ORDER - 1 symbols before it, those of earlier words
 included, so the order of words counts as far as these reach. Training keeps counts only, as
-tables sharded by n-gram. Scoring gathers the n-grams of a batch of texts, joins each distinct one with the
-counts of every order, and hands the probabilities back to the batch. A document whose perplexity exceeds its
+tables sharded by n-gram. Texts are dealt into batches by hashes of their keys. Scoring sends the distinct n-grams of
+each batch, packed, to their shards; each shard's distinct n-grams are joined with the counts of every order, and
+the probabilities go back, packed in the same order, to the batch. A document whose perplexity exceeds its
 language's quantile, taken over trusted texts that the model was not trained on, is not kept.
 """
 
@@ -15,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +26,11 @@ ORDER = 5
 FOLDS = 10
 #: A language's threshold is this quantile of its held-out texts' perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.1
-#: Characters of texts of one language that are scored together; a longer text is a batch of its own.
-BATCH_CHARS = 16 << 20
+#: Characters (about) of texts of one language that are scored together, that a task packs at once, and rows of all texts that make one shard more.
+BATCH_CHARS, PACK_CHARS, SHARD_ROWS = 16 << 20, 64 << 20, 4096
 #: Trusted ids up to this number are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Languages up to this number: their discounts (a few numbers for each order) are broadcast.
+#: Rows of languages up to this number are broadcast (a few numbers for each order); more are joined by a shuffle.
 MAX_LANGS = 10_000
 BEGIN, END = "\x02", "\x03"
 #: Characters whose n-grams are taken apart at once; what a longer text has beyond is a further piece.
@@ -86,71 +86,145 @@ def _grams(pieces: list[str], order: int) -> tuple[list[str], np.ndarray]:
     return [body[i : i + order] for i in range(0, len(body), order)], inverse
 
 
-def _batches(rows: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str | None, list, list[str]]]:
-    """(lang, (key, held) pairs, texts) of one language and about ``limit`` characters, the same at every run over the same rows."""
-    held: dict[str | None, list] = {}
-    for batch in rows:
-        for key, apart, lang, text in zip(*(batch.column(c).to_pylist() for c in ("key", "held", "lang", "text")), strict=True):
-            own = held.setdefault(lang, [[], [], 0])
-            own[0].append((key, apart))
-            own[1].append(text or "")
-            own[2] += len(text or "")
-            if own[2] >= limit:
-                yield lang, own[0], own[1]
-                del held[lang]
-    for lang, (keys, texts, _) in held.items():
-        yield lang, keys, texts
+class _Windows:
+    """The n-grams of a batch of texts as numbers that sort like their symbols."""
 
+    def __init__(self, texts: list[str], order: int):
+        self.order = order
+        self.groups = [([(k, len(p)) for k, p in g], np.frombuffer("".join(p for _, p in g).encode("utf-32-le", "surrogatepass"), np.uint32)) for g in _pieces(texts, order)]
+        self.alphabet = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.unique(c) for _, c in self.groups)]))
+        self.place = np.zeros(int(self.alphabet[-1]) + 1 if len(self.alphabet) else 0, np.int64)
+        self.place[self.alphabet] = np.arange(len(self.alphabet))
+        # numbers of all symbols might not fit in 62 bits: then those of the first symbols are numbered anew
+        self.back, self.front = order // 2, None
+        if len(self.alphabet) ** order >= 1 << 62:
+            self.front = np.unique(np.concatenate([np.unique(self._number(c, 0, order - self.back)) for _, c in self.groups]))
 
-def _batch_id(lang: str | None, keys: list, texts: list[str]) -> int:
-    """Known from what the batch holds: rows that formed another batch at a second reading would be missed, and raise."""
-    h = xxhash.xxh3_64(repr((lang, keys)))
-    for t in texts:
-        h.update(len(t).to_bytes(8, "little"))
-    return h.intdigest() - (1 << 63)
+    def _number(self, code: np.ndarray, start: int, length: int) -> np.ndarray:
+        dense, n = self.place[code], len(code) - self.order + 1
+        ids = np.zeros(n, np.int64)
+        for j in range(start, start + length):
+            ids = ids * len(self.alphabet) + dense[j : j + n]
+        return ids
 
+    def ids(self, sizes: list[tuple[int, int]], code: np.ndarray) -> np.ndarray:
+        """Of every n-gram of a group in order; none lies across two pieces."""
+        whole = np.ones(len(code), bool)
+        ends = np.cumsum([n for _, n in sizes])
+        for k in range(1, self.order):
+            whole[ends - k] = False
+        whole = whole[: len(code) - self.order + 1]
+        if self.front is None:
+            return self._number(code, 0, self.order)[whole]
+        first = np.searchsorted(self.front, self._number(code, 0, self.order - self.back)[whole])
+        return first * len(self.alphabet) ** self.back + self._number(code, self.order - self.back, self.back)[whole]
 
-def _gram_rows(rows: DataFrame, order: int, by_batch: bool) -> DataFrame:
-    """(lang, gram, n) of each batch, or (batch, lang, gram) once each."""
+    def distinct(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(self.ids(*g)) for g in self.groups)]))
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        """The code points of n-grams, a row for each."""
+        out, k, rest = np.zeros((len(ids), self.order), np.uint32), len(self.alphabet), ids
+        for j in range(self.order - 1, -1, -1):
+            if self.front is not None and j == self.order - self.back - 1:
+                rest = self.front[rest]
+            out[:, j] = self.alphabet[rest % k]
+            rest = rest // k
+        return out
+
+
+_SPREAD = np.random.default_rng(20240101).integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
+
+
+def _shards(symbols_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams' places in the order of their shards, and where each shard starts and the last ends."""
+    h = (symbols_.astype(np.uint64) * _SPREAD[: symbols_.shape[1]]).sum(1, dtype=np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    shard = ((h ^ (h >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=n))])
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _gram_rows(rows: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n): counts of a task's texts, in parts of about ``BATCH_CHARS``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, keys, texts in _batches(it, BATCH_CHARS):
-            if by_batch:
-                distinct: set[str] = set()
-                for group in _pieces(texts, order):
-                    distinct.update(_grams([p for _, p in group], order)[0])
-                grams = list(distinct)
-                first, names = pa.array([_batch_id(lang, keys, texts)] * len(grams), pa.int64()), ["batch", "lang", "gram"]
-                yield pa.RecordBatch.from_arrays([first, pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string())], names)
-            else:
-                total: dict[str, int] = {}
-                for group in _pieces(texts, order):
-                    own, which = _grams([p for _, p in group], order)
-                    for g, n in zip(own, np.bincount(which, minlength=len(own)).tolist(), strict=True):
-                        total[g] = total.get(g, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
-
-    return rows.mapInArrow(run, "batch bigint, lang string, gram string" if by_batch else "lang string, gram string, n bigint")
+        held: dict[str | None, list] = {}
+
+        def counted(lang: str | None) -> pa.RecordBatch:
+            total: dict[str, int] = {}
+            for group in _pieces(held.pop(lang)[0], order):
+                own, which = _grams([p for _, p in group], order)
+                for g, n in zip(own, np.bincount(which, minlength=len(own)).tolist(), strict=True):
+                    total[g] = total.get(g, 0) + n
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
+
+        for batch in it:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                own = held.setdefault(lang, [[], 0])
+                own[0].append(text or "")
+                own[1] += len(text or "")
+                if own[1] >= BATCH_CHARS:
+                    yield counted(lang)
+        for lang in list(held):
+            yield counted(lang)
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n bigint")
 
 
 def _packed_texts(rows: DataFrame) -> DataFrame:
-    """(batch, lang, keys, held, sizes, texts): pieces of each batch, the texts compressed."""
+    """(batch, lang, keys, held, sizes, texts): the texts of a task by batch, compressed."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, keys, texts in _batches(it, BATCH_CHARS):
-            ident = _batch_id(lang, keys, texts)
-            for k in range(0, len(keys), 1000):
-                raw = [t.encode("utf-8", "surrogatepass") for t in texts[k : k + 1000]]
-                body = b"".join(raw)
-                packed = pa.compress(body, codec="zstd", asbytes=True)
-                mine = list(zip(*keys[k : k + 1000], strict=True))
-                columns = [pa.array([ident], pa.int64()), pa.array([lang], pa.string()), pa.array([mine[0]], pa.list_(pa.int64())), pa.array([mine[1]], pa.list_(pa.bool_()))]
-                columns += [pa.array([[len(x) for x in raw]], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for ident, (lang, keys, apart, texts) in held.items():
+                columns = [pa.array([ident], pa.int64()), pa.array([lang], pa.string()), pa.array([keys], pa.list_(pa.int64())), pa.array([apart], pa.list_(pa.bool_()))]
+                columns += [pa.array([[len(x) for x in texts]], pa.list_(pa.int64())), pa.array([_pack(b"".join(texts))], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["batch", "lang", "keys", "held", "sizes", "texts"])
+            held.clear()
+
+        for batch in it:
+            for ident, lang, key, apart, text in zip(*(batch.column(c).to_pylist() for c in ("batch", "lang", "key", "held", "text")), strict=True):
+                own = held.setdefault(ident, [lang, [], [], []])
+                own[1].append(key)
+                own[2].append(apart)
+                own[3].append((text or "").encode("utf-8", "surrogatepass"))
+                size += len(own[3][-1])
+                if size >= PACK_CHARS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     return rows.mapInArrow(run, "batch bigint, lang string, keys array<bigint>, held array<boolean>, sizes array<bigint>, texts binary")
 
 
+def _unpacked(t: pa.Table) -> tuple[list, list, list[str]]:
+    """Keys, held and texts of a batch."""
+    keys, apart, texts = [], [], []
+    for k, a, sizes, packed in zip(*(t[c].to_pylist() for c in ("keys", "held", "sizes", "texts")), strict=True):
+        body, at = _unpack(packed), 0
+        keys += k
+        apart += a
+        for size in sizes:
+            texts.append(body[at : at + size].decode("utf-8", "surrogatepass"))
+            at += size
+    return keys, apart, texts
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_LANGS else df
+
+
 class Model:
     """Count tables of a trained model, by order: ``counts[k]`` (lang, gram, n), ``contexts[k]`` (lang, ctx, total, n1, n2, n3), and discounts."""
 
@@ -162,7 +236,7 @@ def train(rows: DataFrame, order: int = ORDER) -> Model:
     """Modified Kneser-Ney counts of ``rows`` (key, lang, text): raw ones for the highest order, for lower ones the
     number of different characters that precede the n-gram. Discounts come from the counts of counts.
     """
-    counts = {order: staged(_gram_rows(rows, order, False).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
+    counts = {order: staged(_gram_rows(rows, order).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for k in range(order - 1, 0, -1):
         counts[k] = staged(counts[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), "grams")
     contexts, few = {}, None
@@ -172,8 +246,6 @@ def train(rows: DataFrame, order: int = ORDER) -> Model:
         own = counts[k].groupBy("lang").agg(F.lit(k).alias("k"), *(F.count_if(F.col("n") == i).alias(f"c{i}") for i in (1, 2, 3, 4)), F.count("*").alias("types"))
         few = own if few is None else few.unionByName(own)
     few = staged(few, "discounts")
-    if few.where("k = 1").count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     y = F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2"))
     fallback = [0.5, 1.0, 1.5]
     d = [F.greatest(F.lit(0.1), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * F.try_divide(y * F.col(f"c{i + 1}"), F.col(f"c{i}")), F.lit(fallback[i - 1])))).alias(f"d{i}") for i in (1, 2, 3)]
@@ -186,59 +258,104 @@ def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
 
     p_k = (n - D(n)) / total + gamma(context) p_(k-1), from order 1 up; below it every character that training
     saw, and one more for all others, is equally likely. A context that training lacks leaves p_(k-1) as it is.
+    Each order is joined with its counts once, for the distinct endings that are asked for.
     """
-    own = model.discounts
-    out = grams.join(F.broadcast(own.where("k = 1").select(F.col("lang").alias("l"), F.lit(1.0).alias("p"), "types")), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    out = out.withColumn("p", F.col("p") / (F.col("types") + 1)).drop("types")
+    lang = F.coalesce("lang", F.lit("\x01")).alias("l")
+    few = model.discounts.where("k = 1").count() <= MAX_LANGS
+    rates = {k: model.discounts.where(F.col("k") == k).select(lang, "types", "d1", "d2", "d3") for k in range(1, model.order + 1)}
+    wanted = {model.order: grams.select(lang, F.col("gram").alias("g")).distinct()}
+    for k in range(model.order - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select("l", F.expr(f"right(g, {k})").alias("g")).distinct()
+    p = None
     for k in range(1, model.order + 1):
-        out = out.withColumn("g", F.expr(f"right(gram, {k})")).withColumn("x", F.expr(f"left(right(gram, {k}), {k - 1})"))
-        c = model.counts[k].select(F.coalesce("lang", F.lit("\x01")).alias("l1"), F.col("gram").alias("g1"), "n")
-        x = model.contexts[k].select(F.coalesce("lang", F.lit("\x01")).alias("l2"), F.col("ctx").alias("x2"), "total", "n1", "n2", "n3")
-        lang = F.coalesce("lang", F.lit("\x01"))
-        out = out.join(c, (lang == F.col("l1")) & (F.col("g") == F.col("g1")), "left").join(x, (lang == F.col("l2")) & (F.col("x") == F.col("x2")), "left")
-        out = out.join(F.broadcast(own.where(F.col("k") == k).select(F.col("lang").alias("l3"), "d1", "d2", "d3")), F.col("lang").eqNullSafe(F.col("l3")), "left")
+        own = wanted[k].join(F.broadcast(rates[k]) if few else rates[k], "l", "left").withColumn("x", F.expr(f"left(g, {k - 1})"))
+        own = own.join(model.counts[k].select(lang, F.col("gram").alias("g"), "n"), ["l", "g"], "left")
+        own = own.join(model.contexts[k].select(lang, F.col("ctx").alias("x"), "total", "n1", "n2", "n3"), ["l", "x"], "left")
+        if p is None:
+            own = own.withColumn("p", 1.0 / (F.col("types") + 1))
+        else:
+            own = own.withColumn("s", F.expr(f"right(g, {k - 1})")).join(p.withColumnRenamed("g", "s"), ["l", "s"])
         n = F.coalesce("n", F.lit(0))
         less = F.when(n == 0, 0.0).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
-        p = (n - less) / F.col("total") + (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total") * F.col("p")
-        out = out.withColumn("p", F.when(F.col("total").isNull(), F.col("p")).otherwise(p)).select(*grams.columns, "p")
+        own_p = (n - less) / F.col("total") + (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total") * F.col("p")
+        p = own.select("l", "g", F.when(F.col("total").isNull(), F.col("p")).otherwise(own_p).alias("p"))
+    out = grams.withColumn("l", lang).withColumn("g", F.col("gram")).join(p, ["l", "g"], "left")
     return out.select(*grams.columns, F.ln("p").alias("logp"))
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """(key, held, lang, n_symbols, logp) of every row of (key, held, lang, text): predicted characters and end marks, and the sum of their ln p."""
+    """(key, held, lang, n_symbols, logp) of every row of (key, held, lang, text): predicted characters and end marks, and the sum of their ln p.
+
+    A text's batch depends on its key alone, and a batch's n-grams on its texts, so what a lost executor computes anew is the same.
+    """
     order = model.order
-    wanted = staged(_gram_rows(rows, order, True), "wanted")
-    known = log_probabilities(wanted.select("lang", "gram").distinct(), model)
-    lang = F.coalesce("lang", F.lit("\x01"))
-    known = known.select(lang.alias("l"), F.col("gram").alias("g"), "logp")
-    found = wanted.join(known, (lang == F.col("l")) & (F.col("gram") == F.col("g"))).select("batch", "gram", "logp")
-
-    def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            raise RuntimeError("a second reading formed other batches than the first")
-        of_gram = dict(zip(grams["gram"].to_pylist(), (math.nan if x is None else x for x in grams["logp"].to_pylist()), strict=True)).__getitem__
-        out: list[tuple] = []
-        for lang, keys, held, sizes, packed in zip(*(texts[c].to_pylist() for c in ("lang", "keys", "held", "sizes", "texts")), strict=True):
-            body, at = pa.decompress(packed, sum(sizes), codec="zstd", asbytes=True), 0
-            own = []
-            for size in sizes:
-                own.append(body[at : at + size].decode("utf-8", "surrogatepass"))
-                at += size
-            n, total = [0] * len(own), [0.0] * len(own)
-            for group in _pieces(own, order):
-                names, which = _grams([p for _, p in group], order)
-                each, start = np.fromiter(map(of_gram, names), float, len(names))[which], 0
-                for k, p in group:
-                    end = start + len(p) - order + 1
-                    n[k] += end - start
-                    total[k] += float(each[start:end].sum())
-                    start = end
-            out += zip(keys, held, [lang] * len(keys), n, total, strict=True)
-        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "held", "lang", "n_symbols", "logp"])
-
-    pieces = _packed_texts(rows).groupBy("batch")
-    return pieces.cogroup(found.groupBy("batch")).applyInArrow(run, "key bigint, held boolean, lang string, n_symbols bigint, logp double")
+    spark = rows.sparkSession
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sizes = staged(sizes.select("lang", "n", F.greatest(F.lit(1), F.ceil(F.col("chars") / BATCH_CHARS)).cast("bigint").alias("buckets")), "batches")
+    shards = min(1 << 16, max(32, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS))
+    bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
+    d = rows.join(_small(sizes.select(F.col("lang").alias("of"), "buckets")), F.col("lang").eqNullSafe(F.col("of"))).withColumn("batch", F.xxhash64("lang", bucket))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # both the n-grams and the scores of a batch are made of this one exchange
+    packed = _packed_texts(d.select("batch", "lang", "key", "held", "text")).repartition(parts, "batch")
+
+    def asked(t: pa.Table) -> pa.Table:
+        w = _Windows(_unpacked(t)[2], order)
+        codes = w.symbols(w.distinct())
+        places, ends = _shards(codes, shards)
+        there = np.flatnonzero(np.diff(ends))
+        grams = [_pack(codes[places[ends[k] : ends[k + 1]]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for k in there]
+        return pa.table([pa.array([t["lang"][0].as_py() or "\x01"] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array([t["batch"][0].as_py()] * len(there), pa.int64()), pa.array(grams, pa.binary())], ["lang", "shard", "batch", "grams"])
+
+    def united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grams = None, set()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(grams), pa.string()), pa.array([now[1]] * len(grams), pa.int32()), pa.array(list(grams), pa.string())], ["lang", "shard", "gram"])
+
+        for batch in it:
+            for lang, shard, blob in zip(*(batch.column(c).to_pylist() for c in ("lang", "shard", "grams")), strict=True):
+                if now is not None and now != (lang, shard):
+                    yield out()
+                    grams = set()
+                now = (lang, shard)
+                text = _unpack(blob).decode("utf-8", "surrogatepass")
+                grams.update(text[i : i + order] for i in range(0, len(text), order))
+        if now is not None:
+            yield out()
+
+    def answered(requests: pa.Table, known: pa.Table) -> pa.Table:
+        of = dict(zip(known["gram"].to_pylist(), (math.nan if x is None else x for x in known["logp"].to_pylist()), strict=True))
+        values = []
+        for blob in requests["grams"].to_pylist():
+            text = _unpack(blob).decode("utf-8", "surrogatepass")
+            values.append(_pack(np.fromiter((of[text[i : i + order]] for i in range(0, len(text), order)), float, len(text) // order).tobytes()))
+        return pa.table([requests["batch"], requests["shard"], pa.array(values, pa.binary())], ["batch", "shard", "logp"])
+
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, apart, own = _unpacked(texts)
+        w = _Windows(own, order)
+        distinct = w.distinct()
+        places, ends = _shards(w.symbols(distinct), shards)
+        logp = np.full(len(distinct), math.nan)
+        for shard, blob in zip(answers["shard"].to_pylist(), answers["logp"].to_pylist(), strict=True):
+            logp[places[ends[shard] : ends[shard + 1]]] = np.frombuffer(_unpack(blob), float)
+        n, total = np.zeros(len(own), np.int64), np.zeros(len(own))
+        for sizes_, code in w.groups:
+            each, start = logp[np.searchsorted(distinct, w.ids(sizes_, code))], 0
+            for k, length in sizes_:
+                end = start + length - order + 1
+                n[k] += end - start
+                total[k] += each[start:end].sum()
+                start = end
+        lang = texts["lang"][0].as_py()
+        return pa.table([pa.array(keys, pa.int64()), pa.array(apart, pa.bool_()), pa.array([lang] * len(keys), pa.string()), pa.array(n), pa.array(total)], ["key", "held", "lang", "n_symbols", "logp"])
+
+    requests = packed.groupBy("batch").applyInArrow(asked, "lang string, shard int, batch bigint, grams binary").repartition(parts, "lang", "shard")
+    distinct = requests.select("lang", "shard", "grams").sortWithinPartitions("lang", "shard").mapInArrow(united, "lang string, shard int, gram string")
+    known = log_probabilities(distinct, model).select("lang", "shard", "gram", "logp")
+    answers = requests.groupBy("lang", "shard").cogroup(known.groupBy("lang", "shard")).applyInArrow(answered, "batch bigint, shard int, logp binary")
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "key bigint, held boolean, lang string, n_symbols bigint, logp double")
 
 
 def classify(
@@ -271,6 +388,6 @@ def classify(
     trial = scored.where("held and perplexity is not null").join(by_size, "key", "left_semi")
     limits = trial.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
     limits = limits.select(F.col("lang").alias("l"), "threshold")
-    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    out = scored.join(_small(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     kept = (F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(F.col("key").alias(key), "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))
