@@ -157,3 +157,44 @@ EVENTS = {"RULING": r"(?i)fallo|sentencia|dado", "NOTICE": r"(?i)notific", "OTHE
 def day_after(c: Column, word: str) -> Column:
     """The first D/M/YYYY after a word, as a date; null without one."""
     return parse_dmy(F.nullif(F.regexp_extract(_text(c), rf"(?is){word}\D{{0,40}}(\d{{1,2}}/\d{{1,2}}/\d{{4}})", 1), F.lit("")))
+
+
+def category_scores(c: Column, patterns: dict[str, list[str]], outranked: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The category of which most patterns are found, the first of equal ones, null if none is; ``outranked`` drop out where one of theirs is found."""
+    text = F.lower(_text(c))
+    score = {n: sum((F.regexp_like(text, F.lit(p)).cast("int") for p in own), F.lit(0)) for n, own in patterns.items()}
+    for name, stronger in (outranked or {}).items():
+        for other in stronger:
+            score[name] = F.when(score[other] > 0, 0).otherwise(score[name])
+    best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, s) in enumerate(score.items()))))
+    return F.when(best["score"] > 0, best["name"])
+
+
+def repaired_json(c: Column) -> Column:
+    """A map of strings from a JSON object that may be cut off: what stands before the last whole entry, closed; null if nothing can be read."""
+    text = F.regexp_extract(_text(c), r"(?s)(\{.*)", 1)
+    whole = F.from_json(text, "map<string,string>")
+    closed = F.concat(F.regexp_replace(text, r'(?s),?\s*"(?:[^"\\]|\\.)*"?\s*(?::\s*(?:"(?:[^"\\]|\\.)*)?)?$', ""), F.lit("}"))
+    return F.coalesce(whole, F.from_json(closed, "map<string,string>"))
+
+
+def compressed(c: Column, most: int = 400_000) -> Column:
+    """Blank runs shortened, notices of confidentiality taken out, and the rest cut at ``most`` characters."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(_text(c), r"\n{3,}", "\n\n"), r" {3,}", " "), r"\t+", " ")
+    t = F.regexp_replace(t, r"(?is)(?:AVISO DE CONFIDENCIALIDAD|NOTA IMPORTANTE:|Este correo electrónico contiene información).*?(?:\n\n|$)", "[BOILERPLATE]")
+    return F.when(F.length(t) > most, F.concat(F.left(t, F.lit(most)), F.lit("[CUT]"))).otherwise(t)
+
+
+def nearest_date(c: Column, place: Column) -> Column:
+    """The written or numeric date whose start is nearest to a place in the text (from 1), the earlier of equally near ones."""
+    text = _text(c)
+    pattern = r"(\d{1,2}/\d{1,2}/\d{4}|\d{1,2} de [a-z]+ de \d{4})"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    # each is looked for behind the end of the one before it
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<away:int,at:int,date:string>>").alias("all"))
+
+    def step(acc: Column, d: Column) -> Column:
+        at = F.call_function("locate", d, text, acc["at"])
+        return F.struct((at + F.length(d)).alias("at"), F.concat(acc["all"], F.array(F.struct(F.abs(at - place).cast("int").alias("away"), at.alias("at"), d.alias("date")))).alias("all"))
+
+    return F.array_min(F.aggregate(found, start, step)["all"])["date"]

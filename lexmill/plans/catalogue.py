@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lexmill.plans import aggregates, caseflow, casejoins, casework, matching, streams, texts  # noqa: E402, F401
+from lexmill.plans import aggregates, caseflow, casejoins, casemore, casework, matching, streams, texts  # noqa: E402, F401
