@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,10 +29,14 @@ def find_spans(text: str | None) -> list[tuple[int, int, str, str]]:
     """Spans that do not overlap, by place; earlier kinds of PATTERNS win."""
     taken: list[tuple[int, int, str, str]] = []
     for kind, pattern in _COMPILED.items():
+        starts, found = [x[0] for x in taken], []
         for m in pattern.finditer(text or ""):
-            if not any(m.start() < e and s < m.end() for s, e, *_ in taken):
-                taken.append((m.start(), m.end(), kind, m.group()))
-    return sorted(taken)
+            # taken spans do not overlap, so only the neighbours can
+            k = bisect_left(starts, m.start())
+            if (k == len(taken) or m.end() <= starts[k]) and (k == 0 or taken[k - 1][1] <= m.start()):
+                found.append((m.start(), m.end(), kind, m.group()))
+        taken = sorted(taken + found)
+    return taken
 
 
 @F.pandas_udf(SPAN)

@@ -21,10 +21,8 @@ def a01_favorability(t: Tables):
 @query("""select o_orderstatus as result, o_orderpriority as appellant, count(*) as n from orders where o_totalprice > 100000
   group by grouping sets ((o_orderstatus), (o_orderpriority), ())""")
 def a02_appeals(t: Tables):
-    t.orders.where("o_totalprice > 100000").createOrReplaceTempView("lexmill_appeals")
-    return t.spark.sql(
-        "select o_orderstatus as result, o_orderpriority as appellant, count(*) as n from lexmill_appeals group by grouping sets ((o_orderstatus), (o_orderpriority), ())"
-    )
+    text = "select o_orderstatus as result, o_orderpriority as appellant, count(*) as n from {d} group by grouping sets ((o_orderstatus), (o_orderpriority), ())"
+    return t.spark.sql(text, d=t.orders.where("o_totalprice > 100000"))
 
 
 @query("""select c_mktsegment as lawyer, count(*) as total, count(*) filter (o_orderstatus = 'O') as active, count(*) filter (o_orderstatus <> 'O') as ruled,
@@ -112,7 +110,7 @@ def a10_quality_blend(t: Tables):
 @query("""select regexp_replace(upper(n_name), '[0-9]+', '', 'g') as city, count(*) as n from supplier join nation on s_nationkey = n_nationkey
   group by 1 order by n desc, city limit 10""")
 def a11_normalised_top(t: Tables):
-    d = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    d = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return top_k(d.groupBy(F.regexp_replace(normal_name(F.col("n_name")), "[0-9]+", "").alias("city")).agg(F.count("*").alias("n")), "n", 10, "city")
 
 

@@ -88,7 +88,7 @@ def j10_correlated(t: Tables):
 @query("""select s_suppkey, coalesce(case when n_nationkey < 20 then n_name end, '') as city from supplier left join nation on n_nationkey = s_nationkey""")
 def j13_lookup(t: Tables):
     known = t.nation.where("n_nationkey < 20").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return t.supplier.join(F.broadcast(known), "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("city"))
+    return t.supplier.join(known, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("")).alias("city"))
 
 
 @query(r"""select c_custkey, s_suppkey from customer join supplier on left(regexp_replace(c_name, '\D', '', 'g'), 8) = left(regexp_replace(s_name, '\D', '', 'g'), 8)""")

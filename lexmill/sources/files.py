@@ -71,3 +71,39 @@ def snapshot(df: DataFrame, root: str, name: str) -> str:
     path = f"{root}/{name}"
     df.write.parquet(path)
     return path
+
+
+def settings_list(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """The strings of an array in a JSON settings file, one a row, blanks left out."""
+    d = spark.read.option("multiLine", True).json(path).select(F.explode(field).alias(field))
+    return d.select(F.btrim(field).alias(field)).where(F.col(field) != "")
+
+
+def write_sheets(sheets: dict[str, DataFrame], root: str) -> list[str]:
+    """Each table as CSV with a header in a folder of its own under ``root``; the folders' paths."""
+    paths = []
+    for name, df in sheets.items():
+        paths.append(f"{root}/{name}")
+        df.write.mode("overwrite").option("header", True).csv(paths[-1])
+    return paths
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """``line``: every row as a row of a Markdown table; bars inside values are escaped, nulls are empty."""
+    cells = [F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_head(columns: list[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+
+
+def write_statistics(df: DataFrame, path: str) -> None:
+    """Statistics as JSON lines."""
+    df.write.mode("overwrite").json(path)
+
+
+def expired_snapshots(names: DataFrame, keep: int = 7) -> DataFrame:
+    """Of (name, made), the snapshots beyond the ``keep`` newest."""
+    newest = names.orderBy(F.desc("made"), F.desc("name")).limit(keep)
+    return names.join(newest.select("name"), "name", "left_anti")

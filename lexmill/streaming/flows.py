@@ -30,15 +30,16 @@ def sessions(df: DataFrame, ts: str, key: str, gap: str, late: str = "1 hour") -
     return d.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(batch: DataFrame, batch_id: int, path: str, key: str) -> None:
     """foreachBatch body: writes rows whose key is not there yet. A batch that is run again writes nothing twice."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        known = batch.sparkSession.read.parquet(path).select(key)
-        batch = batch.join(known, key, "left_anti")
-    except AnalysisException:
-        pass  # nothing written yet
+    if written(batch.sparkSession, path):
+        batch = batch.join(batch.sparkSession.read.parquet(path).select(key), key, "left_anti")
     batch.dropDuplicates([key]).write.mode("append").parquet(path)
 
 

@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import cases, compat
-from lexmill.operators import dedup, privacy, relational, search, vectors
+from lexmill.functions import cases, classes, compat, extract
+from lexmill.operators import dedup, matching, privacy, relational, search, vectors
 from lexmill.sources import files
 from lexmill.streaming import flows
 
@@ -187,3 +187,82 @@ def test_alerts_do_not_repeat(spark):
     found = spark.createDataFrame([(None, "x"), (1, "x"), (2, "y")], "case_id int, kind string")
     existing = spark.createDataFrame([(None, "x", "open"), (1, "x", "closed")], "case_id int, kind string, status string")
     assert sorted(map(tuple, flows.new_alerts(found, existing, ["case_id", "kind"]).collect())) == [(1, "x"), (2, "y")]
+
+
+def test_document_and_mail_classes(spark):
+    files_ = {
+        "Respuesta incidente.docx": "DOCX_DESACATO", "contestación impugnación.DOCX": "DOCX_IMPUGNACION", "respuesta.doc": "DOCX_RESPUESTA", "x con forest.docx": "DOCX_RESPUESTA", "oficio.docx": "DOCX_CARTA",
+        "aclaratoria.docx": "DOCX_MEMORIAL", "nota.docx": "DOCX_OTRO", "Email_1.md": "EMAIL_MD", "rv_x.pdf": "PDF_GMAIL", "AVOCA.pdf": "PDF_AUTO_ADMISORIO", "fallo.pdf": "PDF_SENTENCIA", "impugna.pdf": "PDF_IMPUGNACION",
+        "desacato.pdf": "PDF_INCIDENTE", "email 3.pdf": "EMAIL_DB", "a.JPEG": "SCREENSHOT", "a.pdf": "PDF_OTRO",
+    }
+    rows = spark.createDataFrame(list(files_.items()), "f string, want string")
+    assert rows.where(classes.document_class(F.col("f")) != F.col("want")).count() == 0
+    mails = {"Correo enviado: fallo": "SALIENTE", "Desacato": "INCIDENTE_DESACATO", "fallo 2": "FALLO_2DA", "impugna": "IMPUGNACION", "Sentencia": "FALLO_1RA", "avoca": "AUTO_ADMISORIO", "traslado": "TRASLADO", "x requerimiento": "REQUERIMIENTO", "notifica": "NOTIFICACION", "tutela": "TUTELA_NUEVA", None: "OTRO"}
+    rows = spark.createDataFrame(list(mails.items()), "s string, want string")
+    assert rows.where(classes.mail_class(F.col("s")) != F.col("want")).count() == 0
+
+
+def test_court_ids(spark):
+    table = {
+        "TUTELA 2026-00057 radicado 20260066132": (None, "2026-00057"), "numero de radicado 20260066132": (None, None), "T-00053/2026 x": (None, "2026-00053"), "Radicado No. 2026-030.": (None, "2026-00030"),
+        "68001400300120240012300 RAD. 2025-00001": ("68001400300120240012300", "2024-00123"), "68001-40-09-027-2026-00034-00": ("68001-40-09-027-2026-00034-00", "2026-00034"), "": (None, None),
+    }
+    rows = spark.createDataFrame([(k, *v) for k, v in table.items()], "t string, a string, b string").withColumn("r", extract.court_ids(F.col("t")))
+    assert [r for r in rows.collect() if (r["r"]["long_id"], r["r"]["short"]) != (r["a"], r["b"])] == []
+
+
+def test_membership_of_documents(spark):
+    own, other, pad = "68001400300120240012300", "68001400300120240099900", " texto" * 20
+    case = ("2024-00123 ANA ROJAS", own, "Ana Rojas Mora")
+    table = [
+        ("Email_1.md", "x", *case, "OK"), ("a.pdf", "short", *case, "OK"), ("a.pdf", other + pad, "SIN NUMERO", own, "Ana Rojas Mora", "OK"), ("a.pdf", own + pad, *case, "OK"), ("a.pdf", other + pad, *case, "NO_PERTENECE"),
+        ("respuesta rojas.pdf", pad * 3, *case, "OK"), ("a.pdf", "habla Rojas con MORA" + pad, *case, "OK"), ("auto 123.pdf", "2021-00456" + pad, *case, "OK"), ("a.pdf", "en 2024-123 dice" + pad, *case, "REVISAR"),
+        ("a.pdf", "en 2024-123 dice" + pad, case[0], None, case[2], "OK"), ("a.pdf", "ver 2021-00456 aqui" + pad, *case, "NO_PERTENECE"), ("a.pdf", "ver 2021-00756 y 2012-352 y 2050-00300" + pad, *case, "OK"),
+        ("FABRA TORRES RAUL.pdf", pad * 3, *case, "SOSPECHOSO"), ("sentencia tutela fallo.pdf", pad * 3, *case, "OK"),
+    ]
+    rows = spark.createDataFrame(table, "f string, t string, folder string, id string, name string, want string")
+    got = rows.withColumn("got", extract.belongs(F.col("f"), F.col("t"), F.col("folder"), F.col("id"), F.col("name"))).collect()
+    assert [(r["f"], r["t"][:20], r["got"], r["want"]) for r in got if r["got"] != r["want"]] == []
+
+
+def test_matching_tiers_and_guards(spark):
+    cases_ = [
+        (1, "68001400300120240012300", "2024-00123 A", "20260000001", "Ana Rojas Mora", None, None, "COMPLETO"), (2, "68999400300120240012300", "2024-00124 B", None, "Personero de Giron", "CC 12345678", None, "COMPLETO"),
+        (3, None, "2024-00124 C", None, "Luis Gil Peña", None, None, None), (4, None, None, None, "Pedro Pablo Acosta", None, None, "DUPLICATE_MERGED"),
+    ]
+    c = spark.createDataFrame(cases_, "id bigint, court_id string, folder string, filing string, claimant string, notes string, subject string, status string")
+    new = [
+        (1, "68001-40-03-001-2024-00123-01", None, None, None, None), (2, "68001990199120240012300", None, None, None, None), (3, None, None, None, "12345678", None), (4, None, None, "20260000001", None, None),
+        (5, "68001990300120250000100", "2024-124", None, None, None), (6, None, "2024-00124", None, None, None), (7, None, None, None, None, "personera municipal de el GIRON"), (8, None, None, None, None, "LUIS GIL PEÑA"),
+        (9, None, "2020-00001", None, None, "Luis Gil Peña"), (10, None, "2020-00001", None, None, "Pedro Pablo Acosta Ruiz de la Vega"), (11, None, None, None, None, "otro"), (12, None, None, None, None, None),
+    ]
+    n = spark.createDataFrame(new, "key bigint, court_id string, short string, filing string, person string, claimant string")
+    got = {r["key"]: (r["tier"], r["case_id"]) for r in matching.match_cases(n, c).collect()}
+    none = (None, None)
+    assert got == {1: ("court_id", 1), 2: ("court_parts", 1), 3: ("person", 2), 4: ("filing", 1), 5: ("short", 3), 6: ("short", 2), 7: ("ombudsman", 2), 8: ("claimant", 3), 9: none, 10: none, 11: none, 12: none}
+
+
+def test_sheets_markdown_and_settings(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a|b"), (2, None)], "n bigint, t string")
+    paths = files.write_sheets({"cover": d, "data": d.limit(1)}, str(tmp_path / "book"))
+    assert [spark.read.option("header", True).csv(p).count() for p in paths] == [2, 1]
+    assert files.markdown_head(d.columns) + sorted(r["line"] for r in files.markdown_rows(d).collect()) == ["| n | t |", "|---|---|", "| 1 | a\\|b |", "| 2 |  |"]
+    files.write_statistics(d, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).count() == 2
+    (tmp_path / "x.json").write_text('{"lawyers": ["Ana", " ", "Luz "]}')
+    assert sorted(r["lawyers"] for r in files.settings_list(spark, str(tmp_path / "x.json"), "lawyers").collect()) == ["Ana", "Luz"]
+    made = spark.createDataFrame([(f"s{i}", i) for i in range(10)], "name string, made int")
+    assert sorted(r["name"] for r in files.expired_snapshots(made).collect()) == ["s0", "s1", "s2"]
+
+
+def test_spans_equal_the_plain_search():
+    rng = random.Random(12)
+    pieces = ["3101234567", "ana@x.co", "1.234.567", "12345678", " ", ".", "x", "3101234567@y.com"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(12))
+        taken = []
+        for kind, pattern in privacy._COMPILED.items():
+            for m in pattern.finditer(text):
+                if not any(m.start() < e and s < m.end() for s, e, *_ in taken):
+                    taken.append((m.start(), m.end(), kind, m.group()))
+        assert privacy.find_spans(text) == sorted(taken)
