@@ -48,6 +48,31 @@ def keyed_hash(secret: bytes, kind: str, value: str) -> str:
     return hmac.new(secret, f"{kind}:{value.strip().lower()}".encode(), hashlib.sha256).hexdigest()[:24]
 
 
+def keyed_hash_column(secret: bytes, kind: Column, value: Column) -> Column:
+    """``keyed_hash`` as a column: HMAC-SHA256 of kind and normal value, 24 hexadecimal digits."""
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    message = F.concat(kind, F.lit(":"), F.lower(F.btrim(value))).cast("binary")
+    return F.left(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256), F.lit(24))
+
+
+#: Kinds that each policy redacts.
+POLICIES = {"selective": ("ID", "NUIP", "PHONE", "EMAIL", "ADDRESS"), "aggressive": ("ID", "NUIP", "PHONE", "EMAIL", "ADDRESS", "NUMBER", "DIAGNOSIS")}
+#: What the gate looks for once tokens are out. No look-around: each pattern stands alone.
+RESIDUES = {
+    "address": r"(?i)\b(?:calle|carrera|cra|cl)\.? \d+", "bare": r"\b\d{7,10}\b", "dotted": r"\b\d{1,3}(?:\.\d{3}){2,3}\b", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "mobile": r"\b3\d{9}\b", "nuip": r"(?i)\b(?:RC|registro civil) (?:No\.? ?)?\d{10,11}\b",
+}
+
+
+def residues(text: Column) -> Column:
+    """Counts by kind of what is left of personal data once tokens are blanks; numbers that are mobile ones do not count as bare."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), TOKEN, " ")
+    count = lambda p: F.size(F.regexp_extract_all(bare, F.lit(f"({p})"), F.lit(1))).cast("bigint")
+    n = {k: count(p) for k, p in RESIDUES.items()}
+    return F.struct(*((n[k] - n["mobile"] if k == "bare" else n[k]).alias(k) for k in RESIDUES))
+
+
 def vault(df: DataFrame, case: str, order: str, text: str) -> DataFrame:
     """(case, kind, value, token): values numbered per case and kind by first appearance, documents in ``order``, each from its end."""
     s = df.select(case, order, F.explode(spans(F.coalesce(text, F.lit("")))).alias("s"))

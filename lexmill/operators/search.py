@@ -46,3 +46,24 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], every: bool = Tru
     for h in hits[1:]:
         keep = keep & h if every else keep | h
     return d.where(keep).select(key, (-total).alias("score"))
+
+
+def matching(df: DataFrame, key: str, text: str, every: tuple[str, ...] = (), some: tuple[str, ...] = (), none: tuple[str, ...] = (), size: int = 64, lead: int = 8) -> DataFrame:
+    """(key, snippet): rows with all terms of ``every``, one of ``some`` (if any are given) and none of ``none``.
+
+    The snippet holds ``size`` terms from ``lead`` before the first hit on, hits between <b> and </b>.
+    """
+    hit = lambda x: x.isin(*every, *some)
+    d = df.select(key, terms(F.col(text)).alias("t"))
+    has = lambda w: F.array_contains("t", F.lit(w))
+    keep = F.lit(True)
+    for w in every:
+        keep = keep & has(w)
+    if some:
+        keep = keep & F.arrays_overlap("t", F.array(*map(F.lit, some)))
+    for w in none:
+        keep = keep & ~has(w)
+    places = F.array(*(F.nullif(F.array_position("t", F.lit(w)), F.lit(0)) for w in (*every, *some)))
+    start = F.greatest(F.lit(1), F.array_min(places) - lead).cast("int")
+    shown = F.transform(F.slice("t", start, F.lit(size)), lambda x: F.when(hit(x), F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x))
+    return d.where(keep).select(key, F.array_join(shown, " ").alias("snippet"))

@@ -167,13 +167,15 @@ def o02_mail_page(t: World):
     return relational.page(d, [F.desc("received"), F.desc("id")], 3, 20)
 
 
-@case_query(r"""select filename, row_number() over (order by lower(strip_accents(regexp_replace(filename, '\d.*$', ''))), try_cast(regexp_extract(filename, '\d+') as bigint) nulls first, filename) as place from (select distinct filename from docs where case_id < 300)""")
+@case_query(r"""with p as (select distinct filename, lower(strip_accents(regexp_replace(filename, '\d.*$', ''))) as text, try_cast(regexp_extract(filename, '\d+') as bigint) as number from docs order by text, number nulls first, filename limit 100)
+  select filename, row_number() over (order by text, number nulls first, filename) as place from p""")
 def o06_numeric_sort(t: World):
-    # letters without accents and case first, then the number in them as a number
-    d = t.docs.where("case_id < 300").select("filename").distinct()
-    text = F.lower(F.translate(F.regexp_replace("filename", r"\d.*$", ""), "áéíóúÁÉÍÓÚ", "aeiouAEIOU"))
-    number = F.nullif(F.regexp_extract("filename", r"(\d+)", 1), F.lit("")).try_cast("bigint")
-    return d.withColumn("place", F.row_number().over(Window.orderBy(text, F.asc_nulls_first(number), "filename")).cast("bigint"))
+    # the first page, by letters without accents and case, then by the number in the name as a number
+    text = F.lower(F.translate(F.regexp_replace("filename", r"\d.*$", ""), "áéíóúÁÉÍÓÚ", "aeiouAEIOU")).alias("text")
+    number = F.nullif(F.regexp_extract("filename", r"(\d+)", 1), F.lit("")).try_cast("bigint").alias("number")
+    order = ["text", F.asc_nulls_first("number"), "filename"]
+    page = t.docs.select("filename").distinct().select("filename", text, number).orderBy(*order).limit(100)
+    return page.select("filename", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))
 
 
 @case_query("""select case_id, id, row_number() over (partition by case_id order by case when contains(filename, 'SENTENCIA') then 1 when contains(filename, 'Auto') then 2 when starts_with(filename, 'Email') then 4 else 3 end, id) as place from docs""")
@@ -190,13 +192,12 @@ def u02_main_and_sandbox(t: World):
     return relational.two_way_difference(named.where("id % 3 <> 0"), named.where("id % 5 <> 0"), "folder").replace({"left": "main", "right": "sandbox"}, subset=["side"])
 
 
-@case_query("""select id, list_distinct(list_filter(list_transform(string_split(coalesce(rights, ''), ' - '), lambda x: upper(trim(x))), lambda x: x <> '')) as have,
-  len(list_distinct(list_filter(list_transform(string_split(coalesce(rights, '') || ' - salud - ' || coalesce(rights, ''), ' - '), lambda x: upper(trim(x))), lambda x: x <> ''))) as together from cases where length(rights) < 19 and not contains(rights, ' - ')""")
+@case_query("""select id, list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(rights, ''), ' - '), lambda x: upper(trim(x))), lambda x: x <> ''))) as have,
+  len(list_distinct(list_filter(list_transform(string_split(coalesce(rights, '') || ' - salud - ' || coalesce(rights, ''), ' - '), lambda x: upper(trim(x))), lambda x: x <> ''))) as together from cases""")
 def u04_union_of_rights(t: World):
-    parts = lambda c: F.filter(F.transform(F.split(c, " - "), lambda x: F.upper(F.btrim(x))), lambda x: x != "")
-    r = F.coalesce("rights", F.lit(""))
-    d = t.cases.where((F.length("rights") < 19) & ~F.contains("rights", F.lit(" - ")))
-    return d.select("id", F.array_distinct(parts(r)).alias("have"), F.size(F.array_union(parts(r), F.array_union(F.array(F.lit("SALUD")), parts(r)))).cast("bigint").alias("together"))
+    have = F.filter(F.transform(F.split(F.coalesce("rights", F.lit("")), " - "), lambda x: F.upper(F.btrim(x))), lambda x: x != "")
+    more = F.array_union(have, F.array_union(F.array(F.lit("SALUD")), have))
+    return t.cases.select("id", F.array_sort(F.array_distinct(have)).alias("have"), F.size(more).cast("bigint").alias("together"))
 
 
 @case_query("select city from cases where state = 'ACTIVO' and city is not null intersect select city from cases where kind = 'INCIDENTE' except select city from cases where lawyer is null")
