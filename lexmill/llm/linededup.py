@@ -217,7 +217,9 @@ def dedup(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_
     each keeps what that row keeps (its deleted line numbers apply to all). Ties and repeated rows change
     nothing else. An empty table gives no rows. A column ``n_removed`` of ``df`` is replaced.
     """
-    d = df.drop("n_removed").join(removals(df, text_col, key, min_block_words).withColumnRenamed("gone", "__gone"), key, "left")
+    # what goes is as large as what documents share, so it is never broadcast
+    gone = removals(df, text_col, key, min_block_words).withColumnRenamed("gone", "__gone").hint("merge")
+    d = df.drop("n_removed").join(gone, key, "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
