@@ -149,6 +149,41 @@ def test_pipeline_mixing_with_null_and_repeated_ids(spark):
     assert list(out[0].asDict()) == corpus_pipeline.COLUMNS
 
 
+def test_pipeline_stages_brute_force(spark):
+    """Every stage on its predecessor's rows, with nulls, ties, repeated rows and ids, against the plain rules."""
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    line = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(12))
+    shared = "\n".join(line() for _ in range(6))
+    texts = ["\n".join(line() for _ in range(8)) for _ in range(30)]
+    texts += [texts[0], texts[1] + "\nextra words", f"{shared}\n{texts[2]}", f"{line()}\n{shared}\n{line()}\n{line()}", None, "", "too short", "a b c " * 60]
+    near = " ".join(f"n{i}" for i in range(200))
+    texts += [near, near + " more", near.replace("n7 ", "x ")]
+    rows = [(i, t, "es", "ab"[i % 2], len(t or "")) for i, t in enumerate(texts)] + [(None, line() + "\n" + "\n".join(line() for _ in range(5)), "es", None, 1)]
+    docs_ = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = P.apply_quality_rules(spark, docs_.withColumn("kept", F.lit(0)), "")
+    short = lambda t: len((t or "").split()) < 50
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in kept.collect()) == sorted(-1 if i is None else i for i, t, *_ in rows if not short(t) and t != "a b c " * 60)
+    lines = P.drop_repeated_lines(spark, kept, "")
+    got = {r["doc_id"]: r["text"] for r in lines.where("doc_id is not null").collect()}
+    ids = sorted(got)
+    assert [got[i] for i in ids] == all_pairs_left([texts[i] for i in ids])
+    groups = P.drop_near_duplicates(spark, lines, "")
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in got.items()}
+    linked = {j for j in ids for i in ids if i < j and shingles[i] and 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])}
+    assert {len(texts) - 2, len(texts) - 1} <= linked and {r["doc_id"] for r in groups.collect()} == set(ids) - linked | {None}
+    mixed = P.mix_sources(spark, groups, "")
+    taken = {(r["doc_id"], r["source"]): r["copies"] for r in mixing.mix(groups).collect() if r["copies"]}
+    assert {(r["doc_id"], r["source"]): r["n"] for r in mixed.groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()} == taken
+    out = P.encode(spark, mixed, "")
+    assert out.count() == mixed.count() and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    digests = {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in mixed.collect()}
+    assert {(r["doc_id"], r["decoded_sha256"]) for r in out.collect()} == digests
+    for stage in (P.apply_quality_rules, P.drop_repeated_lines, P.drop_near_duplicates, P.mix_sources, P.encode):
+        assert stage(spark, docs_.limit(0), "").count() == 0
+
+
 def test_line_dedup_keeps_first(spark):
     line = " ".join(WORDS[:6])
     texts = [f"{line}\nown a", f"own b\n{line}\nown c", None, "", f"{line}\n{line}", "own a"]
@@ -329,6 +364,66 @@ def test_classifier_grams_equal_slices(monkeypatch, piece):
             assert g == [s[i : i + order] for i in range(len(s) - order + 1)]
 
 
+def plain_kneser_ney(train, order):
+    """Interpolated modified Kneser-Ney of one language in plain Python: n-gram -> probability of its last symbol."""
+    from collections import Counter, defaultdict
+
+    counts = {order: Counter(g for s in train for g in (s[i : i + order] for i in range(len(s) - order + 1)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    by_context, discounts = {}, {}
+    for k, own in counts.items():
+        by_context[k] = defaultdict(list)
+        for g, n in own.items():
+            by_context[k][g[:-1]].append(n)
+        c = {i: sum(n == i for n in own.values()) for i in (1, 2, 3, 4)}
+        if c[1] and c[2]:
+            y = c[1] / (c[1] + 2 * c[2])
+            own_d = [i - (i + 1) * y * c[i + 1] / c[i] if c[i] else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3)]
+            discounts[k] = [max(0.1, min(float(i + 1), d)) for i, d in enumerate(own_d)]
+        else:
+            discounts[k] = [0.5, 1.0, 1.5]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, lower = len(g), p(g[1:])
+        follow = by_context[k].get(g[:-1])
+        if not follow:
+            return lower
+        n, d, total = counts[k].get(g, 0), discounts[k], sum(follow)
+        gamma = sum(d[min(x, 3) - 1] for x in follow) / total
+        return (n - (d[min(n, 3) - 1] if n else 0)) / total + gamma * lower
+
+    return p
+
+
+@pytest.mark.parametrize("limits", [(16 << 20, 64 << 20), (300, 100)])
+def test_classifier_equals_plain_kneser_ney(spark, monkeypatch, limits):
+    monkeypatch.setattr(classifier, "BATCH_CHARS", limits[0])
+    monkeypatch.setattr(classifier, "PACK_CHARS", limits[1])
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS[: 6 + 3 * (i % 3)]) + rng.choice(["", "\n", "ñ", "🙂"]) for _ in range(rng.randint(0, 25))), rng.choice(["es", None])) for i in range(120)]
+    rows += [(200, "".join(map(chr, range(0x4E00, 0x6600))) * 2, "es"), (7, rows[7][1], rows[7][2]), (None, "uno dos", "es"), (201, None, None), (202, "dos", "xx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    trusted = df.where("doc_id < 90").select("doc_id")
+    first = {(r["doc_id"], r["lang"]): r for r in classifier.classify(df, trusted).collect()}
+    again = {(r["doc_id"], r["lang"]): r for r in classifier.classify(df.repartition(5), trusted).collect()}
+    assert first.keys() == again.keys() and all(again[k] == r or abs(again[k]["perplexity"] - r["perplexity"]) < 1e-9 for k, r in first.items())
+    held = {r[0] for r in df.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(10)) == 0).alias("h")).where("h").collect()}
+    for lang in ("es", None):
+        chars = lambda t: "".join(w + "\x03" for w in (t or "").split())
+        p = plain_kneser_ney(["\x02" * 4 + chars(t) for i, t, x in rows if x == lang and i is not None and i < 90 and i not in held and chars(t)], 5)
+        for i, t, x in rows:
+            if x == lang and chars(t):
+                s = "\x02" * 4 + chars(t)
+                logp = sum(np.log(p(s[k : k + 5])) for k in range(len(s) - 4))
+                assert abs(np.log(first[i, lang]["perplexity"]) + logp / (len(s) - 4)) < 1e-9
+    assert first[202, "xx"]["perplexity"] is None and first[202, "xx"]["kept"] and not first[201, None]["kept"]
+    assert classifier.classify(df.limit(0), trusted).count() == 0
+    assert all(r["perplexity"] is None for r in classifier.classify(df, trusted.limit(0)).collect())
+
+
 def test_model_sums_to_one(spark):
     rows = spark.createDataFrame([(1, "es", "aba abc bca", False)], "key bigint, lang string, text string, held boolean")
     model = classifier.train(rows, 3)
