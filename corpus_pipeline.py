@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on everything that its predecessor kept; ``run`` writes each
 one's result as Parquet in the shared folder and hands it on. All stages but the last return the columns of
 ``documents``; the last returns a row for each copy of a document that the mix takes.
+
+Null, empty and blank texts have no words, and the first stage rejects them; if they reach later stages, line dedup and
+MinHash leave them as they are and the mix takes no copy. Rows with a null doc_id stay in every stage, are compared with none,
+and get copies of their own; rows that share a doc_id are one document to line dedup and MinHash (what goes, goes in all)
+and rows of their own to the mix. Ties go to the smallest doc_id. Empty tables give no rows; further columns are dropped.
 """
 
 from __future__ import annotations
