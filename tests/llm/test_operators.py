@@ -42,6 +42,22 @@ def test_bpe_equals_tiktoken(spark):
     assert bpe.encode(docs(spark, ["a"]).limit(0), v).count() == 0
 
 
+def test_bpe_query_equals_tiktoken(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    from lexmill.llm.queries import op1_bpe
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op1_bpe(spark, sf).collect():
+        ids = own.encode_ordinary(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.org/es/x", "http://xexample.org/es/", "http://b.com/de/", "http://b.com/de", None, "nothing", "http://org"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit("clash"))
@@ -284,6 +300,30 @@ def test_chat_paths_and_escapes(spark):
     assert [r["leaf"] for r in chat.format_trees(nodes, 1).where("tree = 1").collect()] == [4]
 
 
+def test_chat_ties_chains_and_empty(spark):
+    rng = random.Random(13)
+    rows = []
+    for tree in (1, 2, None):
+        for node in range(60):
+            parent = None if node == 0 else rng.randrange(max(0, node - 3), node)
+            rows.append((tree, node, parent, rng.choice(["user", "assistant"]), rng.choice(["", "a", "<|end|>", "[INST]" * 3]), rng.choice([None, 0.0, 1.0])))
+    rows += [(9, k, k - 1 if k else None, "user" if k % 2 == 0 else "assistant", f"t{k}", 0.0) for k in range(300)]
+    nodes = spark.createDataFrame(rows, "tree int, node int, parent int, role string, text string, score double").withColumns({"leaf": F.lit(1), "branch": F.lit("x")})
+    got = {r["tree"]: r for r in chat.format_trees(nodes).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()}
+    for tree in (1, 2, None, 9):
+        own = {n: (p, r, t, s or 0.0) for x, n, p, r, t, s in rows if x == tree}
+        best = None
+        for leaf in sorted(own.keys() - {p for p, *_ in own.values()}):
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = own[at][0]
+            if best is None or sum(own[n][3] for n in path) > best[0] + 1e-9:
+                best = (sum(own[n][3] for n in path), leaf, [(own[n][1], own[n][2]) for n in path[::-1]])
+        assert (got[tree]["score"], got[tree]["leaf"], [tuple(t) for t in got[tree]["turns"]]) == best
+    assert chat.format_trees(nodes.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_minhash_equals_brute_force(spark, width):
     rng = random.Random(width)
