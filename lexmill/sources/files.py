@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from html import unescape
 
@@ -14,6 +16,16 @@ from pyspark.sql import functions as F
 DOCUMENT_TYPES = ("pdf", "docx", "doc", "png", "jpg", "jpeg", "md")
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; in a temporary one where it is unset, on one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+
+
 def case_list(spark: SparkSession, path: str, id_column: str, known: DataFrame | None = None) -> DataFrame:
     """A ``;`` separated list with a header: values trimmed, empty ones null, rows whose id is known left out."""
     raw = spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
