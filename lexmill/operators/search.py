@@ -22,18 +22,19 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("term", key, "size").agg(F.count("*").alias("tf"))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == word))
+def _times(text: Column, word: str) -> Column:
+    """How often a term stands in a folded text."""
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])"))
 
 
 def bm25(df: DataFrame, key: str, text: str, query: list[str], every: bool = True) -> DataFrame:
     """(key, score): rows with all (or any) of the terms; lower scores are better, as the reference ranks them.
 
-    Only postings of the query's terms are built; sizes and counts come from the same scan of the texts.
+    Terms are counted in place, no list of a text's terms is made; sizes and counts come from the same scan of the texts.
     """
     words = sorted(set(query))
-    d = df.select(key, terms(F.col(text)).alias("t"))
-    d = d.select(key, F.size("t").alias("size"), *(_times(w).alias(f"f{i}") for i, w in enumerate(words)))
+    d = df.select(key, F.lower(strip_accents(F.coalesce(text, F.lit("")))).alias("t"))
+    d = d.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("size"), *(_times(F.col("t"), w).alias(f"f{i}") for i, w in enumerate(words)))
     about = d.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(words))))
     d = d.join(F.broadcast(about))  # one row
     total = F.lit(0.0)
