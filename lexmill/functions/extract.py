@@ -198,3 +198,21 @@ def nearest_date(c: Column, place: Column) -> Column:
         return F.struct((at + F.length(d)).alias("at"), F.concat(acc["all"], F.array(F.struct(F.abs(at - place).cast("int").alias("away"), at.alias("at"), d.alias("date")))).alias("all"))
 
     return F.array_min(F.aggregate(found, start, step)["all"])["date"]
+
+
+#: Phrases at which the name of a court ends, and words at which a claimant's does.
+COURT_ENDS, NAME_ENDS = r"(?i)\s+(?:REF|RADICADO|ACCIONANTE|SEÑOR)\b.*$", r"(?i)\s+(?:CONTRA|VS|ACCIONAD[OA]S?|RAD|RADICADO)\b.*$"
+
+
+def court_name(c: Column) -> Column:
+    """The court named in the first 3,000 characters of a text, cut where something else begins; null without one."""
+    found = F.regexp_extract(F.left(_text(c), F.lit(3000)), r"(?i)((?:JUZGADO|TRIBUNAL)[^\n]{3,120})", 1)
+    return F.nullif(F.btrim(F.regexp_replace(found, COURT_ENDS, ""), F.lit(" ,.-")), F.lit(""))
+
+
+def claimant_in_mail(subject: Column, blocks: Column) -> Column:
+    """The name after the word for a claimant in the subject, else in the first of five forwarded blocks that has one."""
+    pattern = r"(?i)accionante:?\s+([\p{L} ]{5,60})"
+    tidy = lambda x: F.nullif(F.btrim(F.regexp_replace(F.regexp_extract(x, pattern, 1), NAME_ENDS, "")), F.lit(""))
+    later = F.filter(F.transform(F.slice(blocks, 1, 5), tidy), lambda x: x.isNotNull())
+    return F.coalesce(tidy(_text(subject)), F.get(later, F.lit(0)))

@@ -343,3 +343,52 @@ def st06_folder_fingerprints(t: World):
 @case_query("""select id, upper(strip_accents(coalesce(claimant, ''))) as plain from cases""")
 def f02_plain_upper(t: World):
     return t.cases.select("id", F.upper(strip_accents(F.coalesce("claimant", F.lit("")))).alias("plain"))
+
+
+HEAD = "coalesce(court, 'sin despacho') || ' de Bucaramanga REF tutela ' || id || chr(10) || 'texto'"
+
+
+@case_query(rf"""with h as (select id, {HEAD} as x from cases), c as (select id, regexp_extract(x, '(?i)((?:JUZGADO|TRIBUNAL)[^\n]{{3,120}})', 1) as c from h)
+  select id, nullif(trim(regexp_replace(c, '\s+(?:REF|RADICADO|ACCIONANTE|SEÑOR)\b.*$', '', 'i'), ' ,.-'), '') as court from c""")
+def x07_court(t: World):
+    head = F.concat(F.coalesce("court", F.lit("sin despacho")), F.lit(" de Bucaramanga REF tutela "), F.col("id").cast("string"), F.lit("\ntexto"))
+    return t.cases.select("id", extract.court_name(head).alias("court"))
+
+
+@case_query(r"""with m as (select id, user_ from (select id, case id % 3 when 0 then 'Tutela accionante: Ana Rojas contra EPS' else subject end as user_ from mails) y)
+  select id, case when id % 3 = 0 then 'Ana Rojas' when id % 3 = 1 then 'Luis Gil' end as claimant from m""")
+def x12_claimant_from_mail(t: World):
+    subject = F.when(F.col("id") % 3 == 0, "Tutela accionante: Ana Rojas contra EPS").otherwise(F.col("subject"))
+    body = F.when(F.col("id") % 3 == 1, "hola\n-----\nDe: x\nAccionante Luis Gil vs Alcaldía\n").otherwise("hola")
+    return t.mails.select("id", extract.claimant_in_mail(subject, classes.forwarded_blocks(body)).alias("claimant"))
+
+
+@case_query(f"""with d as (select d.case_id, d.id, c.lawyer, case {DOC_CLASS} when 'DOCX_RESPUESTA' then 1 when 'DOCX_IMPUGNACION' then 2 when 'DOCX_CUMPLIMIENTO' then 3 else 9 end as rank from docs d join cases c on c.id = d.case_id where ends_with(lower(filename), '.docx') and coalesce(c.lawyer, '') <> ''),
+  r as (select *, row_number() over (partition by case_id order by rank, id) as k, count(*) over (partition by case_id) as letters from d) select case_id, id as letter, lawyer, letters from r where k = 1""")
+def x13_lawyer_of_letters(t: World):
+    # of several letters, the answer's signature counts before that of an appeal or of a compliance
+    order = {"DOCX_RESPUESTA": 1, "DOCX_IMPUGNACION": 2, "DOCX_CUMPLIMIENTO": 3}
+    rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), classes.document_class(F.col("filename"))), F.lit(9))
+    c = t.cases.where(filled_sql(F.col("lawyer"))).select(F.col("id").alias("case_id"), "lawyer")
+    d = t.docs.where(F.endswith(F.lower("filename"), F.lit(".docx"))).select("id", "case_id", rank.alias("rank")).join(c, "case_id")
+    return d.groupBy("case_id").agg(F.min_by(F.struct(F.col("id").alias("letter"), "lawyer"), F.struct("rank", "id")).alias("b"), F.count("*").alias("letters")).select("case_id", "b.*", "letters")
+
+
+@case_query(rf"""with t as (select id, coalesce(text, '') as x from docs), l as (select id, 'court_id' as field, regexp_extract(x, '{extract.ID_WHOLE}', 1) as value from t union all select id, 'filing', regexp_extract(x, '{extract.FILING_WORD}', 1) from t
+  union all select id, 'diagnosis', regexp_extract(x, '([A-TV-Z]\d{{2}})', 1) from t) select * from l where value <> ''""")
+def x14_all_extractors(t: World):
+    text = F.coalesce("text", F.lit(""))
+    fields = {"court_id": extract.ID_WHOLE, "filing": extract.FILING_WORD, "diagnosis": r"([A-TV-Z]\d{2})"}
+    found = F.array(*(F.struct(F.lit(f).alias("field"), F.regexp_extract(text, p, 1).alias("value")) for f, p in fields.items()))
+    return t.docs.select("id", F.explode(F.filter(found, lambda x: x["value"] != "")).alias("x")).select("id", "x.*")
+
+
+@case_query(r"""with m as (select case_id, strftime(received, '%Y%m%d') as day, lower(array_to_string(string_split(coalesce(subject, ''), ' ')[1:3], ' ')) as words, max(id) as mail from mails where case_id is not null group by 1, 2, 3),
+  f as (select id as file, case_id, day, lower(w) as words from (select id, case_id, strftime(received, '%Y%m%d') as day, array_to_string(string_split(coalesce(subject, ''), ' ')[1:3], ' ') as w from mails where case_id is not null and id % 2 = 0)) select file, mail from f join m using (case_id, day, words)""")
+def j34_legacy_mail_files(t: World):
+    # files of old mails find their mail by case, day and the first three words of the subject; of equal ones the last counts
+    words = F.lower(F.array_join(F.slice(F.split(F.coalesce("subject", F.lit("")), " "), 1, 3), " ")).alias("words")
+    d = t.mails.where("case_id is not null").select("id", "case_id", F.date_format("received", "yyyyMMdd").alias("day"), words)
+    last = d.groupBy("case_id", "day", "words").agg(F.max("id").alias("mail"))
+    old = d.where("id % 2 = 0").withColumnRenamed("id", "file")  # the mails that left a file
+    return old.join(last, ["case_id", "day", "words"]).select("file", "mail")
