@@ -145,7 +145,7 @@ def _shards(symbols_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(packed: bytes) -> bytes:
@@ -352,7 +352,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         return pa.table([pa.array(keys, pa.int64()), pa.array(apart, pa.bool_()), pa.array([lang] * len(keys), pa.string()), pa.array(n), pa.array(total)], ["key", "held", "lang", "n_symbols", "logp"])
 
     requests = packed.groupBy("batch").applyInArrow(asked, "lang string, shard int, batch bigint, grams binary").repartition(parts, "lang", "shard")
-    distinct = requests.select("lang", "shard", "grams").sortWithinPartitions("lang", "shard").mapInArrow(united, "lang string, shard int, gram string")
+    # all columns, so that this too reads the one exchange of the requests
+    distinct = requests.sortWithinPartitions("lang", "shard").mapInArrow(united, "lang string, shard int, gram string")
     known = log_probabilities(distinct, model).select("lang", "shard", "gram", "logp")
     answers = requests.groupBy("lang", "shard").cogroup(known.groupBy("lang", "shard")).applyInArrow(answered, "batch bigint, shard int, logp binary")
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "key bigint, held boolean, lang string, n_symbols bigint, logp double")
