@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.cases import trigram_overlap, trigrams
-from lexmill.llm.common import staged
+from lexmill.sources.files import staged
 from lexmill.operators.vectors import cosine_pairs
 
 

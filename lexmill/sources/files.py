@@ -26,6 +26,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there, and lost executors do not matter."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def case_list(spark: SparkSession, path: str, id_column: str, known: DataFrame | None = None) -> DataFrame:
     """A ``;`` separated list with a header: values trimmed, empty ones null, rows whose id is known left out."""
     raw = spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8").csv(path)
