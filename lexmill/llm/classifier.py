@@ -133,6 +133,24 @@ class _Windows:
         return out
 
 
+class _Places:
+    """Where numbers stand in a sorted array that holds them all, by a table of hashes; those that share a slot are searched for."""
+
+    def __init__(self, ids: np.ndarray):
+        bits = max(4, (16 * len(ids)).bit_length())
+        self.ids, self.shift, self.table = ids, np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
+        self.table[self._slots(ids)] = np.arange(len(ids))
+
+    def _slots(self, ids: np.ndarray) -> np.ndarray:
+        return (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        at = self.table[self._slots(ids)]
+        lost = np.flatnonzero(self.ids[at] != ids)
+        at[lost] = np.searchsorted(self.ids, ids[lost])
+        return at
+
+
 _SPREAD = np.random.default_rng(20240101).integers(0, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
@@ -340,9 +358,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         logp = np.full(len(distinct), math.nan)
         for shard, blob in zip(answers["shard"].to_pylist(), answers["logp"].to_pylist(), strict=True):
             logp[places[ends[shard] : ends[shard + 1]]] = np.frombuffer(_unpack(blob), float)
-        n, total = np.zeros(len(own), np.int64), np.zeros(len(own))
+        n, total, place = np.zeros(len(own), np.int64), np.zeros(len(own)), _Places(distinct)
         for sizes_, code in w.groups:
-            each, start = logp[np.searchsorted(distinct, w.ids(sizes_, code))], 0
+            each, start = logp[place.of(w.ids(sizes_, code))], 0
             for k, length in sizes_:
                 end = start + length - order + 1
                 n[k] += end - start
