@@ -393,7 +393,8 @@ def classify(
     change nothing. Texts are read whole. Kept: the perplexity is at most the language's threshold. Texts
     without a word (null, empty, blank) have a null perplexity and are not kept. A language without trusted
     text has a null perplexity and threshold, one without held-out text a null threshold: their texts are kept if they have a
-    word. A null language is a language. Repeated rows are scored each. Empty tables give no rows.
+    word. A null language is a language. Repeated rows are scored each; a perplexity equal to the threshold is kept. Very
+    long texts are scored whole, in pieces. Empty tables give no rows; other columns are not read.
     """
     small_batches(df.sparkSession)
     fold = F.pmod(F.xxhash64(text_col), F.lit(FOLDS))

@@ -282,7 +282,8 @@ def near_duplicates(df: DataFrame, vec_col: str = "embedding", key: str = "vec_i
     Null vectors, vectors of length zero and those with a null or non-finite component link with nothing, nor do
     vectors of different widths link. Equal vectors are compared once and counted each. A null key has no links.
     Rows that share a key are vectors of their own; each shows the links of all of them that come first in their classes. An empty
-    table gives no rows; other columns are not read. ``recall`` measures the share of links that are found.
+    table gives no rows; other columns are not read. A cosine equal to the threshold links; of equal labels the smallest key counts. Vectors
+    of any width are read whole. ``recall`` measures the share of links that are found.
     """
     every = staged(_unit_vectors(df, key, vec_col), "vectors")
     valid = every.where("v is not null and id is not null")
