@@ -401,7 +401,7 @@ def r10_rehydrated(t: World):
     return back.select("id", F.array_join(F.transform("p", lambda x: x["v"]), "").alias("text"))
 
 
-@case_query("""select case_id, count(*) as spans, count(distinct token) as tokens, sum(n) as chars from (select case_id, token, length(token) as n from (select case_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{7,}')) as token from docs)) group by 1""")
+@case_query("""select case_id, count(*) as spans, count(distinct token) as tokens, sum(n)::bigint as chars from (select case_id, token, length(token) as n from (select case_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{7,}')) as token from docs)) group by 1""")
 def r12_privacy_stats(t: World):
     d = t.docs.select("case_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([0-9]{7,})"), F.lit(1))).alias("token"))
     return d.groupBy("case_id").agg(F.count("*").alias("spans"), F.count_distinct("token").alias("tokens"), F.sum(F.length("token")).alias("chars"))

@@ -208,13 +208,14 @@ def f26_due_dates(t: World):
 PRICES = [("deepseek", "chat", 0.27, 1.1), ("openai", "mini", 0.15, 0.6), ("anthropic", "reasoner", 3.0, 15.0)]
 
 
-@case_query("""with p(provider, model, i, o) as (values ('deepseek', 'chat', 0.27::double, 1.1::double), ('openai', 'mini', 0.15, 0.6), ('anthropic', 'reasoner', 3.0, 15.0))
-  select provider, model, sum((tokens_in * coalesce(i, 0) + tokens_out * coalesce(o, 0)) / 1e6) as usd from usage left join p using (provider, model) group by all""")
+@case_query("""with p(provider, model, i, o) as (values ('deepseek', 'chat', 0.27::double, 1.1::double), ('openai', 'mini', 0.15, 0.6), ('anthropic', 'reasoner', 3.0, 15.0)),
+  u as (select provider, model, sum(tokens_in)::double as a, sum(tokens_out)::double as b from usage group by 1, 2)
+  select provider, model, (a * coalesce(i, 0) + b * coalesce(o, 0)) / 1e6 as usd from u left join p using (provider, model)""")
 def f29_estimated_cost(t: World):
     prices = t.spark.createDataFrame(PRICES, "provider string, model string, i double, o double")
-    d = t.usage.join(F.broadcast(prices), ["provider", "model"], "left")
-    usd = (F.col("tokens_in") * F.coalesce("i", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("o", F.lit(0.0))) / 1e6
-    return d.groupBy("provider", "model").agg(F.sum(usd).alias("usd"))
+    u = t.usage.groupBy("provider", "model").agg(F.sum("tokens_in").cast("double").alias("a"), F.sum("tokens_out").cast("double").alias("b"))
+    usd = (F.col("a") * F.coalesce("i", F.lit(0.0)) + F.col("b") * F.coalesce("o", F.lit(0.0))) / 1e6
+    return u.join(F.broadcast(prices), ["provider", "model"], "left").select("provider", "model", usd.alias("usd"))
 
 
 @case_query(f"""with x as (select id, {DATE.format('ruling2_date')} as d, * from cases)
@@ -304,7 +305,7 @@ def a15_favourability_chart(t: World):
     return real_cases(t).groupBy(F.when(f.isin("DESISTIMIENTO", "OTRO"), "IMPROCEDENTE").otherwise(f).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@case_query("""with u as (select coalesce(sum(tokens_in), 0) as i, coalesce(sum(tokens_out), 0) as o, coalesce(sum(try_cast(cost as double)), 0) as paid from usage)
+@case_query("""with u as (select coalesce(sum(tokens_in), 0)::bigint as i, coalesce(sum(tokens_out), 0)::bigint as o, coalesce(sum(try_cast(cost as double)), 0) as paid from usage)
   select i as tokens_in, o as tokens_out, paid, (i * 2.5 + o * 10.0) / 1e6 as other, (i * 2.5 + o * 10.0) / 1e6 - paid as saved from u""")
 def a23_savings(t: World):
     d = t.usage.agg(F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"), F.coalesce(F.sum(F.col("cost").try_cast("double")), F.lit(0.0)).alias("paid"))
