@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "t") -> DataFrame:
+def staged(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

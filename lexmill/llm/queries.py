@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each a thin layer over its operator, and their SQL."""
+"""The queries op1 to op13, each a thin layer over its operator, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, chat, classifier, embeddings, linededup, minhash, mixing, quality_rules, urlfilter, warc
+from lexmill.llm import bpe, chat, classifier, embeddings, exactdedup, hardneg, lexical, linededup, minhash, mixing, quality_rules, urlfilter, warc
 from lexmill.llm.common import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +207,58 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest, case when
        case when n >= 100 and page_id <> first then first end as refers_to
 from f
 """
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+g as (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from d)
+select doc_id, keep_id, group_size::bigint as group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g
+"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", label))
+
+
+ORACLES["op11_hard_negatives"] = """
+with v as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from v where id % 100 = 0),
+s as (select a.id as a, v.id as b, a.label = v.label as same, list_inner_product(a.e, v.e)::bigint as s from a join v on a.id <> v.id and len(a.e) = len(v.e)),
+p as (select a, b as p, s as ps from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p, ps, b, s, row_number() over (partition by p.a, p order by s desc, b) as k from p join s on s.a = p.a and not same and 30 * ps <= 100 * s and 100 * s <= 90 * ps)
+select a as anchor_id, p as positive_id, k::int as rank, b as negative_id, ps as positive_score, s as negative_score from n where k <= 10
+"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+with t as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents),
+d as (select doc_id, count(*) as n from t group by 1),
+g as (select count(*) as n_docs, sum(n)::bigint as l from d),
+f as (select doc_id, term, count(*) as tf from t group by 1, 2),
+w as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, g group by 1),
+i as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // l))))::bigint as score
+  from i join f using (term) join w using (term) join d using (doc_id), g group by 1, 2),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 10
+"""
