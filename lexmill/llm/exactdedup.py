@@ -48,11 +48,14 @@ def paired(names: np.ndarray) -> list[bytes]:
     return [packed[i : i + 16] for i in range(0, len(packed), 16)]
 
 
-def _blocks_of_texts(batch: pa.RecordBatch) -> Iterator[Piece]:
-    for key, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-        low = (text.as_py() or b"").translate(_LOWER)
-        pieces = cut(low)
-        yield key, hashlib.sha256(low).digest(), len(pieces), pieces
+def _blocks_of_texts(size: int) -> Callable[[pa.RecordBatch], Iterator[Piece]]:
+    def run(batch: pa.RecordBatch) -> Iterator[Piece]:
+        for key, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+            low = (text.as_py() or b"").translate(_LOWER)
+            pieces = cut(low, size)
+            yield key, hashlib.sha256(low).digest(), len(pieces), pieces
+
+    return run
 
 
 def _pairs_of_names(batch: pa.RecordBatch) -> Iterator[Piece]:
@@ -148,13 +151,13 @@ def _level(rows: DataFrame, pieces: Callable[[pa.RecordBatch], Iterator[Piece]])
     return named
 
 
-def identities(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def identities(df: DataFrame, text_col: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(id, digest, blocks, name): one row per row of ``df``; rows have equal (blocks, name) if and only if their texts are equal.
 
     A null ``name`` is that of a text which no other row has.
     """
     small_batches(df.sparkSession)
-    level = _level(df.select(F.col(key).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), _blocks_of_texts)
+    level = _level(df.select(F.col(key).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")), _blocks_of_texts(block))
     done = []
     while True:
         ended = F.col("lone") | (F.size("names") == 1)
@@ -169,7 +172,7 @@ def identities(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> Da
     return out
 
 
-def exact_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def exact_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """One row per row of ``df``: ``key``, keep_id (largest key of the equal texts), group_size, kept (the key is it), text_sha256 (of the text in UTF-8).
 
     Texts are equal when identical after A-Z are lower-cased; null counts as empty, and empty texts are equal to each other.
@@ -177,7 +180,7 @@ def exact_duplicates(df: DataFrame, text_col: str = "text", key: str = "doc_id")
     largest. A null key is smaller than all others; where all keys of a group are null, all its rows stay and keep_id is null. An empty table
     gives no rows; further columns are not read.
     """
-    named = identities(df, text_col, key)
+    named = identities(df, text_col, key, block)
     shared = named.where("name is not null")
     groups = shared.groupBy("blocks", "name").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     single = named.where("name is null").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
