@@ -26,6 +26,15 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, on one machine only, a temporary one that the session keeps to."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        root = work_path(spark, "x").rpartition("/")[0]
+        spark.sparkContext.setCheckpointDir(root)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: its lineage ends there, and lost executors do not matter."""
     path = work_path(df.sparkSession, name)
