@@ -23,7 +23,6 @@ from lexmill.operators.search import B, K1, LEAST_IDF, terms
 from lexmill.sources import versions
 
 BUCKETS = 64
-#: Bytes of postings that one task writes, about.
 _POSTINGS = "id bigint, term string, positions array<bigint>"
 
 
@@ -91,8 +90,12 @@ class Index:
         places = places.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
         self._publish([versions.write_folders(self.root, {"entries": living.drop("segment").withColumn("gone", F.lit(False)), "postings": places}, {"postings": ["bucket"]})], now)
 
+    def _table(self, path: str, kind: str) -> DataFrame:
+        # postings of no rows have no files, and so no schema of their own
+        return self.spark.read.schema(_POSTINGS + ", bucket int").parquet(path) if kind == "postings" else self.spark.read.parquet(path)
+
     def _read(self, kind: str) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.root}/{s[kind]}").withColumn("segment", F.lit(i)) for i, s in enumerate(self._segments())]
+        parts = [self._table(f"{self.root}/{s[kind]}", kind).withColumn("segment", F.lit(i)) for i, s in enumerate(self._segments())]
         return reduce(DataFrame.unionByName, parts)
 
     def entries(self) -> DataFrame:
