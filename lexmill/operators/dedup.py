@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.cases import trigram_overlap, trigrams
@@ -22,35 +22,29 @@ def hash_duplicates(df: DataFrame, text: str, owner: str) -> DataFrame:
     return d.withColumn("removable", F.when(F.col("owners") == 1, F.col("n") - 1).otherwise(0)).withColumn("reviewable", F.when(F.col("owners") > 1, F.col("n") - F.col("owners")).otherwise(0))
 
 
-def similar_in_block(df: DataFrame, key: str, text: str, block: str, first: int = 10, least: int = 200, above: float = 0.9) -> DataFrame:
-    """Pairs among the ``first`` rows of each block whose trigram overlap exceeds ``above``: a feature bounded by ``first``."""
-    d = df.where(F.length(text) > least).select(block, key, text)
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy(block).orderBy(key))).where(F.col("n") <= first).drop("n")
-    d = d.select(block, key, F.md5(F.col(text).cast("binary")).alias("__h"), trigrams(F.col(text)).alias("__g"))
-    a = d.select(block, F.col(key).alias("a"), F.col("__h").alias("__i"), F.col("__g").alias("__x"))
-    b = d.select(block, F.col(key).alias("b"), "__h", F.col("__g").alias("__y"))
-    pairs = a.join(b, block).where((F.col("a") < F.col("b")) & (F.col("__i") != F.col("__h")))
-    pairs = pairs.select("a", "b", trigram_overlap(F.col("__x"), F.col("__y")).alias("overlap"))
-    return pairs.where(F.col("overlap") > above)
+def similar_texts(df: DataFrame, key: str, text: str, least: int = 200, above: float = 0.9, block: str | None = None) -> DataFrame:
+    """(a, b, overlap) of all pairs a < b of rows with different texts whose trigram overlap exceeds ``above``, on whole texts; with ``block``, only of rows equal in it (null to null).
 
-
-def similar_texts(df: DataFrame, key: str, text: str, least: int = 200, above: float = 0.9) -> DataFrame:
-    """(a, b, overlap) of all pairs a < b of rows with different texts whose trigram overlap exceeds ``above``, on whole texts.
-
-    Rows with the same text are one class. Two sets that overlap so far share one of their rarest trigrams, as many of
-    each as may be missing and one more, and are of like size; such pairs are candidates and are compared exactly.
+    Rows of a block with the same text are one class. Two sets that overlap so far share one of their rarest trigrams, as many of each as
+    may be missing and one more, at places of these orders that leave room for enough others, and are of like size; such pairs are
+    candidates and are compared exactly. Texts of ``least`` characters or fewer, and null ones, are left out.
     """
-    rows = df.where(F.length(text) > least).select(F.col(key).alias("k"), F.sha2(F.col(text).cast("binary"), 256).alias("h"), F.col(text).alias("t"))
+    own = (F.col(block) if block else F.lit(None)).cast("string").alias("block")
+    rows = df.where(F.length(text) > least).select(F.col(key).alias("k"), own, F.col(text).alias("t")).withColumn("h", F.sha2(F.concat(F.coalesce("block", F.lit("\0")), F.lit("\0"), "t").cast("binary"), 256))
     member = rows.select("k", "h")
-    sets = staged(rows.groupBy("h").agg(F.any_value("t").alias("t")).select("h", trigrams(F.col("t"), None).alias("g")).withColumn("n", F.size("g")), "trigrams")
-    each = sets.select("h", "n", F.explode("g").alias("w"))
-    common = each.groupBy("w").agg(F.count("*").alias("f"))
-    held = each.join(common, "w").groupBy("h", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
+    texts = rows.groupBy("h").agg(F.any_value("t").alias("t"), F.any_value("block").alias("block"))
+    sets = staged(texts.select("h", "block", trigrams(F.col("t"), None).alias("g")).withColumn("n", F.size("g")), "trigrams")
+    each = sets.select("h", "block", "n", F.explode("g").alias("w"))
+    # how rare a trigram is in its block
+    common = each.groupBy("block", "w").agg(F.count("*").alias("f"))
+    ranked = each.alias("e").join(common.alias("c"), (F.col("e.w") == F.col("c.w")) & F.col("e.block").eqNullSafe(F.col("c.block"))).select("h", "e.block", "n", "f", "e.w")
+    held = ranked.groupBy("h", "block", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
     # at least floor(above n) + 1 are shared, so one of the first n - floor(above n) is; the small part less is for rounding
     prefix = F.col("n") - F.floor(F.col("n") * F.lit(above) - F.lit(1e-9)).cast("int")
-    heads = held.select("h", "n", F.explode(F.slice("o", F.lit(1), prefix)).alias("o")).select("h", "n", "o.w").where(F.col("n") > 0)
-    x, y = heads.select("w", F.col("h").alias("i"), F.col("n").alias("p")), heads.select("w", F.col("h").alias("j"), F.col("n").alias("q"))
-    pairs = x.join(y, "w").where((F.col("i") < F.col("j")) & (F.least("p", "q") > above * F.greatest("p", "q") - 1e-6)).select("i", "j").distinct()
+    heads = held.select("h", "block", "n", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("at", "o")).where("o.f > 1").select("h", "block", "n", "at", "o.w")
+    side = lambda h, n, at, b: heads.select("w", F.col("block").alias(b), F.col("h").alias(h), F.col("n").alias(n), F.col("at").alias(at))
+    like = (F.least("p", "q") > above * F.greatest("p", "q") - 1e-6) & (1 + F.least(F.col("p") - F.col("s") - 1, F.col("q") - F.col("u") - 1) + F.least("s", "u") > above * F.greatest("p", "q") - 1e-6)
+    pairs = side("i", "p", "s", "x").join(side("j", "q", "u", "y"), "w").where(F.col("x").eqNullSafe(F.col("y")) & (F.col("i") < F.col("j")) & like).select("i", "j").distinct()
     pairs = pairs.join(sets.select(F.col("h").alias("i"), F.col("g").alias("x")), "i").join(sets.select(F.col("h").alias("j"), F.col("g").alias("y")), "j")
     pairs = pairs.select("i", "j", trigram_overlap(F.col("x"), F.col("y")).alias("overlap")).where(F.col("overlap") > above)
     pairs = pairs.join(member.select(F.col("h").alias("i"), F.col("k").alias("s")), "i").join(member.select(F.col("h").alias("j"), F.col("k").alias("e")), "j")

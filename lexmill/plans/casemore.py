@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import classes, extract
 from lexmill.functions.cases import spaced_id
 from lexmill.functions.compat import digits, filled_sql, normal_name, parse_dmy, strip_accents
-from lexmill.operators import matching
+from lexmill.operators import matching, relational
 from lexmill.plans.casejoins import LONG, YEAR_SEQ, d08_fragments, w04_canonical_document
 from lexmill.plans.casework import DATE, DIGITS, DOC_CLASS, NAME
 from lexmill.plans.world import World, case_query
@@ -68,8 +68,8 @@ def d17_canonical_by_tokens(t: World):
     name = normal_name(F.coalesce("claimant", F.lit("")))
     cases = t.cases.select("id", name.alias("name"), "city", "status")
     tokens = F.array_distinct(F.filter(F.split("name", " "), lambda w: F.length(w) >= 3))
-    k = cases.select("name").distinct().select("name", F.explode(tokens).alias("w"))
-    pairs = k.withColumnRenamed("name", "a").join(k.withColumnRenamed("name", "b"), "w").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
+    pairs = relational.token_overlap(cases.select("name").distinct(), "name", tokens, 2)
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     m = cases.where("status = 'DUPLICATE_MERGED'").select("id", F.col("name").alias("a"), F.col("city").alias("own"))
     o = cases.where(~F.col("status").eqNullSafe("DUPLICATE_MERGED")).groupBy(F.col("name").alias("b"), "city").agg(F.min("id").alias("canonical"))
     s = m.join(pairs, "a").join(o, "b").withColumn("score", F.col("shared") + F.coalesce((F.col("own") == F.col("city")).cast("int"), F.lit(0))).where("score >= 3")

@@ -111,96 +111,19 @@ def j16_suffix_other(t: Tables):
     return a.join(b, "k").where("own <> other").drop("k")
 
 
-@query("""with w as (select distinct n_nationkey as id, unnest(string_split(lower(p_name), ' ')) as w from part join nation on p_partkey % 25 = n_nationkey where p_partkey < 200),
-  p as (select a.id as a, b.id as b, count(*) as shared from w a join w b on a.w = b.w and a.id < b.id group by 1, 2) select * from p where shared >= 2""")
-def j19_token_overlap(t: Tables):
-    d = t.part.where("p_partkey < 200").withColumn("id", (F.col("p_partkey") % 25).cast("int")).groupBy("id").agg(F.flatten(F.collect_list(F.split(F.lower("p_name"), " "))).alias("w"))
-    return relational.token_overlap(d, "id", F.col("w"), 2)
-
-
-@query()
-def j19_token_overlap_all(t: Tables):
-    # j19_token_overlap and its SQL take a subset; this is every part
-    return relational.token_overlap_by_set(t.part, "p_partkey", F.split(F.lower("p_name"), " "), 2)
-
-
-@query(r"""with c as (select conv_id * 1000 + turn as msg, length(text) as n, text from conversations),
-  k as (select c_custkey, regexp_replace(c_name, '\D', '', 'g')::bigint as d, c_nationkey from customer),
-  m as (select msg, 1 as tier, c_custkey from c join k on n = d and n % 3 = 0 union all select msg, 2, c_custkey from c join k on n % 50 = d and n % 2 = 0
-        union all select msg, 3, c_custkey from c join k on n % 25 = c_nationkey),
-  r as (select *, row_number() over (partition by msg order by tier, c_custkey) as rn from m)
-  select msg, tier, c_custkey from r where rn = 1""")
-def j20_waterfall(t: Tables):
-    n, d = F.length("text"), F.col("d")
-    left = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg"), "text")
-    right = t.customer.select("c_custkey", digits(F.col("c_name")).cast("bigint").alias("d"), "c_nationkey")
-    tiers = [(F.when(n % 3 == 0, n.cast("bigint")), d), (F.when(n % 2 == 0, (n % 50).cast("bigint")), d), (n % 25, F.col("c_nationkey"))]
-    return relational.waterfall(left, right, "msg", "c_custkey", tiers)
-
-
-@query("""with e as (select event_id, user_id, ts from events where event_type = 'purchase'), v as (select user_id, ts, value from events where event_type = 'view')
-  select event_id, user_id, (select value from v where v.user_id = e.user_id and v.ts <= e.ts order by v.ts desc, value desc limit 1) as last_view from e""")
-def j32_as_of(t: Tables):
-    e = t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    v = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("last_view"))
-    return relational.as_of(e, v, "user_id", "ts", "at", "last_view").drop("ts")
-
-
-@query("""with d as (select md5(text) as h, doc_id, n_chars, row_number() over (partition by md5(text) order by (source <> 'src0')::int, doc_id) as k, count(*) over (partition by md5(text)) as n from documents)
-  select h as hash, doc_id as canonical, n from d where k = 1 and n > 1""")
-def w03_canonical(t: Tables):
-    d = t.documents.groupBy(F.md5(F.col("text").cast("binary")).alias("hash")).agg(F.min_by("doc_id", F.struct((F.col("source") != "src0").cast("int"), "doc_id")).alias("canonical"), F.count("*").alias("n"))
-    return d.where("n > 1")
-
-
-@query("""select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1""")
-def w05_latest(t: Tables):
-    return relational.latest(t.events, "user_id", ["ts", "event_id"], ["event_id", "event_type"])
-
-
-@query("""with c as (select source, lang, count(*) as n, min(doc_id) as first from documents group by 1, 2) select source, lang, n from (select *, row_number() over (partition by source order by n desc, first) as k from c) where k = 1""")
-def w06_best_candidate(t: Tables):
-    c = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return c.groupBy("source").agg(F.min_by(F.struct("lang", "n"), F.struct(-F.col("n"), "first")).alias("b")).select("source", "b.lang", "b.n")
-
-
-@query("""select user_id, list(event_type order by first) as kinds from (select user_id, event_type, min(event_id) as first from events group by 1, 2) group by 1""")
-def w07_first_seen(t: Tables):
-    d = t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    d = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("first", "event_type"))).alias("k"))  # kinds are few
-    return d.select("user_id", F.transform("k", lambda x: x["event_type"]).alias("kinds"))
+_PART_WORDS = "list_sort(list_distinct(string_split(lower(p_name || ' ' || p_brand || ' ' || p_type), ' ')))"
 
 
-@query("""select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) as k from events) where k <= 50""")
-def w08_latest_50(t: Tables):
-    return relational.best_per_key(t.events, ["user_id"], [F.desc_nulls_last("ts"), F.desc("event_id")], 50).select("user_id", "event_id", "ts")
-
-
-@query("""select event_id, user_id, value from events where user_id <> 3 and event_type = 'error' order by ts desc, event_id desc limit 5""")
-def w09_other_cases(t: Tables):
-    d = t.events.where("user_id <> 3 and event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(5)
-    return d.select("event_id", "user_id", "value")
-
-
-@query("""select o_custkey, n, c_name from (select o_custkey, count(*) as n from orders where o_orderstatus = 'P' group by 1 order by n desc, o_custkey limit 10) join customer on c_custkey = o_custkey""")
-def w10_top_suspicious(t: Tables):
-    top = t.orders.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(10)
-    return t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name").join(F.broadcast(top), "o_custkey").select("o_custkey", "n", "c_name")
-
-
-@query("""select o_orderkey, o_orderstatus, row_number() over (order by case o_orderstatus when 'P' then 1 when 'O' then 2 else 3 end, o_orderkey) as place from orders
-  order by case o_orderstatus when 'P' then 1 when 'O' then 2 else 3 end, o_orderkey limit 30""")
-def o04_enum_order(t: Tables):
-    rank = F.array_position(F.array(*map(F.lit, ("P", "O", "F"))), F.col("o_orderstatus"))
-    top = t.orders.select("o_orderkey", "o_orderstatus", rank.alias("r")).orderBy("r", "o_orderkey").limit(30)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("r", "o_orderkey")).cast("bigint")).drop("r")
+@query(f"""with c as (select min(p_partkey) as id, count(*) as n, {_PART_WORDS} as w from part group by w), t as (select id, n, unnest(w) as w from c),
+  p as (select a.id as a, b.id as b, count(*) as shared, any_value(a.n) as n_a, any_value(b.n) as n_b from t a join t b on a.w = b.w and a.id < b.id group by 1, 2) select * from p where shared >= 2""")
+def j19_token_overlap(t: Tables):
+    return relational.token_classes(t.part, "p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), " "), 2)
 
 
-@query("""select k as c_custkey, side from ((select c_custkey as k, 'left' as side from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P'))
-  union all (select o_custkey, 'right' from orders where o_orderstatus = 'P' and o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0) group by 1))
-  where side = 'right' or k % 2 = 0""")
-def u01_difference(t: Tables):
-    return relational.two_way_difference(t.customer.where("c_custkey % 2 = 0"), t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+@query(f"""with s as (select p_partkey as id, {_PART_WORDS} as w from part), p as (select a.id as a, b.id as b, len(list_intersect(a.w, b.w)) as shared from s a join s b on a.id < b.id) select * from p where shared >= 3""")
+def j19_token_overlap_all(t: Tables):
+    # every pair of parts, copies too
+    return relational.token_overlap_by_set(t.part, "p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")), " "), 3)
 
 
 @query("""select p_partkey, len(list_intersect(list_distinct(string_split(lower(p_name), ' ')), ['red', 'small', 'steel', 'part'])) as shared from part""")
@@ -209,15 +132,18 @@ def u03_intersection(t: Tables):
     return t.part.select("p_partkey", F.size(F.array_intersect(F.split(F.lower("p_name"), " "), wanted)).cast("bigint").alias("shared"))
 
 
-@query("""select lang, source, left(text, 20) as head, count(*) as n, min(doc_id) as canonical from documents group by 1, 2, 3 having count(*) > 1""")
+_WHOLE = "select lang, source, sha256(text) as hash, count(*) as n, min(doc_id) as canonical from documents group by 1, 2, 3 having count(*) > 1"
+
+
+@query(_WHOLE)
 def d01_identity_groups(t: Tables):
-    return dedup.identity_groups(t.documents, F.struct("lang", "source", F.left("text", F.lit(20)).alias("head")), "doc_id")
+    return dedup.identity_groups(t.documents, F.struct("lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("hash")), "doc_id")
 
 
-@query()
+@query(_WHOLE.replace("lang, source, sha256", "lang, sha256").replace("1, 2, 3", "1, 2"))
 def d01_identity_whole(t: Tables):
-    # d01_identity_groups and its SQL take the first 20 characters as the identity; this takes the whole text
-    return dedup.identity_groups(t.documents, F.struct("lang", "source", F.sha2(F.col("text").cast("binary"), 256).alias("hash")), "doc_id")
+    # of a language, whatever the source
+    return dedup.identity_groups(t.documents, F.struct("lang", F.sha2(F.col("text").cast("binary"), 256).alias("hash")), "doc_id")
 
 
 @query("""select md5(text) as hash, count(*) as n, count(distinct source) as owners, case when count(distinct source) = 1 then count(*) - 1 else 0 end as removable,
@@ -226,17 +152,18 @@ def d05_hash_duplicates(t: Tables):
     return dedup.hash_duplicates(t.documents, "text", "source")
 
 
-@query("""with r as (select *, row_number() over (partition by source order by doc_id) as k from documents where length(text) > 200),
-  g as (select source, doc_id, text, list_distinct(list_transform(range(1, greatest(length(left(text, 5000)) - 2, 1) + 1), lambda i: substr(lower(left(text, 5000)), i, 3))) as g from r where k <= 10),
-  p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g)) as overlap from g a join g b on a.source = b.source and a.doc_id < b.doc_id and a.text <> b.text)
-  select * from p where overlap > 0.9""")
+_SIMILAR = """with r as (select doc_id, source, text, list_distinct(list_transform(range(1, length(text) - 1), lambda i: hash(substr(lower(text), i, 3)))) as g from documents where length(text) > 200),
+  p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.g, b.g)) / greatest(len(a.g), len(b.g)) as overlap from r a join r b on a.doc_id < b.doc_id{same} and a.text <> b.text and least(len(a.g), len(b.g)) > 0.9 * greatest(len(a.g), len(b.g)))
+  select * from p where overlap > 0.9"""
+
+
+@query(_SIMILAR.format(same=" and a.source is not distinct from b.source"))
 def d06_similar_in_block(t: Tables):
-    return dedup.similar_in_block(t.documents, "doc_id", "text", "source")
+    return dedup.similar_texts(t.documents, "doc_id", "text", block="source")
 
 
-@query()
+@query(_SIMILAR.format(same=""))
 def d06_similar_texts(t: Tables):
-    # d06_similar_in_block and its SQL compare 5,000 characters of ten rows of a source; this compares all rows whole
     return dedup.similar_texts(t.documents, "doc_id", "text")
 
 

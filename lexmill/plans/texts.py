@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.functions.cases import array_fingerprint, cosine, final_ruling
+from lexmill.functions.cases import array_fingerprint, final_ruling
 from lexmill.functions.compat import normal_name, title_case
 from lexmill.operators import privacy, search, vectors
 from lexmill.plans.catalogue import Tables, query
@@ -42,17 +42,17 @@ def f50_json(t: Tables):
     return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("""select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a join embeddings b on a.label = b.label and b.vec_id > a.vec_id and b.vec_id <= a.vec_id + 20""")
+_COSINE = """with p as (select a.vec_id as a, b.vec_id as b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity from embeddings a join embeddings b on {same} and a.vec_id < b.vec_id) select * from p where similarity >= {least}"""
+
+
+@query(_COSINE.format(same="a.label = b.label", least=0.3))
 def f49_cosine(t: Tables):
-    a, b = t.embeddings.alias("a"), t.embeddings.alias("b")
-    near = (F.col("a.label") == F.col("b.label")) & (F.col("b.vec_id") > F.col("a.vec_id")) & (F.col("b.vec_id") <= F.col("a.vec_id") + 20)
-    return a.join(b, near).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), cosine(F.col("a.embedding"), F.col("b.embedding")).alias("similarity"))
+    return vectors.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.3, "label")
 
 
-@query()
+@query(_COSINE.format(same="true", least=0.35))
 def f49_cosine_threshold(t: Tables):
-    # f49_cosine and its SQL compare neighbours of one label only; this is every pair that reaches the threshold
-    return vectors.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.5)
+    return vectors.cosine_pairs(t.embeddings, "vec_id", "embedding", 0.35)
 
 
 @query(r"""select page_id, regexp_extract(url, '://([^/]+)', 1) as host, len(regexp_extract_all(html, '<a ')) as links, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages""")
