@@ -82,8 +82,20 @@ _TEXT = _pick(
     "'Diagnóstico E11 y C50. Art. 86 y sentencia T-760 de 2008'", "'radicado 20260012345 FOREST ' || cast(20260000000 + part as string)",
 )
 
+_N = lambda first, width: f"'{first}' || {_PAD.format('part', width)}"
+#: What follows the text, by another remainder, so that any two meet: numbers, names and formulas of letters, and long passages.
+_TAIL = _pick(
+    "part",
+    "''", f"' Con número de radicado ' || {_N('2026', 7)} || ' se recibió el 7/3/2024.'", "' ACCIONANTE: PARTE ALFA BETA CONTRA LA ALCALDIA'", "' Demandante: Parte Gama Delta en calidad de agente'",
+    "' promovida por el señor PARTE EPSILON ZETA contra la EPS'", "' Personero Municipal de Guavatá, Santander'", "chr(10) || 'Proyectó: Letrado Uno Dos' || chr(10) || 'Oficina Jurídica'",
+    f"' identificado con C.C. ' || {_N('10', 8)} || ' y NIT 890201235-6, folios: 1234567'", f"' Tutela en Línea con número ' || {_N('36', 5)}", "' ACTA DE REPARTO CIVIL No. ' || cast(part as string)",
+    "' Expediente No. 160-' || cast(10 + part % 80 as string)", f"' Registro Civil No. ' || {_N('1130', 6)} || ' del menor'", f"' Resolución No. ' || {_N('22', 6)} || ' y cédula No. ' || {_N('91', 6)} || ' de 2024. Cel: 312' || {_PAD.format('part', 7)}",
+    f"' Tercero: ' || {_N('497', 5)} || ' PARTE ETA THETA, cédula 1.' || {_PAD.format('part', 9)}", "' de la parte en el proceso, que el despacho tendrá por surtido' || repeat(' conforme a lo dicho por la parte y probado en el expediente', 40)",
+    "' Diríjase a persona' || cast(part % 7 as string) || '@entidad.gov.co o a otra@escuela.edu.co y a la calle 45 No. 12-30'", f"' JUZGADO SEGUNDO CIVIL MUNICIPAL DE BUCARAMANGA radicado y enviado ' || {_N('2025', 7)}",
+)
+
 DOCS = f"""
-select case_id * 10 + line as id, case_id, {_FILE} as filename, {_TEXT} as text, cast(part % 50 as string) || '-' || cast(supp % 3 as string) as file_hash,
+select case_id * 10 + line as id, case_id, {_FILE} as filename, {_TEXT} || {_TAIL} as text, cast(part % 50 as string) || '-' || cast(supp % 3 as string) as file_hash,
   case when part % 4 = 0 then cast(supp as bigint) end as mail_id, {_words("part", "OK", "SOSPECHOSO", None, "NO_PERTENECE", "REVISAR", "OK")} as verified, cast(part as bigint) as part
 from (select l_orderkey as case_id, l_linenumber as line, min(l_partkey) as part, min(l_suppkey) as supp from {{lineitem}} group by l_orderkey, l_linenumber) x"""
 
