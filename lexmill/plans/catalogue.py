@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return register
 
 
-from lexmill.plans import aggregates, casechecks, caseflow, casejoins, casemore, casework, filesio, knowledge, matching, streams, texts  # noqa: E402, F401
+from lexmill.plans import aggregates, casechecks, caseflow, casejoins, casemore, casework, evidence, filesio, knowledge, matching, streams, texts  # noqa: E402, F401
