@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_staged, small_batches, staged
+from lexmill.llm.common import BLANKS, drop_staged, small_batches, staged
 
 #: A common block of fewer words stays.
 MIN_BLOCK_WORDS = 5
 #: Runs with more holders than both LEAST_HOT and one HOT_RUNS-th of all holders of shared runs are dealt into salts.
 LEAST_HOT, HOT_RUNS = 1000, 10_000
+#: Pairs that one copy of an earlier document's lines serves.
+HELD_PAIRS = 4096
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,7 +194,13 @@ def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_blo
     salted = held.join(hot, "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("later"), "salts"), F.lit(0)).cast("int"))
     firsts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("h", "salt", "earlier")
     pairs = salted.join(firsts, ["h", "salt"]).where("earlier < later").select("earlier", "later").distinct()
-    a = rows.select(F.col(key).alias("earlier"), F.col("hashes").alias("theirs"))
+    # a document that is the first holder for very many is dealt into salts too: each part of its pairs gets a copy of its lines
+    many = pairs.groupBy("earlier").agg(F.ceil(F.count("*") / HELD_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    many = staged(many, "holders")
+    part = F.coalesce(F.pmod(F.xxhash64("later"), "parts"), F.lit(0)).cast("int")
+    pairs = pairs.join(many, "earlier", "left").select("earlier", "later", part.alias("part"))
+    a = rows.select(F.col(key).alias("earlier"), F.col("hashes").alias("theirs")).join(many, "earlier", "left")
+    a = a.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     b = rows.select(F.col(key).alias("later"), "at", "sizes", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +210,7 @@ def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_blo
             yield pa.RecordBatch.from_arrays([batch.column("later"), pa.array(places, pa.list_(pa.int32()))], ["later", "gone"])
 
     kind = df.select(key).dtypes[0][1]
-    paired = pairs.join(a, "earlier").join(b, "later").select("later", "theirs", "at", "sizes", "hashes")
+    paired = pairs.join(a, ["earlier", "part"]).join(b, "later").select("later", "theirs", "at", "sizes", "hashes")
     found = paired.mapInArrow(run, f"later {kind}, gone array<int>").where(F.size("gone") > 0)
     gone = staged(found.groupBy(F.col("later").alias(key)).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
     drop_staged(rows, first)
@@ -212,7 +220,7 @@ def removals(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_blo
 def dedup(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``df`` with the common blocks of later documents deleted from ``text_col``, and ``n_removed`` (lines).
 
-    A document that keeps no word has an empty text. Null and empty texts, and rows with a null key, stay as
+    A document that loses lines and keeps no word has an empty text. Null and empty texts, and rows with a null key, stay as
     they are; rows with the same key are one document, of which the row with most lines is compared, and
     each keeps what that row keeps (its deleted line numbers apply to all). Ties and repeated rows change
     nothing else. An empty table gives no rows. A column ``n_removed`` of ``df`` is replaced.
@@ -223,5 +231,7 @@ def dedup(df: DataFrame, text_col: str = "text", key: str = "doc_id", min_block_
     lines = F.split(F.col(text_col), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     text = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    # blank lines are no lines that anything could share; where nothing else is left, they go too
+    text = F.when(F.btrim(text, F.lit(BLANKS)) == "", F.lit("")).otherwise(text)
     d = d.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint")).withColumn(text_col, F.when(F.col("__gone").isNotNull(), text).otherwise(F.col(text_col)))
     return d.select(*(c for c in df.columns if c != "n_removed"), "n_removed")

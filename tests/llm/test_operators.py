@@ -223,7 +223,8 @@ def all_pairs_left(texts, least=5):
             for end in range(start + 1, len(later) + 1):
                 if sum(sizes[start:end]) >= least and any(tuple(later[start:end]) in r for r in runs[:j]):
                     gone |= {at[k] for k in range(start, end)}
-        out.append(texts[j] and "\n".join(x for i, x in enumerate(texts[j].split("\n")) if i not in gone))
+        left = texts[j] and "\n".join(x for i, x in enumerate(texts[j].split("\n")) if i not in gone)
+        out.append("" if gone and not left.strip() else left)
     return out
 
 
@@ -235,8 +236,10 @@ def test_line_dedup_odd_inputs(spark):
     out = linededup.dedup(df)
     assert out.columns == ["doc_id", "text", "gone", "hashes", "at", "n_removed"]
     got = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert [got[i] for i in range(63)] == all_pairs_left(texts[:63]) and got[64].replace("\n", "") == ""
+    assert [got[i] for i in range(63)] == all_pairs_left(texts[:63]) and got[64] == ""
     assert linededup.dedup(df.limit(0)).count() == 0
+    ends = linededup.dedup(docs(spark, [line[6] + "\n\n", line[6] + "\n\n", "\n\n"])).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_removed"]) for r in ends] == [(line[6] + "\n\n", 0), ("", 1), ("\n\n", 0)]
     again = spark.createDataFrame([(1, line[6]), (2, line[6]), (2, line[6]), (None, line[6]), (None, None)], "doc_id bigint, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup(again).collect() if r["text"] is not None) == [(0, line[6]), (1, line[6]), (2, ""), (2, "")]
 
@@ -259,6 +262,7 @@ def test_line_dedup_with_repeats(spark):
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_line_dedup_equals_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(linededup, "LEAST_HOT", hot)
+    monkeypatch.setattr(linededup, "HELD_PAIRS", hot)
     short = [f"s{i} t{i}" for i in range(30)]
     long_ = [" ".join(f"l{i}w{k}" for k in range(6)) for i in range(12)]
     passage = "\n".join(short)
