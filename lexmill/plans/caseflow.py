@@ -357,14 +357,6 @@ def st14_last_month(t: World):
     return d.groupBy(F.coalesce("status", F.lit("NULL")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@case_query("""with p as (select md5(string_agg(id::varchar, '|' order by id::varchar)) as print, case_id, count(*) as n from docs group by 2) select case_id, n, print, (case_id % 5 = 0) as unchanged from p""")
-def st07_fingerprint_guard(t: World):
-    # notes are written again only where the fingerprint of a case's documents has changed
-    p = t.docs.groupBy("case_id").agg(F.count("*").alias("n"), F.md5(F.concat_ws("|", F.array_sort(F.collect_list(F.col("id").cast("string")))).cast("binary")).alias("print"))
-    old = p.where("case_id % 5 = 0").select("case_id", F.col("print").alias("old"))
-    return p.join(old, "case_id", "left").select("case_id", "n", "print", F.coalesce(F.col("print") == F.col("old"), F.lit(False)).alias("unchanged"))
-
-
 # --- search and privacy --------------------------------------------------------------------------------------------------
 
 
@@ -412,12 +404,6 @@ def x32_context_lines(t: World):
     return t.cases.where("state = 'ACTIVO'").select("id", F.concat(F.lit("id "), F.col("id").cast("string"), F.lit(": "), e("folder"), F.lit(" | "), e("state"), F.lit(" | "), e("ruling1")).alias("line"))
 
 
-@case_query("""select case_id, string_agg(left(coalesce(text, ''), 30), ' / ' order by id) as prompt from docs where verified = 'OK' group by 1""")
-def x31_prompt(t: World):
-    d = t.docs.where("verified = 'OK'").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("id", F.left(F.coalesce("text", F.lit("")), F.lit(30)).alias("head")))).alias("p"))
-    return d.select("case_id", F.array_join(F.transform("p", lambda x: x["head"]), " / ").alias("prompt"))
-
-
 @case_query("""with m as (select id, case_id, mail_id, case when id % 6 = 1 then 'move' end as what from docs), p as (select mail_id, min(case_id) + 1 as target from m where what = 'move' and mail_id is not null group by 1)
   select m.id, coalesce(case when m.mail_id is not null then p.target end, case when what = 'move' then case_id + 1 end, case_id) as case_id from m left join p on p.mail_id = m.mail_id""")
 def m10_move_package(t: World):

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions.jsonrepair import repair_json
 from lexmill.functions.patterns import CATALOGUE
-from lexmill.operators import extraction, privacy, redaction
+from lexmill.operators import casefile, extraction, privacy, redaction
+from lexmill.plans.catalogue import Tables, query
 from lexmill.plans.world import World, case_query
 from lexmill.sources import files
+from lexmill.streaming import state
 
 #: Names and numbers of the queries' own vaults; a user gives the secret as a parameter.
 SECRET = b"lexmill"
@@ -103,3 +106,79 @@ def r12_runs(t: World):
     left = F.aggregate(F.array(*(privacy.residues(F.regexp_replace("redacted", redaction.TOKEN, " "))[k] for k in ("email", "mobile"))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     per = hidden.groupBy("case_id").agg(F.sum("n_spans").alias("spans_detected"), F.coalesce(F.sum(left), F.lit(0)).alias("violations"))
     return per.join(vault.groupBy("case_id").agg(F.count_distinct("token").alias("tokens_minted")), "case_id", "left").na.fill(0, ["tokens_minted"])
+
+
+# --- the document model -------------------------------------------------------------------------------------------------------
+
+
+def _place(p: str) -> str:
+    return f"case when regexp_matches(x, '{p}') then length(regexp_extract(x, '(?s)^(.*?)(?:' || '{p}' || ')', 1)) + 1 end"
+
+
+_OPENED = ", ".join(f"struct_pack(s := coalesce({', '.join(map(_place, openings))}), z := '{z}')" for z, openings in casefile.ZONES.items())
+_MODEL = rf"""x as (select id, case_id, filename, coalesce(text, '') as x, {_PRIORITY} as priority from docs), h as (select *, length(x) as n, unnest([{_OPENED}]) as h from x),
+  z as (select id, h.z as zone, h.s as start, coalesce(lead(h.s) over (partition by id order by h.s, h.z), n + 1) - 1 as stop, x from h where h.s is not null)"""
+
+
+@case_query(f"with {_MODEL} select id, zone, start::int as start, stop::int as stop, md5(substr(x, start, stop - start + 1)) as digest from z")
+def x17_all_zones(t: World):
+    d = t.docs.select("id", "text", F.explode(casefile.zones(F.col("text"))).alias("z"))
+    return d.select("id", "z.zone", "z.start", F.col("z.end").alias("stop"), F.md5(F.substr("text", F.col("z.start"), F.col("z.end") - F.col("z.start") + 1).cast("binary")).alias("digest"))
+
+
+_KNOWN = ("court_id", "claimant", "city")
+
+
+@case_query(rf"""with {_MODEL},
+  l as (select id, string_agg('[' || zone || '] ' || substr(x, start, stop - start + 1), chr(10) order by start, zone) as lines from z group by 1),
+  b as (select id, row_number() over (partition by case_id order by priority, id) as k from x where x <> '' and priority <= 2 and id not in (select id from l)),
+  d as (select x.case_id, x.priority, x.id, chr(10) || '=== ' || filename || ' [' || right(filename, 3) || '] ===' || chr(10) || coalesce(lines, '[body] ' || left(x, 3000)) as said from x left join l using (id) left join b using (id) where lines is not null or k <= 2),
+  p as (select case_id, string_agg(said, chr(10) order by priority, id) as papers from d group by 1),
+  m as (select *, row_number() over (partition by case_id order by received desc, id) as k from mails where case_id is not null),
+  e as (select case_id, string_agg(chr(10) || '=== EMAIL: ' || left(coalesce(subject, ''), 60) || ' ===' || chr(10) || 'De: ' || coalesce(sender, '') || ' | Fecha: ' || strftime(received, '%Y-%m-%d') || case when coalesce(status, '') <> '' then chr(10) || left(status, 2000) else '' end, chr(10) order by k) as letters from m where k <= 5 group by 1),
+  f as (select id as case_id, 'CASO: ' || coalesce(folder, '') as head, array_to_string(list_filter([{', '.join(f"case when {c} <> '' then '  {c}: ' || {c} end" for c in _KNOWN)}], lambda y: y is not null), chr(10)) as fields from cases)
+  select case_id, md5(concat_ws(chr(10), head || case when fields <> '' then chr(10) || chr(10) || 'CAMPOS:' || chr(10) || fields else '' end, papers, letters)) as digest from f left join p using (case_id) left join e using (case_id)""")
+def x31_prompt(t: World):
+    model = casefile.documents(t.docs, F.expr(_PRIORITY), F.right("filename", F.lit(3)))
+    out = casefile.prompts(model, t.cases, t.mails.withColumn("body", F.col("status")), list(_KNOWN))
+    return out.select("case_id", F.md5(F.col("prompt").cast("binary")).alias("digest"))
+
+
+# --- guards and pauses, cut-off answers --------------------------------------------------------------------------------------------
+
+_PRINTS = """h as (select case_id, 1 as run, file_hash as h from docs union all select case_id, 2, file_hash from docs union all select case_id, 2, message_id from mails where case_id is not null and status = 'PROCESADO'),
+  p as (select case_id, run, md5(string_agg(h, '|' order by h)) as print from h group by 1, 2)"""
+
+
+@case_query(f"with {_PRINTS} select case_id, run, print, coalesce(print = lag(print) over (partition by case_id order by run), false) as unchanged from p")
+def st07_fingerprint_guard(t: World):
+    # two runs: before and after the mails came in; notes are kept where nothing new did
+    before = t.docs.select("case_id", F.lit(1).alias("run"), F.col("file_hash").alias("h"))
+    came = t.mails.where("case_id is not null and status = 'PROCESADO'").select("case_id", F.lit(2).alias("run"), F.col("message_id").alias("h"))
+    every = before.unionByName(before.withColumn("run", F.lit(2))).unionByName(came)
+    prints = every.groupBy("case_id", "run").agg(F.md5(F.array_join(F.array_sort(F.collect_list("h")), "|").cast("binary")).alias("print"))
+    return state.guarded_rows(prints, "case_id", "run", "print").select(F.col("key").alias("case_id"), F.col("seq").cast("int").alias("run"), "print", "unchanged")
+
+
+@case_query("""with r as (select provider, id, used, coalesce(error ilike '%429%' or error ilike '%rate%', false) as refused from usage),
+  l as (select *, max(case when refused then used end) over (partition by provider order by used, id rows between unbounded preceding and 1 preceding) as last from r)
+  select provider, id, coalesce(used - last < interval 60 second, false) as paused from l""")
+def st09_paused_calls(t: World):
+    return state.paused_rows(t.usage, "provider", "id", "used", F.col("error").ilike("%429%") | F.col("error").ilike("%rate%"))
+
+
+_CUT = """with j as (select o_orderkey, '{"lines":[' || string_agg('{"p":' || l_partkey || ',"q":' || l_quantity::bigint || '}', ',' order by l_linenumber, l_partkey, l_quantity::bigint || '}') || ']}' as j from orders join lineitem on l_orderkey = o_orderkey group by 1),
+  c as (select o_orderkey, left(j, (10 + o_orderkey % (length(j) - 9))::int) as c from j)"""
+
+
+@query(_CUT + r""" select o_orderkey, length(c) - length(replace(c, '{', '')) - 1 as lines, len(regexp_extract_all(c, '"p":(\d+),', 1)) as parts, coalesce(list_sum(list_transform(regexp_extract_all(c, '"q":(\d+)\}', 1), lambda x: x::bigint)), 0)::bigint as quantity from c""")
+def f42_nested(t: Tables):
+    # answers cut off at any place: lists of lines, of which the whole values come back
+    line = F.concat(F.lit('{"p":'), F.col("l_partkey").cast("string"), F.lit(',"q":'), F.col("l_quantity").cast("bigint").cast("string"), F.lit("}"))
+    d = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("x")))).alias("x")).join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    j = F.concat(F.lit('{"lines":['), F.array_join(F.transform("x", lambda x: x["x"]), ","), F.lit("]}"))
+    d = d.select("o_orderkey", j.alias("j")).select("o_orderkey", F.left("j", (10 + F.col("o_orderkey") % (F.length("j") - 9)).cast("int")).alias("c"))
+    lines = F.from_json(repair_json("c"), "lines array<struct<p:bigint,q:bigint>>")["lines"]
+    d = d.select("o_orderkey", lines.alias("l"))
+    q = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["q"], F.lit(0)))
+    return d.select("o_orderkey", F.size("l").cast("bigint").alias("lines"), F.size(F.filter("l", lambda x: x["p"].isNotNull())).cast("bigint").alias("parts"), q.alias("quantity"))
