@@ -379,19 +379,6 @@ def r02_known_values(t: World):
     return d.select("id", "value", F.concat(F.lit("[TEL_"), F.col("k").cast("string"), F.lit("]")).alias("token"), times.cast("double").alias("times"))
 
 
-@case_query(r"""with m as (select id, 'hola [P_1], de [P_' || (id % 3)::varchar || '] y [X_9]' as x, id % 4 as c from mails), v(c, token, value) as (values (0, '[P_1]', 'Ana'), (1, '[P_1]', 'Luz'), (0, '[P_2]', 'Gil'), (2, '[P_0]', 'Sol'))
-  select id, replace(replace(replace(x, '[P_0]', coalesce((select value from v where v.c = m.c and token = '[P_0]'), '[P_0]')), '[P_1]', coalesce((select value from v where v.c = m.c and token = '[P_1]'), '[P_1]')), '[P_2]', coalesce((select value from v where v.c = m.c and token = '[P_2]'), '[P_2]')) as text from m""")
-def r10_rehydrated(t: World):
-    vault = t.spark.createDataFrame([(0, "[P_1]", "Ana"), (1, "[P_1]", "Luz"), (0, "[P_2]", "Gil"), (2, "[P_0]", "Sol")], "c bigint, token string, value string")
-    text = F.concat(F.lit("hola [P_1], de [P_"), (F.col("id") % 3).cast("string"), F.lit("] y [X_9]"))
-    d = t.mails.select("id", (F.col("id") % 4).alias("c"), text.alias("x"))
-    # tokens meet the values of their own case only; unknown ones stay
-    parts = F.regexp_extract_all("x", F.lit(r"(\[[A-Z_]+_\d+\]|\[|[^\[]+)"), F.lit(1))
-    rows = d.select("id", "c", F.posexplode(parts).alias("at", "token")).join(F.broadcast(vault), ["c", "token"], "left")
-    back = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("value", "token").alias("v")))).alias("p"))
-    return back.select("id", F.array_join(F.transform("p", lambda x: x["v"]), "").alias("text"))
-
-
 @case_query("""select case_id, count(*) as spans, count(distinct token) as tokens, sum(n)::bigint as chars from (select case_id, token, length(token) as n from (select case_id, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]{7,}')) as token from docs)) group by 1""")
 def r12_privacy_stats(t: World):
     d = t.docs.select("case_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([0-9]{7,})"), F.lit(1))).alias("token"))
@@ -404,10 +391,11 @@ def x32_context_lines(t: World):
     return t.cases.where("state = 'ACTIVO'").select("id", F.concat(F.lit("id "), F.col("id").cast("string"), F.lit(": "), e("folder"), F.lit(" | "), e("state"), F.lit(" | "), e("ruling1")).alias("line"))
 
 
-@case_query("""with m as (select id, case_id, mail_id, case when id % 6 = 1 then 'move' end as what from docs), p as (select mail_id, min(case_id) + 1 as target from m where what = 'move' and mail_id is not null group by 1)
-  select m.id, coalesce(case when m.mail_id is not null then p.target end, case when what = 'move' then case_id + 1 end, case_id) as case_id from m left join p on p.mail_id = m.mail_id""")
+@case_query("""with m as (select d.id, d.case_id, d.mail_id, case when d.verified = 'NO_PERTENECE' and e.case_id <> d.case_id then e.case_id end as target from docs d left join mails e on e.id = d.mail_id),
+  p as (select mail_id, case_id, max(target) as target from m where target is not null group by 1, 2) select m.id, coalesce(p.target, m.case_id) as case_id, p.target is not null as moved from m left join p on p.mail_id = m.mail_id and p.case_id = m.case_id""")
 def m10_move_package(t: World):
-    # a document that moves takes along all documents of its mail
-    m = t.docs.select("id", "case_id", "mail_id", (F.col("id") % 6 == 1).alias("move"))
-    p = m.where("move and mail_id is not null").groupBy("mail_id").agg((F.min("case_id") + 1).alias("target"))
-    return m.join(p, "mail_id", "left").select("id", F.coalesce("target", F.when(F.col("move"), F.col("case_id") + 1), "case_id").alias("case_id"))
+    # a document that does not belong moves to the case of the mail that it came with, and takes along what else that mail brought to its case
+    to = t.mails.select(F.col("id").alias("mail_id"), F.col("case_id").alias("to"))
+    m = t.docs.select("id", "case_id", "mail_id", "verified")
+    wrong = m.where("verified = 'NO_PERTENECE'").join(to, "mail_id").where("to <> case_id").groupBy("mail_id", "case_id").agg(F.max("to").alias("target"))
+    return m.join(wrong, ["mail_id", "case_id"], "left").select("id", F.coalesce("target", "case_id").alias("case_id"), F.col("target").isNotNull().alias("moved"))

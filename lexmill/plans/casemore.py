@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import classes, extract
 from lexmill.functions.cases import spaced_id
-from lexmill.functions.compat import digits, filled_sql, normal_name, parse_dmy, strip_accents
-from lexmill.operators import matching, relational
+from lexmill.functions.compat import digits, filled_sql, filled_trim, normal_name, parse_dmy, strip_accents
+from lexmill.functions.patterns import CATALOGUE
+from lexmill.operators import extraction, matching, relational
 from lexmill.plans.casejoins import LONG, YEAR_SEQ, d08_fragments, w04_canonical_document
 from lexmill.plans.casework import DATE, DIGITS, DOC_CLASS, NAME
 from lexmill.plans.world import World, case_query
@@ -26,13 +27,24 @@ def o07_samples(t: World):
     return matching.lowest(t.cases.select(F.coalesce("status", F.lit("")).alias("status"), "id"), "status", 3)
 
 
-@case_query("""with a as (select case_id, unnest(['court_id', 'claimant'][1:1 + (part % 2)::int]) as field from docs), b as (select case_id, unnest(['claimant', 'court'][1:1 + (part % 3 > 0)::int]) as field from docs)
-  select coalesce(a.case_id, b.case_id) as case_id, coalesce(a.field, b.field) as field, a.field is not null as by_pattern, b.field is not null as by_model from (select distinct * from a) a full join (select distinct * from b) b on a.case_id = b.case_id and a.field = b.field""")
+_NAMED = {"court_id": "radicado_23_continuous", "filing": "forest_specific", "claimant": "accionante_explicit", "city": "personero_municipio", "lawyer": "abogado_footer"}
+_REGEX = {p.name: p.regex for p in CATALOGUE}
+_IN_TEXTS = " union ".join(f"select case_id, '{f}' as field from docs where regexp_matches(text, '{_REGEX[n]}')" for f, n in _NAMED.items())
+_IN_MAILS = " union ".join(f"select case_id, '{f}' as field from mails where case_id is not null and regexp_matches(subject, '{_REGEX[n]}')" for f, n in _NAMED.items())
+_IN_ROWS = " union ".join(f"select id as case_id, '{f}' as field from cases where trim(coalesce({f}, '')) <> ''" for f in _NAMED)
+
+
+@case_query(f"""with a as ({_IN_TEXTS}), b as ({_IN_MAILS}), c as ({_IN_ROWS}), k as (select * from a union select * from b union select * from c)
+  select case_id, field, exists (select 1 from a where a.case_id = k.case_id and a.field = k.field) as in_texts, exists (select 1 from b where b.case_id = k.case_id and b.field = k.field) as in_mails, exists (select 1 from c where c.case_id = k.case_id and c.field = k.field) as in_rows from k""")
 def u05_field_names(t: World):
-    names = lambda x, y, more: F.explode(F.slice(F.array(F.lit(x), F.lit(y)), F.lit(1), F.lit(1) + more.cast("int"))).alias("field")
-    a = t.docs.select("case_id", names("court_id", "claimant", F.col("part") % 2)).distinct().withColumn("p", F.lit(True))
-    b = t.docs.select("case_id", names("claimant", "court", F.col("part") % 3 > 0)).distinct().withColumn("m", F.lit(True))
-    return a.join(b, ["case_id", "field"], "full").select("case_id", "field", F.col("p").isNotNull().alias("by_pattern"), F.col("m").isNotNull().alias("by_model"))
+    # the union of the fields that texts, mails and the case's own row give, and which of them do
+    names = tuple(_NAMED.values())
+    texts = extraction.found_values(t.docs, "id", "text", names).select("id", "field").distinct().join(t.docs.select("id", "case_id"), "id").select("case_id", "field", F.lit(0).alias("source"))
+    mails = extraction.found_values(t.mails, "id", "subject", names).select("id", "field").distinct().join(t.mails.where("case_id is not null").select("id", "case_id"), "id").select("case_id", "field", F.lit(1).alias("source"))
+    filled = F.filter(F.array(*(F.when(filled_trim(F.col(f)), F.lit(f)) for f in _NAMED)), lambda x: x.isNotNull())
+    rows = t.cases.select(F.col("id").alias("case_id"), F.explode(filled).alias("field"), F.lit(2).alias("source"))
+    from_ = lambda n, name: F.bool_or(F.col("source") == n).alias(name)
+    return texts.unionByName(mails).unionByName(rows).groupBy("case_id", "field").agg(from_(0, "in_texts"), from_(1, "in_mails"), from_(2, "in_rows"))
 
 
 @case_query(r"""with n as (select case_id, count(*) as docs from docs group by 1), k as (select id, coalesce(folder, '') as f, coalesce(docs, 0) as docs from cases left join n on case_id = id)
@@ -175,9 +187,11 @@ def m28_repair_claimants(t: World):
     return t.cases.select("id", F.when(poor, folder).otherwise(F.col("claimant")).alias("claimant"))
 
 
-@case_query(r"""with r as (select id, upper(trim(coalesce(ruling1, ''))) as r, coalesce(court_id, '') as c, 'Se admite. The case of radicado 2024-00099 is closed. Fin.' as n from cases)
+@case_query(r"""with r as (select id, upper(trim(coalesce(ruling1, ''))) as r, coalesce(court_id, '') as c, trim(coalesce(notes, '')) as n, coalesce(folder, '') as f,
+    coalesce(nullif(regexp_extract(coalesce(folder, ''), '(20\d\d-\d{3,5})', 1), ''), '-') as named, substr(coalesce(court_id, ''), 13, 4) || '-' || substr(coalesce(court_id, ''), 17, 5) as own from cases)
   select id, case when r = '' then null when contains(r, 'PARCIAL') then 'CONCEDE PARCIALMENTE' when starts_with(r, 'CONCEDE') or starts_with(r, 'TUTELA') or starts_with(r, 'AMPARA') then 'CONCEDE' when starts_with(r, 'NIEGA') or starts_with(r, 'DENIEGA') then 'NIEGA' when contains(r, 'IMPROCEDENTE') then 'IMPROCEDENTE' else 'OTRO' end as ruling,
-    regexp_replace(c, '^(\d\d)(\d{3})(\d\d)(\d\d)(\d{3})(\d{4})(\d{5})(\d\d)$', '\1-\2-\3-\4-\5-\6-\7-\8') as court_id, 'Se admite. Fin.' as notes from r""")
+    regexp_replace(c, '^(\d\d)(\d{3})(\d\d)(\d\d)(\d{3})(\d{4})(\d{5})(\d\d)$', '\1-\2-\3-\4-\5-\6-\7-\8') as court_id,
+    concat_ws(' ', case when n <> '' then n || '.' end, case when named = '-' or named = own then 'Ver ' || f || '.' end, 'Fin.') as notes from r""")
 def f35_validated(t: World):
     r = F.upper(F.btrim(F.coalesce("ruling1", F.lit(""))))
     ruling = (
@@ -185,9 +199,12 @@ def f35_validated(t: World):
         .when(F.regexp_like(r, F.lit("^(NIEGA|DENIEGA)")), "NIEGA").when(F.contains(r, F.lit("IMPROCEDENTE")), "IMPROCEDENTE").otherwise("OTRO")
     )
     # sentences of the notes that name another year and sequence go
-    notes = F.lit("Se admite. The case of radicado 2024-00099 is closed. Fin.")
-    foreign = lambda x: F.regexp_like(x, F.lit(r"20\d{2}-\d{3,5}"))
-    kept = F.array_join(F.filter(F.split(notes, r"(?<=[.!])\s+"), lambda x: ~foreign(x)), " ")
+    c = F.coalesce("court_id", F.lit(""))
+    own = F.concat(F.substring(c, 13, 4), F.lit("-"), F.substring(c, 17, 5))
+    said = F.btrim(F.coalesce("notes", F.lit("")))
+    sentences = (F.when(said != "", F.concat(said, F.lit("."))), F.concat(F.lit("Ver "), F.coalesce("folder", F.lit("")), F.lit(".")), F.lit("Fin."))
+    foreign = lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"(20\d{2}-\d{3,5})"), F.lit(1)), lambda y: y != own)
+    kept = F.concat_ws(" ", *(F.when(~foreign(x), x) for x in sentences))
     return t.cases.select("id", ruling.alias("ruling"), spaced_id(F.coalesce("court_id", F.lit(""))).alias("court_id"), kept.alias("notes"))
 
 
@@ -345,22 +362,18 @@ def f02_plain_upper(t: World):
     return t.cases.select("id", F.upper(strip_accents(F.coalesce("claimant", F.lit("")))).alias("plain"))
 
 
-HEAD = "coalesce(court, 'sin despacho') || ' de Bucaramanga REF tutela ' || id || chr(10) || 'texto'"
-
-
-@case_query(rf"""with h as (select id, {HEAD} as x from cases), c as (select id, regexp_extract(x, '(?i)((?:JUZGADO|TRIBUNAL)[^\n]{{3,120}})', 1) as c from h)
-  select id, nullif(trim(regexp_replace(c, '\s+(?:REF|RADICADO|ACCIONANTE|SEÑOR)\b.*$', '', 'i'), ' ,.-'), '') as court from c""")
+@case_query(r"""with c as (select id, regexp_extract(left(coalesce(text, ''), 3000), '(?i)((?:JUZGADO|TRIBUNAL)[^\n]{3,120})', 1) as c from docs),
+  d as (select id, nullif(trim(regexp_replace(c, '\s+(?:REF|RADICADO|ACCIONANTE|SEÑOR)\b.*$', '', 'i'), ' ,.-'), '') as court from c) select * from d where court is not null""")
 def x07_court(t: World):
-    head = F.concat(F.coalesce("court", F.lit("sin despacho")), F.lit(" de Bucaramanga REF tutela "), F.col("id").cast("string"), F.lit("\ntexto"))
-    return t.cases.select("id", extract.court_name(head).alias("court"))
+    return t.docs.select("id", extract.court_name(F.col("text")).alias("court")).where("court is not null")
 
 
-@case_query(r"""with m as (select id, user_ from (select id, case id % 3 when 0 then 'Tutela accionante: Ana Rojas contra EPS' else subject end as user_ from mails) y)
-  select id, case when id % 3 = 0 then 'Ana Rojas' when id % 3 = 1 then 'Luis Gil' end as claimant from m""")
+@case_query(r"""with d as (select id, nullif(trim(regexp_replace(regexp_extract(coalesce(text, ''), '(?i)accionante:?\s+([\p{L} ]{5,60})', 1), '\s+(?:CONTRA|VS|ACCIONAD[OA]S?|RAD|RADICADO)\b.*$', '', 'i')), '') as claimant from docs)
+  select * from d where claimant is not null""")
 def x12_claimant_from_mail(t: World):
-    subject = F.when(F.col("id") % 3 == 0, "Tutela accionante: Ana Rojas contra EPS").otherwise(F.col("subject"))
-    body = F.when(F.col("id") % 3 == 1, "hola\n-----\nDe: x\nAccionante Luis Gil vs Alcaldía\n").otherwise("hola")
-    return t.mails.select("id", extract.claimant_in_mail(subject, classes.forwarded_blocks(body)).alias("claimant"))
+    # a document that came with a mail stands for the mail: its name the subject, its text the body
+    d = t.docs.select("id", extract.claimant_in_mail(F.col("filename"), classes.forwarded_blocks(F.coalesce("text", F.lit("")))).alias("claimant"))
+    return d.where("claimant is not null")
 
 
 @case_query(f"""with d as (select d.case_id, d.id, c.lawyer, case {DOC_CLASS} when 'DOCX_RESPUESTA' then 1 when 'DOCX_IMPUGNACION' then 2 when 'DOCX_CUMPLIMIENTO' then 3 else 9 end as rank from docs d join cases c on c.id = d.case_id where ends_with(lower(filename), '.docx') and coalesce(c.lawyer, '') <> ''),

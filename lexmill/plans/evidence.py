@@ -97,6 +97,27 @@ def r10_restored(t: World):
     return redaction.restored(hidden, "case_id", "redacted", vault).select("id", "case_id", F.md5(F.col("redacted").cast("binary")).alias("digest"))
 
 
+@case_query()
+def r08_redacted(t: World):
+    # the tokens as a reader sees them: several values may share one
+    spans = spans_of(t, redaction.SELECTIVE)
+    vault = redaction.minted(spans, "id", "case_id", SECRET)
+    out = redaction.redacted(t.docs, "id", "case_id", "text", spans, vault, SECRET)
+    return out.select("id", "case_id", "n_spans", F.md5(F.col("redacted").cast("binary")).alias("digest"))
+
+
+@case_query("select id, case_id, md5(text) as digest from docs where text is not null")
+def r10_rehydrated(t: World):
+    # an answer in JSON, with what was redacted at some depth, gets its values back
+    spans = spans_of(t, redaction.SELECTIVE)
+    vault = redaction.minted(spans, "id", "case_id", SECRET, counted=True)
+    hidden = redaction.redacted(t.docs.where("text is not null"), "id", "case_id", "text", spans, vault, SECRET)
+    answer = hidden.select("id", "case_id", F.to_json(F.struct(F.array(F.struct(F.col("redacted").alias("said"))).alias("parts"))).alias("answer"))
+    back = redaction.restored(answer, "case_id", "answer", vault, as_json=True)
+    said = F.get(F.from_json("answer", "parts array<struct<said:string>>")["parts"], F.lit(0))["said"]
+    return back.select("id", "case_id", F.md5(said.cast("binary")).alias("digest"))
+
+
 @case_query()
 def r12_runs(t: World):
     # a row a case: what was found, minted and left

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.cases import array_fingerprint, final_ruling
 from lexmill.functions.compat import normal_name, title_case
-from lexmill.operators import privacy, search, vectors
+from lexmill.operators import privacy, redaction, search, vectors
 from lexmill.plans.catalogue import Tables, query
 
 
@@ -95,16 +95,8 @@ def n04_index(t: Tables):
 
 @query()
 def r01_spans(t: Tables):
-    d = t.documents.select("doc_id", F.explode(privacy.spans("text")).alias("s"))
-    return d.select("doc_id", "s.*")
-
-
-@query()
-def r08_redacted(t: Tables):
-    d = t.documents
-    mapping = privacy.vault(d, "source", "doc_id", "text")
-    out = privacy.redact(d, "source", "doc_id", "text", mapping)
-    return out.select("doc_id", "source", F.md5(F.col("redacted").cast("binary")).alias("digest"), privacy.gate(F.col("redacted")).alias("g")).select("doc_id", "source", "digest", "g.*")
+    # all kinds, vetoes and overlaps settled, on whole texts
+    return redaction.detected(t.documents, "doc_id", "source", "text")
 
 
 @query("""select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) as email from documents where len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) > 0""")
