@@ -203,7 +203,7 @@ def f35_validated(t: World):
     own = F.concat(F.substring(c, 13, 4), F.lit("-"), F.substring(c, 17, 5))
     said = F.btrim(F.coalesce("notes", F.lit("")))
     sentences = (F.when(said != "", F.concat(said, F.lit("."))), F.concat(F.lit("Ver "), F.coalesce("folder", F.lit("")), F.lit(".")), F.lit("Fin."))
-    foreign = lambda x: F.exists(F.regexp_extract_all(x, F.lit(r"(20\d{2}-\d{3,5})"), F.lit(1)), lambda y: y != own)
+    foreign = lambda x: F.regexp_like(F.when(F.length(own) == 10, F.replace(x, own, F.lit(""))).otherwise(x), F.lit(r"20\d{2}-\d{3,5}"))
     kept = F.concat_ws(" ", *(F.when(~foreign(x), x) for x in sentences))
     return t.cases.select("id", ruling.alias("ruling"), spaced_id(F.coalesce("court_id", F.lit(""))).alias("court_id"), kept.alias("notes"))
 
