@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import small_batches, staged
@@ -32,6 +32,8 @@ BATCH_CHARS, PACK_CHARS, SHARD_ROWS = 16 << 20, 64 << 20, 4096
 BROADCAST_IDS = 1_000_000
 #: Rows of languages up to this number are broadcast (a few numbers for each order); more are joined by a shuffle.
 MAX_LANGS = 10_000
+#: Ranges to a unit of the logarithm, in which values are counted before the one of a rank is looked for.
+QUANTILE_STEPS = 1000
 BEGIN, END = "\x02", "\x03"
 #: Characters whose n-grams are taken apart at once; what a longer text has beyond is a further piece.
 PIECE = 1 << 20
@@ -304,14 +306,15 @@ def log_probabilities(grams: DataFrame, model: Model) -> DataFrame:
 def score(rows: DataFrame, model: Model) -> DataFrame:
     """(key, held, lang, n_symbols, logp) of every row of (key, held, lang, text): predicted characters and end marks, and the sum of their ln p.
 
-    A text's batch depends on its key alone, and a batch's n-grams on its texts, so what a lost executor computes anew is the same.
+    A text's batch depends on its key and itself alone, and a batch's n-grams on its texts, so what a lost executor computes anew is the same.
     """
     order = model.order
     spark = rows.sparkSession
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
     sizes = staged(sizes.select("lang", "n", F.greatest(F.lit(1), F.ceil(F.col("chars") / BATCH_CHARS)).cast("bigint").alias("buckets")), "batches")
     shards = min(1 << 16, max(32, (sizes.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS))
-    bucket = F.pmod(F.xxhash64("key"), F.col("buckets"))
+    # the text too: rows without a key, or with one key, are dealt out as well
+    bucket = F.pmod(F.xxhash64("key", "text"), F.col("buckets"))
     d = rows.join(_small(sizes.select(F.col("lang").alias("of"), "buckets")), F.col("lang").eqNullSafe(F.col("of"))).withColumn("batch", F.xxhash64("lang", bucket))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # both the n-grams and the scores of a batch are made of this one exchange
@@ -377,6 +380,21 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "key bigint, held boolean, lang string, n_symbols bigint, logp double")
 
 
+def quantiles(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """(group, quantile): the value of rank ceil(q * n) of each group's n values above 0, exactly, the same in every run.
+
+    Counts of narrow ranges of the logarithm tell in which range the rank lies; only the values of that range are then put in order.
+    """
+    d = df.select(F.col(group).alias("g"), F.col(value).alias("v"), F.floor(F.ln(value) * QUANTILE_STEPS).cast("bigint").alias("range"))
+    counts = d.groupBy("g", "range").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.select("g", "range", "n", upto.alias("upto"), F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy("g")) * F.lit(q))).alias("rank"))
+    at = counts.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(F.col("g").alias("h"), "range", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    inside = d.join(_small(at), (F.col("g").eqNullSafe(F.col("h"))) & (d["range"] == at["range"])).select("g", "v", "rank")
+    placed = inside.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    return placed.where(F.col("place") == F.col("rank")).select(F.col("g").alias(group), F.col("v").alias("quantile"))
+
+
 def classify(
     df: DataFrame,
     trusted: DataFrame,
@@ -406,8 +424,7 @@ def classify(
     ppl = F.when((F.col("n_symbols") > 0) & ~F.isnan("logp"), F.exp(-F.col("logp") / F.col("n_symbols")))
     scored = staged(score(rows, model).withColumn("perplexity", ppl), "scores")
     trial = scored.where("held and perplexity is not null").join(by_size, "key", "left_semi")
-    limits = trial.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("threshold"))
-    limits = limits.select(F.col("lang").alias("l"), "threshold")
+    limits = quantiles(trial, "lang", "perplexity", quantile).select(F.col("lang").alias("l"), (F.col("quantile") * slack).alias("threshold"))
     out = scored.join(_small(limits), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
     kept = (F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select(F.col("key").alias(key), "lang", "n_symbols", "perplexity", "threshold", kept.alias("kept"))

@@ -368,6 +368,17 @@ def test_classifier_rejects_junk(spark):
     assert not out[2000]["kept"] and not out[2001]["kept"] and out[2002]["kept"]
 
 
+def test_quantiles_are_values_of_a_rank(spark):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([1.0, 2.0, rng.random() * 50 + 1e-9])) for g in ("a", "b", None) for _ in range(997)] + [("one", 3.0)]
+    for q in (0.0, 0.5, 0.995, 1.0):
+        got = {r["g"]: r["quantile"] for r in classifier.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", q).collect()}
+        for g in ("a", "b", None, "one"):
+            own = sorted(v for h, v in rows if h == g)
+            assert got[g] == own[max(1, int(np.ceil(q * len(own)))) - 1]
+    assert classifier.quantiles(spark.createDataFrame([], "g string, v double"), "g", "v", 0.5).count() == 0
+
+
 def test_classifier_thresholds_are_the_stated_ones(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 60))), "es") for i in range(200)]
