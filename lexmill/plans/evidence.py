@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.jsonrepair import repair_json
 from lexmill.functions.patterns import CATALOGUE
-from lexmill.operators import casefile, extraction, privacy, redaction
+from lexmill.operators import actors, casefile, extraction, privacy, redaction
 from lexmill.plans.catalogue import Tables, query
 from lexmill.plans.world import World, case_query
 from lexmill.sources import files
@@ -203,3 +203,18 @@ def f42_nested(t: Tables):
     d = d.select("o_orderkey", lines.alias("l"))
     q = F.aggregate("l", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["q"], F.lit(0)))
     return d.select("o_orderkey", F.size("l").cast("bigint").alias("lines"), F.size(F.filter("l", lambda x: x["p"].isNotNull())).cast("bigint").alias("parts"), q.alias("quantity"))
+
+
+# --- actors ------------------------------------------------------------------------------------------------------------------------
+
+_ROLES = " union all ".join(f"select '{r}' as role, count(*) as documents from docs where " + " or ".join(f"regexp_matches(text, '{p}')" for p, _, _ in rules) for r, rules in actors.GRAMMAR.items())
+
+
+@case_query(f"select * from ({_ROLES}) where documents > 0")
+def x18_roles(t: World):
+    return actors.actors(t.docs, "id", "text").groupBy("role").agg(F.count_distinct("id").alias("documents"))
+
+
+@case_query()
+def x18_actors(t: World):
+    return actors.actors_of_cases(actors.actors(t.docs, "id", "text"), t.docs, "id", "case_id")
