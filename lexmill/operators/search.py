@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.compat import strip_accents
+from lexmill.functions.compat import ACCENTED, PLAIN, strip_accents
+from lexmill.sources.files import staged
 
 #: Fixed values of the ranking.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Different terms that a task counts before it hands its counts on.
+HELD_TERMS = 1 << 18
+# the same folding and the same runs as ``terms``
+_FOLD, _TERMS = str.maketrans(ACCENTED, PLAIN), re.compile(r"[^\W_]+")
 
 
 def terms(text: Column) -> Column:
@@ -22,6 +32,32 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return d.select(key, F.size("t").alias("size"), F.explode("t").alias("term")).groupBy("term", key, "size").agg(F.count("*").alias("tf"))
 
 
+def term_totals(df: DataFrame, text: str) -> DataFrame:
+    """(term, tf, df) over all rows. A task counts the terms of its rows as they come, so what is shuffled is a row a term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tf: Counter[str] = Counter()
+        rows: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            found = list(tf)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([tf[t] for t in found], pa.int64()), pa.array([rows[t] for t in found], pa.int64())], ["term", "tf", "df"])
+
+        for batch in batches:
+            for own in batch.column(0).to_pylist():
+                found = _TERMS.findall((own or "").translate(_FOLD).lower())
+                tf.update(found)
+                rows.update(set(found))
+            if len(tf) >= HELD_TERMS:
+                yield counted()
+                tf.clear()
+                rows.clear()
+        yield counted()
+
+    found = df.select(F.col(text).cast("string")).mapInArrow(run, "term string, tf bigint, df bigint")
+    return found.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def _times(text: Column, word: str) -> Column:
     """How often a term stands in a folded text."""
     return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])"))
@@ -34,7 +70,8 @@ def bm25(df: DataFrame, key: str, text: str, query: list[str], every: bool = Tru
     """
     words = sorted(set(query))
     d = df.select(key, F.lower(strip_accents(F.coalesce(text, F.lit("")))).alias("t"))
-    d = d.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("size"), *(_times(F.col("t"), w).alias(f"f{i}") for i, w in enumerate(words)))
+    # the counts are a few numbers a row; kept, so that texts are read once for them and for the totals
+    d = staged(d.select(key, F.regexp_count("t", F.lit(r"[\p{L}\p{N}]+")).alias("size"), *(_times(F.col("t"), w).alias(f"f{i}") for i, w in enumerate(words))), "counts")
     about = d.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(words))))
     d = d.join(F.broadcast(about))  # one row
     total = F.lit(0.0)

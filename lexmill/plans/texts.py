@@ -90,7 +90,7 @@ def n01_search(t: Tables):
 @query(r"""with w as (select doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) as term from documents)
   select term, count(*) as tf, count(distinct doc_id) as df from w group by 1""")
 def n04_index(t: Tables):
-    return search.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return search.term_totals(t.documents, "text")
 
 
 @query()
