@@ -111,8 +111,8 @@ class Index:
 
     def __init__(self, vectors: DataFrame):
         self.model = fit(vectors)
-        listed = staged(_listed(vectors, self.model), "lists")
-        about = listed.groupBy("width", "list").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+        self.listed = staged(_listed(vectors, self.model), "lists")
+        about = self.listed.groupBy("width", "list").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
         fitted = about.where(F.col("width").isin(*self.model)).collect() if self.model else []  # FITTED_WIDTHS * MAX_LISTS rows at most
         self.radii = {w: np.full(len(c), -1.0) for w, c in self.model.items()}  # an empty list keeps -1 and is never visited
         for r in fitted:
@@ -122,7 +122,7 @@ class Index:
         self.sizes = staged(about.select("width", "list", F.ceil(F.col("n") / per_block).cast("int").alias("blocks")), "sizes")
         self.bounded = self.sizes.count() <= FITTED_WIDTHS * MAX_LISTS
         # a list that holds a large share of all vectors is dealt into blocks of bounded size
-        self.rows = listed.join(self.by_list(self.sizes), ["width", "list"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int")).drop("blocks", "away")
+        self.rows = self.listed.join(self.by_list(self.sizes), ["width", "list"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks").cast("int")).drop("blocks", "away")
 
     def by_list(self, table: DataFrame) -> DataFrame:
         """``table``, which has a row a list at most: broadcast, unless there are more than the lists of the fitted widths can be."""
@@ -259,14 +259,15 @@ def mine(
     index = Index(vectors)
     first = vectors.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min(F.struct("label", "width", "v")).alias("x")).select("id", "x.*")
     target = lambda t, base, lo, hi: F.struct(t.cast("bigint").alias("target"), base.cast("bigint").alias("base"), lo.cast("bigint").alias("low"), hi.cast("bigint").alias("high"), lo.cast("bigint").alias("least"))
-    asked = staged(first.withColumn("targets", F.array(target(F.lit(0), F.lit(0), F.lit(_LOW), F.lit(_HIGH)))), "anchors")
-    near = search(asked, index, positives, True)
+    anchors = staged(first.withColumn("targets", F.array(target(F.lit(0), F.lit(0), F.lit(_LOW), F.lit(_HIGH)))), "anchors")
+    near = search(anchors, index, positives, True)
     # 100 * negative within [low * p, high * p], in whole numbers
     p = F.col("score").cast("decimal(38,0)")
     lowest, highest = F.ceil(p * low / 100), F.floor(p * high / 100)
     windows = near.select("id", target(F.col("other"), F.col("score"), lowest, highest).alias("t")).where("t.low <= t.high").groupBy("id").agg(F.collect_set("t").alias("targets"))
-    asked = staged(asked.drop("targets").join(windows, "id"), "anchors")
+    asked = staged(anchors.drop("targets").join(windows, "id"), "anchors")
     found = search(asked, index, negatives, False)
+    drop_staged(vectors, index.listed, index.sizes, anchors, near, asked)
     return found.select(
         F.col("id").alias("anchor_id"), F.col("target").alias("positive_id"), F.col("rank").cast("int").alias("rank"), F.col("other").alias("negative_id"), F.col("base").alias("positive_score"), F.col("score").alias("negative_score")
     )

@@ -291,6 +291,7 @@ def rank(index: Index, items: DataFrame, k: int = 10, key: str = "item_id", text
         old, found = found, staged(hits.where("score > 0").withColumn("rank", best).where(F.col("rank") <= k), "hits")
         drop_staged(visits, blocks, *([old] if old is not None else []))
         start, end = end, end * FACTOR
+    drop_staged(wanted, asked, tops)
     return found if found is not None else spark.createDataFrame([], "item bigint, id bigint, score bigint, rank int")
 
 
@@ -304,5 +305,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "doc_id",
     """
     wanted = staged(item_terms(items, item_key, text_col).select("term").distinct(), "vocabulary")
     vocabulary = frozenset(bytes(r["term"]) for r in wanted.collect()) if wanted.count() <= MAX_VOCABULARY else None
-    found = rank(Index(docs, text_col, key, vocabulary), items, k, item_key, text_col)
+    index = Index(docs, text_col, key, vocabulary)
+    found = rank(index, items, k, item_key, text_col)
+    drop_staged(index.postings, wanted)
     return found.select(F.col("item").alias(item_key), F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
