@@ -12,6 +12,7 @@ from lexmill.functions.patterns import CATALOGUE
 from lexmill.operators import extraction, matching, relational
 from lexmill.plans.casejoins import LONG, YEAR_SEQ, d08_fragments, w04_canonical_document
 from lexmill.plans.casework import DATE, DIGITS, DOC_CLASS, NAME
+from lexmill.plans.catalogue import ORACLES
 from lexmill.plans.world import World, case_query
 
 
@@ -139,13 +140,16 @@ def j35_relocations(t: World):
     return j.select(F.col("doc").alias("id"), F.coalesce("a", "b").alias("target"), F.when(F.col("a").isNotNull(), 0.95).otherwise(0.9).alias("confidence"))
 
 
-@case_query()
+@case_query(f"""with t as (select id as case_id, parent from ({ORACLES['d08_fragments']}) where parent is not null and confidence = 'ALTA')
+  select docs.id, coalesce(parent, docs.case_id) as case_id, parent is not null as moved from docs left join t on t.case_id = docs.case_id""")
 def m08_merge_fragments(t: World):
     to = d08_fragments(t).where("parent is not null and confidence = 'ALTA'").select(F.col("id").alias("case_id"), "parent")
     return t.docs.select("id", "case_id").join(to, "case_id", "left").select("id", F.coalesce("parent", "case_id").alias("case_id"), F.col("parent").isNotNull().alias("moved"))
 
 
-@case_query()
+@case_query(f"""with s as (select id, min(case_id) as own from ({ORACLES['j23_suggest']}) where tier = 'ALTA' group by 1),
+  d as (select docs.id, case_id, mail_id, own from docs left join s on s.id = docs.id and verified = 'NO_PERTENECE'), p as (select mail_id, min(own) as together from d where own is not null and mail_id is not null group by 1)
+  select d.id, coalesce(own, together, case_id) as case_id, coalesce(own, together) is not null as moved from d left join p on p.mail_id = d.mail_id""")
 def m09_move_misfiled(t: World):
     # documents that surely belong elsewhere move, and those of the same mail with them
     sure = matching.suggest_cases(t.docs.where("verified = 'NO_PERTENECE'"), t.cases).where("tier = 'ALTA'").groupBy("id").agg(F.min("case_id").alias("own"))
