@@ -47,3 +47,24 @@ def best_fields(found: DataFrame, documents: DataFrame, key: str, case: str, pri
     d = found.where(_valid(F.col("field"), F.col("value"))).join(own, key)
     best = F.min_by(F.struct("value", "confidence", "pattern", key), F.struct("priority", order, key, "start"))
     return d.groupBy(case, "field").agg(best.alias("b")).select(case, "field", "b.value", "b.confidence", "b.pattern", f"b.{key}")
+
+
+def compared_versions(found: DataFrame, documents: DataFrame, rows: DataFrame, key: str, case: str, priority: Column, versions: dict[str, tuple[str, ...]], fields: dict[str, Column]) -> DataFrame:
+    """(version, field, match, mismatch, row_only, found_only): what each version, a set of patterns, would give the cases, against what their rows hold.
+
+    ``rows`` has ``case`` and the columns that ``fields`` are made of; values are compared by their digits if they have any, else as they
+    are. Texts are scanned once, whatever the number of versions: ``found`` has the matches of all patterns, and each version takes its own.
+    """
+    of = F.explode(F.filter(F.array(*(F.when(F.col("pattern").isin(*names), F.lit(v)) for v, names in versions.items())), lambda x: x.isNotNull()))
+    order = F.lit(len(CATALOGUE))
+    for i, p in enumerate(CATALOGUE):
+        order = F.when(F.col("pattern") == p.name, i).otherwise(order)
+    d = found.where(F.col("field").isin(*fields) & _valid(F.col("field"), F.col("value"))).select("*", of.alias("version")).join(documents.select(key, case, priority.alias("priority")), key)
+    best = d.groupBy("version", case, "field").agg(F.min_by("value", F.struct("priority", order, key, "start")).alias("got"))
+    every = F.explode(F.array(*(F.struct(F.lit(v).alias("version"), F.lit(f).alias("field"), c.alias("held")) for v in versions for f, c in fields.items())))
+    held = rows.select(case, every.alias("x")).select(case, "x.*")
+    plain = lambda c: F.nullif(F.coalesce(F.nullif(digits(F.col(c)), F.lit("")), F.upper(F.btrim(c))), F.lit(""))
+    both = held.join(best, ["version", case, "field"], "left").select("version", "field", plain("held").alias("h"), plain("got").alias("g"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    there, here = F.col("h").isNotNull(), F.col("g").isNotNull()
+    return both.groupBy("version", "field").agg(n(there & here & (F.col("h") == F.col("g")), "match"), n(there & here & (F.col("h") != F.col("g")), "mismatch"), n(there & ~here, "row_only"), n(~there & here, "found_only"))

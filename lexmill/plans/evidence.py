@@ -218,3 +218,30 @@ def x18_roles(t: World):
 @case_query()
 def x18_actors(t: World):
     return actors.actors_of_cases(actors.actors(t.docs, "id", "text"), t.docs, "id", "case_id")
+
+
+# --- versions of the catalogue ------------------------------------------------------------------------------------------------------
+
+VERSIONS = {"first": ("radicado_23_continuous", "forest_specific"), "second": ("radicado_23_continuous", "radicado_23_separators", "forest_specific"), "current": ("radicado_23_continuous", "radicado_23_separators", "forest_specific", "forest_keyword")}
+_TRIED = [(i, p) for i, p in enumerate(CATALOGUE) if p.name in VERSIONS["current"]]
+_VERSION_ROWS = " union all ".join(
+    f"select '{v}' as version, case_id, '{p.field}' as field, regexp_replace(regexp_extract(text, '{_sql(p.regex)}', 1), '\\D', '', 'g') as got, id, priority, {i} as o from d where regexp_matches(text, '{_sql(p.regex)}')"
+    for v, names in VERSIONS.items()
+    for i, p in _TRIED
+    if p.name in names
+)
+
+
+@case_query(
+    rf"""with d as (select id, case_id, coalesce(text, '') as text, {_PRIORITY} as priority from docs), a as ({_VERSION_ROWS}),
+  v as (select * from a where case field when 'court_id' then len(got) >= 20 else length(got) >= 7 and got not in ('3634740', '6076337000', '6076336100', '6076336000') and not starts_with(got, '68') and length(replace(got, got[1], '')) > 0 end),
+  b as (select * from v qualify row_number() over (partition by version, case_id, field order by priority, o, id) = 1),
+  h as (select version, id as case_id, field, nullif(case when field = 'court_id' then regexp_replace(coalesce(court_id, ''), '\D', '', 'g') else regexp_replace(coalesce(filing, ''), '\D', '', 'g') end, '') as held
+    from cases, (select unnest(['first', 'second', 'current']) as version), (select unnest(['court_id', 'filing']) as field)),
+  j as (select h.*, got from h left join b using (version, case_id, field))
+  select version, field, count(*) filter (held = got) as match, count(*) filter (held <> got) as mismatch, count(*) filter (held is not null and got is null) as row_only, count(*) filter (held is null and got is not null) as found_only from j group by 1, 2"""
+)
+def x34_versions(t: World):
+    found = extraction.found_values(t.docs, "id", "text", VERSIONS["current"])
+    rows = t.cases.select(F.col("id").alias("case_id"), "court_id", "filing")
+    return extraction.compared_versions(found, t.docs, rows, "id", "case_id", F.expr(_PRIORITY), VERSIONS, {"court_id": F.col("court_id"), "filing": F.col("filing")})
