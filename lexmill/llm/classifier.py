@@ -390,9 +390,10 @@ def quantiles(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
     upto = F.sum("n").over(Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.select("g", "range", "n", upto.alias("upto"), F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy("g")) * F.lit(q))).alias("rank"))
     at = counts.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(F.col("g").alias("h"), "range", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
-    inside = d.join(_small(at), (F.col("g").eqNullSafe(F.col("h"))) & (d["range"] == at["range"])).select("g", "v", "rank")
-    placed = inside.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("v")))
-    return placed.where(F.col("place") == F.col("rank")).select(F.col("g").alias(group), F.col("v").alias("quantile"))
+    # copies have one value, which is one row here
+    inside = d.join(_small(at), (F.col("g").eqNullSafe(F.col("h"))) & (d["range"] == at["range"])).groupBy("g", "v", "rank").agg(F.count("*").alias("n"))
+    placed = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return placed.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select(F.col("g").alias(group), F.col("v").alias("quantile"))
 
 
 def classify(
