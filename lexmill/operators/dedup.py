@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.cases import trigram_overlap, trigrams
 from lexmill.operators.vectors import cosine_pairs
 from lexmill.sources.files import staged
 
@@ -22,31 +26,104 @@ def hash_duplicates(df: DataFrame, text: str, owner: str) -> DataFrame:
     return d.withColumn("removable", F.when(F.col("owners") == 1, F.col("n") - 1).otherwise(0)).withColumn("reviewable", F.when(F.col("owners") > 1, F.col("n") - F.col("owners")).otherwise(0))
 
 
+#: Rows and bytes of sketches in a block; bins of a size's share that ``above`` allows; the fewest and most bits of a sketch.
+BLOCK_ROWS, BLOCK_BYTES, STEPS, LEAST_BITS, MOST_BITS = 2048, 1 << 19, 4, 256, 1 << 16
+
+
+def text_grams(text: str) -> np.ndarray:
+    """The distinct trigrams of a text, each as one number, ascending; a shorter text is its own."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    c = np.pad(c, (0, max(0, 3 - len(c))))
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])
+
+
+def sketch_bits(log_size: float) -> int:
+    """A power of two, twice the size of a set or more."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(log_size / math.log(2) + 1)))
+
+
+def sketch(grams: np.ndarray, bits: int) -> np.ndarray:
+    """For each bucket whether an odd number of the trigrams fall into it; with half as many bits, the two halves' XOR."""
+    mixed = (grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def near_sketches(x: pa.StructArray, y: pa.StructArray, above: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two blocks of (n, bits) whose sets may overlap by more than ``above``; of the same block, each pair once."""
+    load = lambda z: np.frombuffer(b"".join(z.field("bits").to_pylist()), np.uint64).reshape(len(z), -1)
+    half = lambda m: m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    p, q, a, b = x.field("n").to_numpy(), y.field("n").to_numpy(), load(x), load(y)
+    while a.shape[1] != b.shape[1]:
+        a, b = (half(a), b) if a.shape[1] > b.shape[1] else (a, half(b))
+    a2, b2 = half(a), half(b)
+    found, step = [], max(1, (1 << 19) // b2.size)
+    for s in range(0, len(a), step):
+        m = np.maximum(p[s : s + step, None], q[None, :])
+        # trigrams that may differ where floor(above m) + 1 are shared; the small part less is for rounding
+        most = p[s : s + step, None] + q[None, :] - 2 * (np.floor(m * above - 1e-9).astype(np.int64) + 1)
+        apart = np.bitwise_count(a2[s : s + step, None, :] ^ b2[None, :, :]).sum(2, dtype=np.int32)
+        i, j = np.nonzero(apart <= most)
+        fine = np.bitwise_count(a[s + i] ^ b[j]).sum(1, dtype=np.int32) <= most[i, j]
+        found.append((s + i[fine], j[fine]))
+    s, t = (np.concatenate(z) for z in zip(*found, strict=True))
+    return (s[s < t], t[s < t]) if same else (s, t)
+
+
 def similar_texts(df: DataFrame, key: str, text: str, least: int = 200, above: float = 0.9, block: str | None = None) -> DataFrame:
     """(a, b, overlap) of all pairs a < b of rows with different texts whose trigram overlap exceeds ``above``, on whole texts; with ``block``, only of rows equal in it (null to null).
 
-    Rows of a block with the same text are one class. Two sets that overlap so far share one of their rarest trigrams, as many of each as
-    may be missing and one more, at places of these orders that leave room for enough others, and are of like size; such pairs are
-    candidates and are compared exactly. Texts of ``least`` characters or fewer, and null ones, are left out.
+    Rows of a block with the same text are one class. Classes whose sets are of like size are compared in bounded blocks by sketches: a bit for each of
+    some buckets, whether an odd number of the set's trigrams fall into it. Bits that differ are never more than the trigrams that do, so no pair is lost; the
+    pairs that are left are compared exactly. Texts of ``least`` characters or fewer, and null ones, are left out.
     """
-    own = (F.col(block) if block else F.lit(None)).cast("string").alias("block")
-    rows = df.where(F.length(text) > least).select(F.col(key).alias("k"), own, F.col(text).alias("t")).withColumn("h", F.sha2(F.concat(F.coalesce("block", F.lit("\0")), F.lit("\0"), "t").cast("binary"), 256))
+    own = F.coalesce(F.concat(F.lit("="), (F.col(block) if block else F.lit(None)).cast("string")), F.lit("")).alias("block")
+    rows = df.where(F.length(text) > least).select(F.col(key).alias("k"), own, F.col(text).alias("t"))
+    rows = rows.withColumn("h", F.substring(F.unhex(F.sha2(F.concat("block", F.lit("\0"), "t").cast("binary"), 256)), 1, 16))
+    texts = staged(rows.groupBy("h").agg(F.any_value(F.lower("t")).alias("t"), F.any_value("block").alias("block")), "texts")
+
+    # a class is of a bin by its size; sets of like size are at most STEPS + 1 bins apart, the one more is for rounding
+    width = -math.log(above) / STEPS
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [text_grams(t) for t in batch.column("t").to_pylist()]
+            bins = [int(math.log(len(g)) / width) for g in found]
+            bits = [sketch(g, sketch_bits(i * width)).tobytes() for g, i in zip(found, bins, strict=True)]
+            subs = [min(BLOCK_ROWS, (BLOCK_BYTES << 3) // sketch_bits(i * width)) for i in bins]
+            more = [pa.array([len(g) for g in found], pa.int32()), pa.array(bins, pa.int32()), pa.array(subs, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("block"), *more], ["h", "block", "n", "bin", "rows", "bits"])
+
+    sketches = staged(texts.select("h", "block", "t").mapInArrow(sketched, "h binary, block string, n int, bin int, rows int, bits binary"), "sketches")
+    cells = sketches.groupBy("block", "bin").agg(F.ceil(F.count("*") / F.max("rows")).cast("int").alias("subs"))
+    placed = sketches.join(cells, ["block", "bin"]).groupBy("block", "bin", F.pmod(F.xxhash64("h"), F.col("subs")).cast("int").alias("sub"))
+    blocks = staged(placed.agg(F.collect_list(F.struct("h", "n", "bits")).alias("x")), "blocks")
+    ids = blocks.select("block", "bin", "sub")
+    near = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(STEPS + 1))).alias("off")).withColumn("bin2", F.col("bin") + F.col("off"))
+    near = near.join(ids.select("block", F.col("bin").alias("bin2"), F.col("sub").alias("sub2")), ["block", "bin2"]).where("off > 0 or sub2 >= sub")
+    met = near.join(blocks, ["block", "bin", "sub"]).join(blocks.select("block", F.col("bin").alias("bin2"), F.col("sub").alias("sub2"), F.col("x").alias("y")), ["block", "bin2", "sub2"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, same in enumerate(batch.column("same").to_pylist()):
+                x, y = batch.column("x")[r].values, batch.column("y")[r].values
+                s, t = near_sketches(x, y, above, same)
+                yield pa.RecordBatch.from_arrays([x.field("h").take(pa.array(s)), y.field("h").take(pa.array(t))], ["i", "j"])
+
+    same = ((F.col("bin") == F.col("bin2")) & (F.col("sub") == F.col("sub2"))).alias("same")
+    pairs = met.select("x", "y", same).mapInArrow(compared, "i binary, j binary")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            overlap = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = text_grams(x.as_py()), text_grams(y.as_py())
+                overlap.append(len(np.intersect1d(a, b, assume_unique=True)) / max(len(a), len(b)))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(overlap, pa.float64())], ["i", "j", "overlap"])
+
+    of = lambda h, t: texts.select(F.col("h").alias(h), F.col("t").alias(t))
+    pairs = pairs.join(of("i", "x"), "i").join(of("j", "y"), "j").select("i", "j", "x", "y").mapInArrow(confirmed, "i binary, j binary, overlap double").where(F.col("overlap") > above)
     member = rows.select("k", "h")
-    texts = rows.groupBy("h").agg(F.any_value("t").alias("t"), F.any_value("block").alias("block"))
-    sets = staged(texts.select("h", "block", trigrams(F.col("t"), None).alias("g")).withColumn("n", F.size("g")), "trigrams")
-    each = sets.select("h", "block", "n", F.explode("g").alias("w"))
-    # how rare a trigram is in its block
-    common = each.groupBy("block", "w").agg(F.count("*").alias("f"))
-    ranked = each.alias("e").join(common.alias("c"), (F.col("e.w") == F.col("c.w")) & F.col("e.block").eqNullSafe(F.col("c.block"))).select("h", "e.block", "n", "f", "e.w")
-    held = ranked.groupBy("h", "block", "n").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("o"))
-    # at least floor(above n) + 1 are shared, so one of the first n - floor(above n) is; the small part less is for rounding
-    prefix = F.col("n") - F.floor(F.col("n") * F.lit(above) - F.lit(1e-9)).cast("int")
-    heads = held.select("h", "block", "n", F.posexplode(F.slice("o", F.lit(1), prefix)).alias("at", "o")).where("o.f > 1").select("h", "block", "n", "at", "o.w")
-    side = lambda h, n, at, b: heads.select("w", F.col("block").alias(b), F.col("h").alias(h), F.col("n").alias(n), F.col("at").alias(at))
-    like = (F.least("p", "q") > above * F.greatest("p", "q") - 1e-6) & (1 + F.least(F.col("p") - F.col("s") - 1, F.col("q") - F.col("u") - 1) + F.least("s", "u") > above * F.greatest("p", "q") - 1e-6)
-    pairs = side("i", "p", "s", "x").join(side("j", "q", "u", "y"), "w").where(F.col("x").eqNullSafe(F.col("y")) & (F.col("i") < F.col("j")) & like).select("i", "j").distinct()
-    pairs = pairs.join(sets.select(F.col("h").alias("i"), F.col("g").alias("x")), "i").join(sets.select(F.col("h").alias("j"), F.col("g").alias("y")), "j")
-    pairs = pairs.select("i", "j", trigram_overlap(F.col("x"), F.col("y")).alias("overlap")).where(F.col("overlap") > above)
     pairs = pairs.join(member.select(F.col("h").alias("i"), F.col("k").alias("s")), "i").join(member.select(F.col("h").alias("j"), F.col("k").alias("e")), "j")
     return pairs.select(F.least("s", "e").alias("a"), F.greatest("s", "e").alias("b"), "overlap")
 

@@ -2,6 +2,7 @@ import random
 from datetime import date, datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,21 @@ def test_similar_texts_equal_brute_force(spark):
     assert sorted((r["a"], r["b"], round(r["overlap"], 9)) for r in got) == sorted(want) and len(want) > 20
 
 
+def test_sketches_lose_no_pair_and_keep_few():
+    rng = np.random.default_rng(8)
+    # sets of one small vocabulary: some near to an earlier one, most to none
+    sets = [np.sort(rng.choice(4000, rng.integers(300, 420), replace=False)) for _ in range(150)]
+    sets += [np.unique(np.concatenate([s[int(rng.integers(0, 40)) :], rng.integers(4000, 5000, int(rng.integers(0, 20)))])) for s in sets[:60]]
+    bits = [dedup.sketch(s.astype(np.int64), dedup.sketch_bits(np.log(len(s)))) for s in sets]
+    block = pa.StructArray.from_arrays([pa.array([len(s) for s in sets]), pa.array([dedup.sketch(s.astype(np.int64), 1024).tobytes() for s in sets])], ["n", "bits"])
+    other = pa.StructArray.from_arrays([pa.array([len(s) for s in sets]), pa.array([dedup.sketch(s.astype(np.int64), 512).tobytes() for s in sets])], ["n", "bits"])
+    assert all(len(b) * 8 >= 2 * len(s) for b, s in zip(bits, sets, strict=True))
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) > 0.9 * max(len(sets[i]), len(sets[j]))}
+    got = set(zip(*(x.tolist() for x in dedup.near_sketches(block, block, 0.9, True)), strict=True))
+    crossed = set(zip(*(x.tolist() for x in dedup.near_sketches(block, other, 0.9, False)), strict=True))
+    assert len(want) > 20 and want <= got and want <= crossed and len(got) < 3 * len(want)
+
+
 @pytest.mark.parametrize("block", [None, "b"])
 def test_greedy_clusters_equal_the_loop(spark, block):
     rng = np.random.default_rng(4)
