@@ -1,8 +1,8 @@
 """A kept full-text index: positional postings by term, in segments, searched by words, phrases and nearness with BM25 ranks.
 
-A segment holds the postings of the rows that were added together, in folders by a hash of the term and sorted by term, so a search reads
-the folders of its words and of these only the row groups that can hold them. Rows that change or go are named in a later segment, which
-hides what earlier ones say of them; ``merge`` writes the living rows' postings as one segment. The list of segments is a version
+A segment holds the postings of the rows that were added together, in blocks (the places of one term in the rows of a batch), in folders by a hash of
+the term and sorted by term, so a search reads the folders of its words and of these only the row groups that can hold them. Rows that change or go are named in a later segment, which
+hides what earlier ones say of them; ``merge`` writes the living rows as one segment. The list of segments is a version
 (``lexmill.sources.versions``): a search sees a change as a whole or not at all.
 """
 
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.compat import let
 from lexmill.functions.match import COLUMN_STEP, Word, holds, parse, phrases_of, starts, words_in
-from lexmill.operators.search import B, K1, LEAST_IDF, terms
+from lexmill.operators.search import B, K1, LEAST_IDF, n_terms, terms
 from lexmill.sources import versions
 
 BUCKETS = 64
-_POSTINGS = "id bigint, term string, positions array<bigint>"
+_POSTINGS = "term string, tf bigint, df bigint, base bigint, ids array<bigint>, positions array<bigint>"
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -31,28 +31,56 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(id, term, positions): a row's places of each of its terms, over all ``columns``; a column's first token is at its number times COLUMN_STEP."""
+    """(term, tf, df, base, ids, positions): blocks of the places of a term, over all ``columns``. A block holds one batch of rows: for each place
+    the row's key, less the one before it (at first ``base``), and the position; a column's first token is at its number times COLUMN_STEP."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, flat, ends = [], [], [], [0]
-            for i, key_ in enumerate(batch.column("id").to_pylist()):
-                own: dict[str, list[int]] = {}
-                for c in range(len(columns)):
-                    for at, term in enumerate(batch.column(f"c{c}")[i].as_py(), c * COLUMN_STEP):
-                        own.setdefault(term, []).append(at)
-                for term, places in own.items():
-                    ids.append(key_)
-                    found.append(term)
-                    flat += places
-                    ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), lists], ["id", "term", "positions"])
+            keys = batch.column("id").to_numpy()
+            found, row, at = [], [], []
+            for c in range(len(columns)):
+                lists = batch.column(f"c{c}")
+                n = lists.value_lengths().to_numpy()
+                found.append(lists.flatten())
+                row.append(np.repeat(np.arange(len(n)), n))
+                at.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + c * COLUMN_STEP)
+            coded = pa.concat_arrays(found).dictionary_encode()
+            code, row, at = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(at)
+            if not len(code):
+                continue
+            order = np.lexsort((at, keys[row], code))
+            code, own, at = code[order], keys[row[order]], at[order]
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            base = own[first]
+            tf = np.diff(np.r_[first, len(code)])
+            df = np.add.reduceat(np.r_[True, (code[1:] != code[:-1]) | (own[1:] != own[:-1])].astype(np.int64), first)
+            ends = pa.array(np.r_[first, len(code)].astype(np.int32))
+            steps = np.diff(own, prepend=own[0])
+            steps[first] = 0
+            of = lambda x, kind, ends=ends: pa.ListArray.from_arrays(ends, pa.array(x, kind))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(tf), pa.array(df), pa.array(base), of(steps, pa.int64()), of(at, pa.int64())], ["term", "tf", "df", "base", "ids", "positions"])
 
     d = rows.select(F.col(key).cast("bigint").alias("id"), *(terms(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)))
     return d.where("id is not null").mapInArrow(run, _POSTINGS)
 
 
+def _each(blocks: DataFrame, *keep: Column | str) -> DataFrame:
+    """(kept columns, id, position): a row a place."""
+    d = blocks.select(*keep, "base", "ids", "positions")
+    names = d.columns[:-3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = batch.column("ids"), batch.column("ids").value_lengths().to_numpy()
+            sums = np.cumsum(ids.flatten().to_numpy())
+            # a block's first step is 0, so what is summed up before it is the sum at its first place
+            own = sums + np.repeat(batch.column("base").to_numpy() - sums[np.cumsum(n) - n], n)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(own), batch.column("positions").flatten()], [*names, "id", "position"])
+
+    return d.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema) + "id bigint, position bigint")
+
+
 class Index:
     """An index kept under ``root``; ``columns`` are what is searched, ``keep`` the further columns that rows show."""
 
@@ -71,24 +99,24 @@ class Index:
 
     def _written(self, rows: DataFrame, gone: DataFrame | None) -> dict[str, str]:
         shown = [F.col(self.key).cast("bigint").alias("id"), *self.columns, *self.keep]
-        size = reduce(Column.__add__, (F.size(terms(F.col(c))) for c in self.columns)).cast("bigint")
+        size = reduce(Column.__add__, (n_terms(F.col(c)) for c in self.columns)).cast("bigint")
         entries = rows.where(F.col(self.key).isNotNull()).select(*shown, size.alias("tokens"), F.lit(False).alias("gone"))
         if gone is not None:
             entries = entries.unionByName(gone.select(F.col(self.key).cast("bigint").alias("id"), F.lit(True).alias("gone")), allowMissingColumns=True)
+        kept = versions.write_folders(self.root, {"entries": entries})
+        # the texts are made once: postings are those of the rows as they were written
+        held = self.spark.read.parquet(f"{self.root}/{kept['entries']}").where("not gone")
         # a bucket with a term that nearly all rows have is split over several tasks, each with its own file
-        found = postings(rows, self.key, self.columns).withColumn("bucket", _bucket(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-        return versions.write_folders(self.root, {"entries": entries, "postings": found}, {"postings": ["bucket"]})
+        found = postings(held, "id", self.columns).withColumn("bucket", _bucket(F.col("term"), self.buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "base")
+        return kept | versions.write_folders(self.root, {"postings": found}, {"postings": ["bucket"]})
 
     def add(self, rows: DataFrame, now: datetime, gone: DataFrame | None = None) -> None:
         """A segment of new or changed rows, and of the keys of rows that are gone; the rest stays as it is. Keys differ within ``rows``."""
         self._publish([*self._segments(), self._written(rows, gone)], now)
 
     def merge(self, now: datetime) -> None:
-        """One segment of all living rows; their postings are moved, not made anew."""
-        living = self.entries()
-        places = self._read("postings").join(living.select("id", "segment"), ["id", "segment"], "left_semi").drop("segment")
-        places = places.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "id")
-        self._publish([versions.write_folders(self.root, {"entries": living.drop("segment").withColumn("gone", F.lit(False)), "postings": places}, {"postings": ["bucket"]})], now)
+        """One segment of all living rows; their postings are made of the kept texts, which are fewer rows than the postings are."""
+        self._publish([self._written(self.entries().drop("segment", "tokens").withColumnRenamed("id", self.key), None)], now)
 
     def _table(self, path: str, kind: str) -> DataFrame:
         # postings of no rows have no files, and so no schema of their own
@@ -110,8 +138,9 @@ class Index:
         """(term, tf, df) over the living rows."""
         places = self._read("postings")
         if len(self._segments()) > 1:
-            places = places.join(self.entries().select("id", "segment"), ["id", "segment"], "left_semi")
-        return places.groupBy("term").agg(F.sum(F.size("positions")).alias("tf"), F.count("*").alias("df"))
+            living = _each(places, "term", "segment").join(self.entries().select("id", "segment"), ["id", "segment"], "left_semi")
+            places = living.groupBy("term", "id").agg(F.count("*").alias("tf"), F.lit(1).cast("bigint").alias("df"))
+        return places.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
     # search
 
@@ -123,9 +152,8 @@ class Index:
         if len(whole) == len(words):
             asked = self.spark.range(1).select(*(_bucket(F.lit(w), self.buckets).alias(f"b{i}") for i, w in enumerate(whole)))
             found = found.where(F.col("bucket").isin(*sorted(set(asked.first()))) if whole else F.lit(False))
-        # of one word a row has one posting, of a prefix one for each term
-        of = [F.array_sort(F.flatten(F.collect_list(F.when(c, F.col("positions"))))).alias(f"w{i}") for i, c in enumerate(is_word)]
-        return found.groupBy("id", "segment").agg(*of)
+        of = [F.array_sort(F.collect_list(F.when(F.col(f"is{i}"), F.col("position")))).alias(f"w{i}") for i in range(len(words))]
+        return _each(found, "segment", *(c.alias(f"is{i}") for i, c in enumerate(is_word))).groupBy("id", "segment").agg(*of)
 
     def search(self, query: str, k: int = 20, only: Column | None = None, size: int = 64, lead: int = 8) -> DataFrame:
         """(id, kept columns, all searched ones but the first, snippet of that, rank): the ``k`` best rows that match, best first; lower ranks are better, equal ones go by id.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.compat import filled_trim
+from lexmill.sources.files import staged
 
 #: Characters of an entry that are indexed, and the fewest that make one (fixed values).
 MOST, LEAST = 50_000, 10
@@ -20,9 +21,9 @@ def _entries(df: DataFrame, number: int, key: str, case: Column, kind: Column, n
 
 
 def _first(df: DataFrame, *by: str) -> DataFrame:
-    """The rows of the smallest id in each group; what is compared is small, texts stay where they are."""
-    low = df.groupBy(*by).agg(F.min("id").alias("id"))
-    return df.join(low.select("id"), "id", "left_semi")
+    """The rows of the smallest id in each group. Rows that are dealt out by a part of ``by`` already stay where they are."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    return df.withColumn("__k", place).where("__k = 1").drop("__k")
 
 
 def entries(docs: DataFrame, mails: DataFrame, cases: DataFrame, files: DataFrame, fields: list[str]) -> DataFrame:
@@ -35,15 +36,17 @@ def entries(docs: DataFrame, mails: DataFrame, cases: DataFrame, files: DataFram
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     kind = F.when(F.endswith("filename", F.lit(".docx")), "docx").otherwise("pdf")
     own = _first(_entries(docs, 0, "id", F.col("case_id"), kind, F.col("filename"), F.col("text")), "case_id", "print")
+    # what is compared is small and read twice; texts stay where they are
+    prints = staged(own.select("print").distinct(), "prints")
     said = F.concat(F.lit("Subject: "), text("subject"), F.lit("\nFrom: "), text("sender"), F.lit("\n\n"), text("body"))
     name = F.concat(F.lit("email_"), F.col("id").cast("string"), F.lit("_"), F.left(text("subject"), F.lit(50)))
-    sent = _first(_entries(mails, 1, "id", F.col("case_id"), F.lit("email"), name, said), "print").join(own.select("print").distinct(), "print", "left_anti")
+    sent = _first(_entries(mails, 1, "id", F.col("case_id"), F.lit("email"), name, said), "print").join(prints, "print", "left_anti")
     lines = F.array(*(F.when(filled_trim(F.col(c)), F.concat(F.lit(f"{c}: "), F.col(c))) for c in fields))
     about = F.array_join(lines, "\n")  # blank ones are null and left out
     known = cases.select("id", about.alias("about")).where("about <> ''")
     known = known.select((F.col("id") + F.lit(2 * SOURCE_STEP)).alias("id"), F.col("id").alias("case_id"), F.lit("db_field").alias("source_type"), F.concat(F.lit("case_"), F.col("id").cast("string"), F.lit("_fields")).alias("source_name"), F.col("about").alias("content"))
     kept = _first(_entries(files, 3, "id", F.col("case_id"), F.lit("email_md"), F.col("filename"), F.col("text")), "print")
-    kept = kept.join(own.select("print").unionByName(sent.select("print")).distinct(), "print", "left_anti")
+    kept = kept.join(prints.unionByName(sent.select("print")), "print", "left_anti")
     shown = ["id", "case_id", "source_type", "source_name"]
     cut = lambda d: d.select(*shown, F.left("content", F.lit(MOST)).alias("content"))
     return cut(own).unionByName(cut(sent)).unionByName(known).unionByName(cut(kept))

@@ -26,6 +26,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(strip_accents(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def n_terms(text: Column) -> Column:
+    """How many terms a text has."""
+    return F.regexp_count(F.lower(strip_accents(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"))
+
+
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, size)."""
     d = df.select(key, terms(F.col(text)).alias("t"))

@@ -55,7 +55,8 @@ def write_folders(root: str, tables: dict[str, DataFrame], partition_by: dict[st
     """Writes tables into a new folder; nothing reads them until a manifest names them. Returns the folder of each."""
     token = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{root}/data/{token}/{name}")
+        # kept for long and read often, so packed closer than what is only staged
+        df.write.option("compression", "zstd").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{root}/data/{token}/{name}")
     return {name: f"data/{token}/{name}" for name in tables}
 
 

@@ -105,6 +105,17 @@ def test_a_search_reads_its_buckets_only(spark, rows):
     assert "PartitionFilters" in plan and "bucket" in plan and "EqualTo(term,uno)" in plan
 
 
+def test_postings_are_blocks(spark):
+    # what is shuffled and kept grows with the terms of a batch, not with the terms of each row
+    rows = [(i * 7, "uno dos uno" if i % 2 else "dos tres") for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, texto string").coalesce(1)
+    blocks = fulltext.postings(df, "id", ["texto"])
+    assert blocks.count() == 3
+    assert {r["term"]: (r["tf"], r["df"]) for r in blocks.collect()} == {"uno": (600, 300), "dos": (600, 600), "tres": (300, 300)}
+    got = sorted((r["term"], r["id"], r["position"]) for r in fulltext._each(blocks, "term").collect())
+    assert got == sorted((w, i, k) for i, x in rows for k, w in enumerate(x.split()))
+
+
 @pytest.mark.parametrize("wrong", ["(uno", "uno )", "AND uno", "NEAR(uno, dos)", "uno OR", '"uno'])
 def test_queries_without_meaning(wrong):
     with pytest.raises(ValueError):
