@@ -108,6 +108,19 @@ def test_cosine_pairs_of_all_vectors(spark, rows):
     assert sorted((r["a"], r["b"]) for r in got) == sorted((i, j) for i, j in want if i % 3 == j % 3)
 
 
+def test_single_numbers_travel_as_they_are(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>").coalesce(1)
+    pairs = vectors.cosine_pairs(df, "id", "v", 0.9995)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.9995, 1))
+    got = pairs.collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(zip(i.tolist(), j.tolist(), strict=True)) and len(got) > 10
+
+
 def test_similar_texts_equal_brute_force(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
