@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,17 @@ def first_hit(rules: list[tuple[Column, str]], default: str | None) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def holds_any(c: Column, literals: tuple[str, ...]) -> Column:
+    """Whether any of the literals stands in the text; far cheaper than a pattern, so patterns are tried only where what they need is there."""
+    return reduce(Column.__or__, (F.contains(c, F.lit(x)) for x in literals))
+
+
+def all_matches(c: Column, pattern: str, needs: tuple[str, ...] = ()) -> Column:
+    """Every match of ``pattern``, as an array; ``needs``: literals, one of which stands in every text that has a match."""
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    return F.when(holds_any(c, needs), found).otherwise(F.array().cast("array<string>")) if needs else found
+
+
 def let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, wherever Catalyst moves the expression."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.compat import holds_any, let
+
 # --- fixed values: what opens each zone, the first that is found of each; the budgets of a prompt --------------------------------
 
 ZONES: dict[str, tuple[str, ...]] = {
@@ -20,17 +22,40 @@ ZONES: dict[str, tuple[str, ...]] = {
     "contempt": (r"(?i)\b(?:incidente\s+de\s+)?(?:DESACATO|DESACATA)\b", r"(?is)Auto\s+(?:de\s+)?apertura.*?desacato"),
     "notice": (r"(?i)\bNOTIF[ÍIíi]QUESE\b", r"(?i)\bC[ÚUúu]MPLASE\b"),
 }
+#: By opening, literals in small letters (or a pattern, where none is), one of which stands in every text that has it in small letters.
+NEEDS: dict[str, tuple[tuple[str, ...] | str, ...]] = {
+    "heading": (("juzgado", "tribunal", "corte"), ("radicado",)),
+    "parties": (("accionante", "demandante", "tutelante"), ("accionad", "demandad")),
+    "facts": (("hecho", "antecedente", "ntesis"), ("primer",)),
+    "claims": (("pretensiones", "solicita", "pide", "pretende"), ("solicito", "pido")),
+    "rights": (("derecho",), ("invocando", "alegando")),
+    "admits": (("tase",),),
+    "resolves": (r"r\s*e\s*s\s*u\s*e\s*l\s*v\s*e", ("primero", "segundo"), ("falla", "fallo")),
+    "grants": (("concede", "niega", "niéga", "improcedente"), ("tutelar", "amparar", "denegar", "deniega")),
+    "appeal": (("impugnaci", "apelaci"), ("segunda", "quem")),
+    "contempt": (("desacat",), ("desacato",)),
+    "notice": (("quese",), ("mplase",)),
+}
 #: Characters of a body, documents whose bodies are shown and their last priority; mails, and characters of their subjects and bodies; characters of it all.
 BODY, BODIES, BODY_PRIORITY, MAILS, SUBJECT, MAIL_BODY, MOST = 3000, 2, 2, 5, 60, 2000, 2_000_000
 
 
 def zones(c: Column) -> Column:
     """array(struct(start, end, zone)) by place, from 1: a zone begins where the first of its openings that a text has stands, and ends before the next one. Null and empty texts have none."""
+
+    def hits(x: Column) -> Column:
+        def at(p: str, needs: tuple[str, ...] | str) -> Column:
+            there = F.regexp_like(x["low"], F.lit(needs)) if isinstance(needs, str) else holds_any(x["low"], needs)
+            return F.when(there, let(F.regexp_instr(x["text"], F.lit(p)), lambda i: F.when(i > 0, i)))
+
+        return F.array(*(F.struct(F.coalesce(*map(at, openings, NEEDS[z]), F.lit(0)).alias("start"), F.lit(z).alias("zone")) for z, openings in ZONES.items()))
+
+    def ended(found: Column) -> Column:
+        return F.transform(found, lambda h, i: F.struct(h["start"].alias("start"), (F.coalesce(F.get(found, i + 1)["start"], F.length(text) + 1) - 1).alias("end"), h["zone"].alias("zone")))
+
     text = F.coalesce(c, F.lit(""))
-    at = lambda p: F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0))
-    hits = F.array(*(F.struct(F.coalesce(*map(at, openings), F.lit(0)).alias("start"), F.lit(z).alias("zone")) for z, openings in ZONES.items()))
-    found = F.array_sort(F.filter(hits, lambda h: h["start"] > 0))
-    return F.transform(found, lambda h, i: F.struct(h["start"].alias("start"), (F.coalesce(F.get(found, i + 1)["start"], F.length(text) + 1) - 1).alias("end"), h["zone"].alias("zone")))
+    # the hits are sought once a text, not once more for the end of each zone
+    return let(F.array_sort(F.filter(let(F.struct(text.alias("text"), F.lower(text).alias("low")), hits), lambda h: h["start"] > 0)), ended)
 
 
 def documents(docs: DataFrame, priority: Column, kind: Column) -> DataFrame:

@@ -136,8 +136,10 @@ class World(Tables):
         text, needs = TABLES[name]
         given = {n: getattr(self, n) for n in needs}
         if name == "docs":
-            # dealt out by case once, so neither the documents nor what is done by case needs another shuffle
-            given["lineitem"] = given["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+            # dealt out by case once, so neither the documents nor what is done by case needs another shuffle; the number is given, as texts are made behind
+            # this shuffle of four numbers a row, by whose size the tasks would be few and large
+            parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
+            given["lineitem"] = given["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(parts, "l_orderkey")
         return self.spark.sql(text, **given)
 
 

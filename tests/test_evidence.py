@@ -156,3 +156,59 @@ def test_restored_in_json(spark):
     got = [r["said"] and json.loads(r["said"]) for r in redaction.restored(df, "case_id", "said", vault, as_json=True).orderBy("case_id", F.desc_nulls_last("said")).collect()]
     want = lambda v: {"a": [v, {"b": f"x {v} [PERSONA_9] [P"}], v: None}
     assert got == [want('Parte "Alfa"\n'), None, want("otra"), said]
+
+
+def test_zones_equal_plain_searches_and_are_sought_once(spark):
+    from lexmill.operators import casefile
+
+    rng = random.Random(4)
+    said = ["JUZGADO 1 de", "Corte del ", "Radicado No. 1", "accionante:", "DEMANDADA.", "HECHOS:", "SÍNTESIS DE LOS HECHOS.", "primero.", "\nPRIMERO:", "solicita", "Pido al despacho", "derechos fundamentales invocados", "alegando vulneración de"]
+    said += ["ADMÍTASE", "admiTASE ", "R e s\nU E L V E", "FALLO ", "Fallar", "NIÉGA ", "niega ", "NIéGAS ", "tutelar ", "IMPUGNACIÓN ", "ad  quem", "desacato ", "Auto de apertura", "NOTIFÍQUESE", "cÚmplase ", " x ", "\n"]
+    texts = [None, "", *("".join(rng.choice(said) for _ in range(rng.randrange(9))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = [(z, F.coalesce(*(F.nullif(F.regexp_instr(F.coalesce("text", F.lit("")), F.lit(p)), F.lit(0)) for p in openings))) for z, openings in casefile.ZONES.items()]
+    want = {r["id"]: sorted((r[z], z) for z, _ in plain if r[z]) for r in df.select("id", *(c.alias(z) for z, c in plain)).collect()}
+    zones = df.select("id", casefile.zones(F.col("text")).alias("z"))
+    assert {r["id"]: [(z["start"], z["zone"]) for z in r["z"]] for r in zones.collect()} == want
+    # each opening stands once in the plan, not once more for the ends of zones
+    plan = zones._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr(") == sum(map(len, casefile.ZONES.values()))
+
+
+def test_residues_equal_their_patterns(spark):
+    from lexmill.operators import privacy
+
+    rng = random.Random(5)
+    said = ["calle 4", "Cra. 12", "accalle 4", "cl 9", "1234567", "12345678901", "x12345678", "ñ1234567", "1.234.567", "12.345.678.901", "ana@x.gov.co", "a@b.co-d@e.com", "@", "3101234567", "RC No. 1234567890", "registro civil 12345678901", "src 1234567890", "[TEL_1]", " ", "-", "_"]
+    df = spark.createDataFrame([(i, "".join(rng.choice(said) for _ in range(rng.randrange(7)))) for i in range(600)] + [(-1, None)], "id int, text string")
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), privacy.TOKEN, " ")
+    n = {k: F.size(F.regexp_extract_all(bare, F.lit(f"({p})"), F.lit(1))) for k, p in privacy.RESIDUES.items()}
+    rows = df.select(privacy.residues(F.col("text")).alias("g"), *((c - n["mobile"] if k == "bare" else c).alias(k) for k, c in n.items())).collect()
+    assert all(r["g"][k] == r[k] for r in rows for k in n) and all(any(r[k] for r in rows) for k in n)
+    # mails are sought only where there is an @
+    assert "contains" in df.select(privacy.residues(F.col("text")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_spans_are_sought_only_where_they_can_be():
+    from time import perf_counter
+
+    said = ["C.C. ", "cédula ", "1.", "1234567890", "3101234567", "310 123-4567", "TELÉFONO: ", "whatſapp ", "móvıl ", "registro cİvil No. ", "RC ", "FOREST", "radicado es ", "Tercero: 1234567 AB CD ", "calle 45 No. 3", "@", "a.b-c", "x.gov.co", " "]
+    every = [(*redaction.CATALOGUED[p.name], re.compile(p.regex), None) for p in patterns.CATALOGUE if p.name in redaction.CATALOGUED] + list(redaction.OWN)
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(said) for _ in range(rng.randrange(9)))
+        found = [Span(m.start(1), m.end(1), k, m.group(1), s, "pattern") for k, s, p, near in every for m in p.finditer(text) if near is None or near[1].search(text, max(0, m.start() - near[0]), m.start())]
+        assert redaction.pattern_spans(text) == [s for s in found if s.kind != "CC" or not redaction.vetoed(text, s)]
+    # a run of letters without what a mail needs was read from each of its places
+    begun = perf_counter()
+    assert redaction.pattern_spans("a" * 100_000) == []
+    assert perf_counter() - begun < 2
+
+
+def test_texts_are_dealt_out_once(spark, found):
+    df, spans = found
+    vault = redaction.minted(spans, "id", "case_id", b"k", counted=True)
+    plan = redaction.redacted(df, "id", "case_id", "text", spans, vault, b"k")._jdf.queryExecution().optimizedPlan().toString()
+    # only the last join meets the texts; before, a second one brought each the vault of its case
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert "start" not in joins[0] and "hash" not in joins[0] and any("hash" in line for line in joins[1:]) and "__tokens" not in plan
