@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import classes, extract
 from lexmill.functions.cases import spaced_id
-from lexmill.functions.compat import digits, filled_sql, filled_trim, normal_name, parse_dmy, strip_accents
+from lexmill.functions.compat import all_matches, digits, filled_sql, filled_trim, let, normal_name, parse_dmy, strip_accents
 from lexmill.functions.patterns import CATALOGUE
 from lexmill.operators import extraction, matching, relational
 from lexmill.plans.casejoins import LONG, YEAR_SEQ, d08_fragments, w04_canonical_document
@@ -253,13 +253,16 @@ def f43_compressed(t: World):
 
 
 PATTERNS = {"court_id": r"68\d{21}", "phone": r"3\d{9}", "email": r"[\w.]+@[\w.]+", "law": r"T-\d+ de \d{4}", "article": r"Art\. \d+", "diagnosis": r"[A-TV-Z]\d{2}", "dotted": r"\d{2}\.\d{3}\.\d{3}"}
+#: What stands in every match, and a form of the same pattern that reads a run of letters once, whatever its length.
+NEEDS = {"court_id": ("68",), "email": ("@",), "law": ("T-",), "article": ("Art. ",)}
+SAME = {"email": r"(?<![\w.])[\w.]++@[\w.]+"}
 
 
 @case_query("with x as (" + " union all ".join(f"select id, '{n}' as name, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '{p}'))) as value from docs" for n, p in PATTERNS.items()) + ") select name, count(*) as n, count(distinct value) as values_ from x group by 1")
 def x01_pattern_counts(t: World):
     # also X25: every identifier of every document, once, by the pattern that finds it
     text = F.coalesce("text", F.lit(""))
-    found = F.array(*(F.struct(F.lit(n).alias("name"), F.array_distinct(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))).alias("v")) for n, p in PATTERNS.items()))
+    found = F.array(*(F.struct(F.lit(n).alias("name"), F.array_distinct(all_matches(text, SAME.get(n, p), NEEDS.get(n, ()))).alias("v")) for n, p in PATTERNS.items()))
     d = t.docs.select("id", F.explode(found).alias("f")).select("id", "f.name", F.explode("f.v").alias("value"))
     return d.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("value").alias("values_"))
 
@@ -348,9 +351,12 @@ def x24_content_class(t: World):
 @case_query(r"""with x as (select id, coalesce(text, '') as x from docs), b as (select id, len(regexp_extract_all(x, '3\d{9}')) + len(regexp_extract_all(x, '[\w.]+@[\w.]+')) as before, regexp_replace(regexp_replace(x, '3\d{9}', '[TEL]', 'g'), '[\w.]+@[\w.]+', '[EMAIL]', 'g') as y from x)
   select sum(before)::bigint as before, sum(len(regexp_extract_all(y, '3\d{9}')) + len(regexp_extract_all(y, '[\w.]+@[\w.]+')))::bigint as after, count(*) filter (before > 0) as touched from b""")
 def x35_before_and_after(t: World):
-    phone, mail, text = r"3\d{9}", r"[\w.]+@[\w.]+", F.coalesce("text", F.lit(""))
-    left = lambda c: F.size(F.regexp_extract_all(c, F.lit(f"({phone})"), F.lit(1))) + F.size(F.regexp_extract_all(c, F.lit(f"({mail})"), F.lit(1)))
-    d = t.docs.select(left(text).alias("b"), left(F.regexp_replace(F.regexp_replace(text, phone, "[TEL]"), mail, "[EMAIL]")).alias("a"))
+    phone, mail = r"3\d{9}", SAME["email"]
+    left = lambda c: F.size(all_matches(c, phone)) + F.size(all_matches(c, mail, NEEDS["email"]))
+    hidden = lambda c: F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, mail, "[EMAIL]")).otherwise(c)
+    d = t.docs.select(F.coalesce("text", F.lit("")).alias("x"))
+    # where there is nothing to hide, nothing is left
+    d = d.select(left(F.col("x")).alias("b"), "x").select("b", F.when(F.col("b") > 0, let(let(F.regexp_replace("x", phone, "[TEL]"), hidden), left)).otherwise(0).alias("a"))
     return d.agg(F.sum("b").alias("before"), F.sum("a").alias("after"), F.count_if(F.col("b") > 0).alias("touched"))
 
 
