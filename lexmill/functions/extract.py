@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions.cases import short_id, valid_filing
-from lexmill.functions.compat import digits, first_hit, parse_dmy, strip_accents
+from lexmill.functions.compat import digits, first_hit, let, parse_dmy, strip_accents
 
 # --- fixed values, which results depend on -------------------------------------------------------------------------------
 
@@ -161,13 +163,19 @@ def day_after(c: Column, word: str) -> Column:
 
 def category_scores(c: Column, patterns: dict[str, list[str]], outranked: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The category of which most patterns are found, the first of equal ones, null if none is; ``outranked`` drop out where one of theirs is found."""
-    text = F.lower(_text(c))
-    score = {n: sum((F.regexp_like(text, F.lit(p)).cast("int") for p in own), F.lit(0)) for n, own in patterns.items()}
-    for name, stronger in (outranked or {}).items():
-        for other in stronger:
-            score[name] = F.when(score[other] > 0, 0).otherwise(score[name])
-    best = F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, s) in enumerate(score.items()))))
-    return F.when(best["score"] > 0, best["name"])
+
+    def holds(text: Column, p: str) -> Column:
+        return F.regexp_like(text, F.lit(p)) if re.search(r"[^\w\s@]", p) else F.contains(text, F.lit(p))
+
+    def best(text: Column) -> Column:
+        score = {n: sum((holds(text, p).cast("int") for p in own), F.lit(0)) for n, own in patterns.items()}
+        for name, stronger in (outranked or {}).items():
+            for other in stronger:
+                score[name] = F.when(score[other] > 0, 0).otherwise(score[name])
+        return F.array_max(F.array(*(F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, s) in enumerate(score.items()))))
+
+    # the text in small letters and the best of it are made once a row
+    return let(let(F.lower(_text(c)), best), lambda b: F.when(b["score"] > 0, b["name"]))
 
 
 def repaired_json(c: Column) -> Column:
