@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.functions.compat import all_matches, let
+
 #: Kinds of spans and their patterns; the first kind wins where two overlap.
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -63,14 +65,24 @@ RESIDUES = {
     "address": r"(?i)\b(?:calle|carrera|cra|cl)\.? \d+", "bare": r"\b\d{7,10}\b", "dotted": r"\b\d{1,3}(?:\.\d{3}){2,3}\b", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "mobile": r"\b3\d{9}\b", "nuip": r"(?i)\b(?:RC|registro civil) (?:No\.? ?)?\d{10,11}\b",
 }
+#: The same patterns, with their first character before the word boundary that must precede it: a boundary is dear, and was sought at every place. What stands in every match.
+QUICK = {
+    "address": r"(?i)c(?<=\bc)(?:alle|arrera|ra|l)\.? \d+", "bare": r"\d(?<=\b\d)\d{6,9}\b", "dotted": r"\d(?<=\b\d)\d{0,2}(?:\.\d{3}){2,3}\b", "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "mobile": r"3(?<=\b3)\d{9}\b", "nuip": r"(?i)r(?<=\br)(?:C|egistro civil) (?:No\.? ?)?\d{10,11}\b",
+}
+RESIDUE_NEEDS = {"email": ("@",), "dotted": (".",)}
 
 
 def residues(text: Column) -> Column:
     """Counts by kind of what is left of personal data once tokens are blanks; numbers that are mobile ones do not count as bare."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), TOKEN, " ")
-    count = lambda p: F.size(F.regexp_extract_all(bare, F.lit(f"({p})"), F.lit(1))).cast("bigint")
-    n = {k: count(p) for k, p in RESIDUES.items()}
-    return F.struct(*((n[k] - n["mobile"] if k == "bare" else n[k]).alias(k) for k in RESIDUES))
+    c = F.coalesce(text, F.lit(""))
+
+    def counted(bare: Column) -> Column:
+        n = {k: F.size(all_matches(bare, QUICK[k], RESIDUE_NEEDS.get(k, ()))).cast("bigint") for k in RESIDUES}
+        return F.struct(*(n[k].alias(k) for k in RESIDUES))
+
+    n = let(F.when(F.contains(c, F.lit("[")), F.regexp_replace(c, TOKEN, " ")).otherwise(c), counted)
+    return let(n, lambda n: F.struct(*((n[k] - n["mobile"] if k == "bare" else n[k]).alias(k) for k in RESIDUES)))
 
 
 def vault(df: DataFrame, case: str, order: str, text: str) -> DataFrame:
