@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.compat import ACCENTED, PLAIN
+from lexmill.functions.patterns import possible_in
 
 # --- fixed values: formula, whether it gives a list, and confidence, by role; where a name ends; what a list's part begins with -----------
 
@@ -30,7 +31,12 @@ LIST_PARTS, LEADING = re.compile(r"\s*[-–,;]\s*|\s+Y\s+|\s+y\s+(?=(?:la\s+|el\
 
 # --------------------------------------------------------------------------------------------------------------------------------------
 
-_COMPILED = [(role, re.compile(p), many, sure) for role, rules in GRAMMAR.items() for p, many, sure in rules]
+#: By formula, literals in small letters, one of which stands in every text that has a match.
+NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "CLAIMANT": (("accionante", "demandante", "tutelante"), ("interpuest", "promovid")), "DEFENDANT": (("accionad", "demandad"), ("contra",)), "LINKED": (("vinculad",), ("lese",)),
+    "JUDGE": (("juez",),), "LAWYER": (("proyect", "elabor", "revis", "aprob"),), "MINOR": (("hij", "menor"),),
+}
+_COMPILED = [(role, re.compile(p), many, sure, needs) for role, rules in GRAMMAR.items() for (p, many, sure), needs in zip(rules, NEEDS[role], strict=True)]
 _FOLD = str.maketrans(ACCENTED, PLAIN)
 
 
@@ -48,9 +54,14 @@ def folded(name: str) -> str:
 
 def actors_of(text: str | None) -> list[Actor]:
     """The actors of a text, of each role a name once, in order of role and place; of the formulas that give a name the surest counts."""
+    if not text:
+        return []
     best: dict[tuple[str, str], Actor] = {}
-    for role, pattern, many, sure in _COMPILED:
-        for m in pattern.finditer(text or ""):
+    possible = possible_in(text)
+    for role, pattern, many, sure, needs in _COMPILED:
+        if not possible(needs):
+            continue
+        for m in pattern.finditer(text):
             said, at = m.group(1), m.start(1)
             for part in LIST_PARTS.split(said) if many else [said]:
                 name = LEADING.sub("", ENDS.sub("", part).strip(" .,-\t\n")) if many else ENDS.sub("", said)
@@ -62,21 +73,23 @@ def actors_of(text: str | None) -> list[Actor]:
     return sorted(best.values(), key=lambda a: (order.index(a.role), a.start, a.folded))
 
 
-def actors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, role, name, folded, start, confidence) of every text; null and empty ones have none."""
+def actors(df: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, role, name, folded, start, confidence, more columns) of every text; null and empty ones have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, *a) for i, t in enumerate(batch.column(1).to_pylist()) for a in actors_of(t)]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int32())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))], [key, *Actor._fields])
+            own = batch.select([key, *more]).take(pa.array(columns[0], pa.int32()))
+            yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)), *own.columns[1:]], [key, *Actor._fields, *more])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, role string, name string, folded string, start int, confidence double")
+    types = dict(df.dtypes)
+    return df.select(key, F.col(text).alias("__text"), *more).mapInArrow(run, ", ".join([f"`{key}` {types[key]}, role string, name string, folded string, start int, confidence double", *(f"`{c}` {types[c]}" for c in more)]))
 
 
 def actors_of_cases(found: DataFrame, documents: DataFrame, key: str, case: str) -> DataFrame:
-    """(case, role, folded, name, confidence, documents): each actor of a case once, as its surest and then first document writes it."""
-    d = found.join(documents.select(key, case), key)
+    """(case, role, folded, name, confidence, documents): each actor of a case once, as its surest and then first document writes it. ``found`` may hold the case."""
+    d = found if case in found.columns else found.join(documents.select(key, case), key)
     best = F.min_by(F.struct("name", "confidence"), F.struct(-F.col("confidence"), key, "start"))
     return d.groupBy(case, "role", "folded").agg(best.alias("b"), F.count_distinct(key).alias("documents")).select(case, "role", "folded", "b.name", "b.confidence", "documents")

@@ -32,3 +32,10 @@ def test_actors_of_cases(spark):
     df = spark.createDataFrame([(1, 7, "Proyectó: Letrado Úno Dos"), (2, 7, "Revisó: LETRADO UNO DOS\nAccionante: Parte Alfa"), (3, 7, None), (4, 8, "nada")], "id bigint, case_id bigint, text string")
     got = actors.actors_of_cases(actors.actors(df, "id", "text"), df, "id", "case_id").collect()
     assert sorted((r["case_id"], r["role"], r["folded"], r["name"], r["documents"]) for r in got) == [(7, "CLAIMANT", "PARTE ALFA", "Parte Alfa", 1), (7, "LAWYER", "LETRADO UNO DOS", "Letrado Úno Dos", 2)]
+
+
+def test_the_case_goes_with_the_actors(spark):
+    df = spark.createDataFrame([(1, 7, "Proyectó: Letrado Úno Dos"), (2, 7, "Revisó: LETRADO UNO DOS"), (3, None, "Accionante: Parte Alfa"), (4, 8, "VİNCULADOS: la Entidad Tres")], "id bigint, case_id bigint, text string")
+    got = actors.actors_of_cases(actors.actors(df, "id", "text", "case_id"), df, "id", "case_id")
+    assert sorted((str(r["case_id"]), r["role"], r["folded"], r["documents"]) for r in got.collect()) == [("7", "LAWYER", "LETRADO UNO DOS", 2), ("8", "LINKED", "ENTIDAD TRES", 1), ("None", "CLAIMANT", "PARTE ALFA", 1)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
