@@ -212,3 +212,36 @@ def test_texts_are_dealt_out_once(spark, found):
     # only the last join meets the texts; before, a second one brought each the vault of its case
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert "start" not in joins[0] and "hash" not in joins[0] and any("hash" in line for line in joins[1:]) and "__tokens" not in plan
+
+
+def test_texts_are_searched_together(monkeypatch):
+    import pyarrow as pa
+
+    said = ["C.C. ", "cédula ", "1.", "1234567890", "3101234567", "TELÉFONO: ", "whatſapp ", "el NÚMERO de radicado es ", "registro civil No. ", "FOREST", "Tercero: 1234567 AB CD ", "calle 45 No. 3", "@", "a.b-c", "x.gov.co", "folios: ", "\0", "İ", " "]
+    rng = random.Random(7)
+    for _ in range(600):
+        monkeypatch.setattr(redaction, "TOGETHER", rng.choice([1, 30, 200, 1 << 18]))
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(said) for _ in range(rng.randrange(9))) for _ in range(6)]
+        known = [[("PERSON", rng.choice(["gov", "Radicado", " 1234567 "]))] * rng.randrange(2) for _ in texts]
+        got = [[] for _ in texts]
+        for row, firsts, spans in redaction.spans_of_texts(pa.array(texts, pa.string()), iter(known)):
+            for s in spans:
+                i = max(i for i, first in enumerate(firsts) if first <= s.start)
+                got[row + i].append(s._replace(start=s.start - firsts[i], end=s.end - firsts[i]))
+        assert got == [redaction.settled([*redaction.known_spans(t, k), *redaction.pattern_spans(t)]) for t, k in zip(texts, known, strict=True)]
+        assert redaction.rows_with(pa.array(texts, pa.string()), ("EMAIL", "CC")) == [i for i, t in enumerate(texts) if any(s.kind in ("EMAIL", "CC") for s in redaction.pattern_spans(t))]
+
+
+def test_known_values_meet_documents_without_a_shuffle_of_texts(spark):
+    from lexmill.plans import evidence
+    from lexmill.plans.world import World
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:  # more than the documents are dealt into
+        t = World(spark, "/root/testdata/sf0.001")
+        plan = redaction.detected(t.docs, "id", "case_id", "text", evidence.known(t))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("40)" in line for line in shuffles)
