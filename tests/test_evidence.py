@@ -245,3 +245,14 @@ def test_known_values_meet_documents_without_a_shuffle_of_texts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert shuffles and not any("40)" in line for line in shuffles)
+
+
+def test_hashes_are_made_where_spans_are_found(spark, found):
+    df, spans = found
+    hashed = redaction.detected(df, "id", "case_id", "text", secret=b"k")
+    assert hashed.count() and all(r["hash"] == redaction.value_hash(b"k", r["case_id"], r["kind"], r["value"]) for r in hashed.collect())
+    once = redaction.minted(hashed, "id", "case_id", b"k", counted=True)
+    again = redaction.minted(hashed.drop("hash"), "id", "case_id", b"k", counted=True)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
+    # two passes through Python: finding and naming
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
