@@ -94,6 +94,20 @@ def test_token_overlap_of_all_keys(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_pairs_of_keys_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(relational, "BLOCK", 3)
+    words = [["a b c", "a b", "a b d", "x"][i % 4] for i in range(60)]
+    df = spark.createDataFrame([*enumerate(words), (5, "a b"), (5, "a b d")], "id bigint, w string")
+    sets = sorted({(i, frozenset(w.split())) for i, w in [*enumerate(words), (5, "a b d")]}, key=lambda s: (s[0], sorted(s[1])))
+    want = sorted((*sorted((i, j)), len(v & w)) for n, (i, v) in enumerate(sets) for j, w in sets[:n] if len(v & w) >= 2)
+    got = relational.token_overlap_by_set(df, "id", F.split("w", " "), 2)
+    assert sorted(map(tuple, got.collect())) == want
+    # few bytes make many rows: the tasks that write them out are as many as shuffles have, not one for so many bytes
+    assert got.rdd.getNumPartitions() == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(y") < plan.index("Exchange") and "REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize("rows", [7, 1024])
 def test_cosine_pairs_of_all_vectors(spark, rows):
     rng = np.random.default_rng(3)
