@@ -256,3 +256,36 @@ def test_hashes_are_made_where_spans_are_found(spark, found):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, again.collect()))
     # two passes through Python: finding and naming
     assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_literals_are_found_at_once(monkeypatch):
+    said = [*redaction._LITERALS, "RADICADO", "c.C", "cc.c", "caalle", "11.", "@@", "–", "ñ", "\0", " ", "núme", "c"]
+    rng = random.Random(8)
+    for _ in range(300):
+        monkeypatch.setattr(redaction, "_SHORT", rng.choice([0, 1 << 20]))
+        monkeypatch.setattr(redaction, "_PIECE", rng.choice([1, 7, 64, 1 << 20]))
+        low = "".join(rng.choice(said) for _ in range(rng.randrange(40))).lower()
+        assert redaction._stands(low) == {x: [m.start() for m in re.finditer(f"(?={re.escape(x)})", low)] for x in redaction._LITERALS}
+
+
+def test_structs_are_tuples_of_their_fields():
+    import pyarrow as pa
+
+    rows = [[{"a": "x", "n": 1}, {"a": None, "n": None}], None, [], [{"a": "ñ", "n": 3}]]
+    column = pa.array(rows, pa.list_(pa.struct([("a", pa.string()), ("n", pa.int64())])))
+    want = [[(s["a"], s["n"]) for s in r or []] for r in rows]
+    assert list(redaction.structs(column)) == want and list(redaction.structs(column.slice(1, 3))) == want[1:] and list(redaction.structs(column[:0])) == []
+
+
+def test_cases_are_made_once_for_what_is_known(spark):
+    from lexmill.plans import evidence
+    from lexmill.plans.world import World
+
+    t = World(spark, "/root/testdata/sf0.001")
+    cases = t.cases.select("id", F.btrim("claimant"), "filing", F.regexp_extract("notes", r"CC (\d+)", 1)).collect()
+    want = sorted((i, k, v) for i, *values in cases for k, v in zip(("PERSON", "RADICADO_FOREST", "CC"), values, strict=True) if v)
+    assert sorted(map(tuple, evidence.known(t).collect())) == want
+    plan = evidence.known(t)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("o_orderkey#") and plan.count("FileScan parquet [o_orderkey") == 1
+    # read once, so found where it is read
+    assert "MapInArrow" in evidence.r05_settled_spans(t)._jdf.queryExecution().optimizedPlan().toString()
