@@ -36,8 +36,8 @@ NEEDS: dict[str, tuple[tuple[str, ...] | str, ...]] = {
     "contempt": (("desacat",), ("desacato",)),
     "notice": (("quese",), ("mplase",)),
 }
-#: Characters of a body, documents whose bodies are shown and their last priority; mails, and characters of their subjects and bodies; characters of it all.
-BODY, BODIES, BODY_PRIORITY, MAILS, SUBJECT, MAIL_BODY, MOST = 3000, 2, 2, 5, 60, 2000, 2_000_000
+#: Characters of a body, documents whose bodies are shown and their last priority; mails, and characters of their subjects and bodies.
+BODY, BODIES, BODY_PRIORITY, MAILS, SUBJECT, MAIL_BODY = 3000, 2, 2, 5, 60, 2000
 
 
 def zones(c: Column) -> Column:
@@ -67,12 +67,11 @@ def documents(docs: DataFrame, priority: Column, kind: Column) -> DataFrame:
     return d.select("case_id", "id", "priority", "kind", "filename", F.when(F.size("z") > 0, cut).when(F.col("text") != "", body).otherwise(F.array().cast("array<struct<zone:string,text:string>>")).alias("zones"))
 
 
-def prompts(model: DataFrame, cases: DataFrame, mails: DataFrame, known: list[str], most: int = MOST) -> DataFrame:
+def prompts(model: DataFrame, cases: DataFrame, mails: DataFrame, known: list[str]) -> DataFrame:
     """(case_id, prompt) of every case: its folder, the filled ``known`` fields, the zones of its documents by priority, and its newest mails.
 
-    Zones are whole; of bodies, two of the first priorities are shown, 3,000 characters each; of mails five, 2,000 characters each. Documents are
-    taken in order while all of them together have ``most`` characters or fewer, so a case of very many makes no row without bound. ``mails``: (id,
-    case_id, subject, sender, received, body).
+    Zones are whole, of all documents that have some; of bodies, two of the first priorities are shown, 3,000 characters each; of mails five, 2,000
+    characters each. A prompt is one string, so it is as long as the documents of its case make it. ``mails``: (id, case_id, subject, sender, received, body).
     """
     order = Window.partitionBy("case_id").orderBy("priority", "id")
     is_body = F.exists("zones", lambda z: z["zone"] == "body") & (F.col("priority") <= BODY_PRIORITY)
@@ -81,7 +80,6 @@ def prompts(model: DataFrame, cases: DataFrame, mails: DataFrame, known: list[st
     line = F.transform(shown, lambda z: F.concat(F.lit("["), z["zone"], F.lit("] "), F.when(z["zone"] == "body", F.left(z["text"], F.lit(BODY))).otherwise(z["text"])))
     head = F.concat(F.lit("\n=== "), "filename", F.lit(" ["), F.coalesce("kind", F.lit("")), F.lit("] ==="))
     d = d.select("case_id", "priority", "id", F.concat_ws("\n", head, line).alias("said"), F.size(shown).alias("n")).where("n > 0")
-    d = d.withColumn("sofar", F.sum(F.length("said")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sofar") <= most)
     papers = d.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("priority", "id", "said"))).alias("p")).select("case_id", F.array_join(F.transform("p", lambda x: x["said"]), "\n").alias("papers"))
     m = mails.where("case_id is not null").withColumn("nth", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc_nulls_last("received"), "id"))).where(F.col("nth") <= MAILS)
     e = lambda c: F.coalesce(c, F.lit(""))

@@ -175,6 +175,18 @@ def test_zones_equal_plain_searches_and_are_sought_once(spark):
     assert plan.count("regexp_instr(") == sum(map(len, casefile.ZONES.values()))
 
 
+def test_prompts_have_all_documents_of_a_case(spark):
+    from lexmill.operators import casefile
+
+    # more than two million characters in the zones of one case, one more document behind them, and mails after those
+    docs = spark.range(5).selectExpr("7L as case_id", "id", "concat(id, '.pdf') as filename", "concat('RESUELVE ', case when id < 4 then repeat('x', 600000) else 'last' end) as text")
+    cases = spark.createDataFrame([(7, "folder", "Ana"), (8, None, "")], "id bigint, folder string, claimant string")
+    mails = spark.createDataFrame([(1, 7, "s", "a@b", None, "b")], "id bigint, case_id bigint, subject string, sender string, received timestamp, body string")
+    got = {r["case_id"]: r["prompt"] for r in casefile.prompts(casefile.documents(docs, F.lit(1), F.lit("pdf")), cases, mails, ["claimant"]).collect()}
+    said = "\n".join(f"\n=== {i}.pdf [pdf] ===\n[resolves] RESUELVE " + ("x" * 600000 if i < 4 else "last") for i in range(5))
+    assert got == {7: "CASO: folder\n\nCAMPOS:\n  claimant: Ana\n" + said + "\n\n=== EMAIL: s ===\nDe: a@b | Fecha: \nb", 8: "CASO: "}
+
+
 def test_residues_equal_their_patterns(spark):
     from lexmill.operators import privacy
 
