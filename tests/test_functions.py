@@ -155,6 +155,41 @@ def test_similar_texts_equal_brute_force(spark):
     assert sorted((r["a"], r["b"], round(r["overlap"], 9)) for r in got) == sorted(want) and len(want) > 20
 
 
+def test_pairs_of_near_copies_are_not_shuffled(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(words + [str(i)]).upper() if i % 7 == 0 else " ".join(words + [str(i)])) for i in range(500)] + [(1000 + i, " ".join(words)) for i in range(30)]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before, kept = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dedup.similar_texts(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # all with each other but for the rows of one text; each text goes to a few places, not to one for each pair
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 530 * 529 // 2 - 30 * 29 // 2 and all(r["a"] < r["b"] for r in got)
+    assert 0 < written() - before < 1_000_000
+
+
+@pytest.mark.parametrize("least", [64, 1 << 21])
+def test_cells_lose_no_pair(spark, monkeypatch, least):
+    # many small cells, or one for each bin: the same pairs, once each, within blocks (null to null) and without
+    monkeypatch.setattr(dedup, "LEAST_CELL", least)
+    monkeypatch.setattr(dedup, "CELLS", 1 << 20)
+    monkeypatch.setattr(dedup, "MOST_BINS", 1)
+    monkeypatch.setattr(dedup, "ROWS", 7)
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(n)) for n in (230, 260, 300, 420, 900)]
+    texts = [t[: rng.randrange(201, len(t))] if rng.random() < 0.8 else t + t[:k] for t in base for k in range(24)]
+    rows = [(str(i), rng.choice(["x", "y", None]), t) for i, t in enumerate(texts)]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    near = {tuple(sorted((str(i), str(j)))) for j in range(len(texts)) for i in range(j) if texts[i] != texts[j] and len(sets[i] & sets[j]) / max(len(sets[i]), len(sets[j])) > 0.9}
+    df = spark.createDataFrame(rows, "id string, b string, t string")
+    assert sorted((r["a"], r["b"]) for r in dedup.similar_texts(df, "id", "t").collect()) == sorted(near) and len(near) > 100
+    within = {(a, b) for a, b in near if rows[int(a)][1] == rows[int(b)][1]}
+    assert sorted((r["a"], r["b"]) for r in dedup.similar_texts(df, "id", "t", block="b").collect()) == sorted(within) and len(within) > 30
+
+
 def test_sketches_lose_no_pair_and_keep_few():
     rng = np.random.default_rng(8)
     # sets of one small vocabulary: some near to an earlier one, most to none
