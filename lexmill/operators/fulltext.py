@@ -16,71 +16,109 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexmill.functions.compat import let
 from lexmill.functions.match import COLUMN_STEP, Word, holds, parse, phrases_of, starts, words_in
-from lexmill.operators.search import B, K1, LEAST_IDF, n_terms, terms
+from lexmill.operators.search import B, K1, LEAST_IDF, terms, tokens
 from lexmill.sources import versions
 
 BUCKETS = 64
-_POSTINGS = "term string, tf bigint, df bigint, base bigint, ids array<bigint>, positions array<bigint>"
+#: Bytes of texts whose postings are made together.
+TOGETHER = 1 << 23
+_POSTINGS = "term string, tf bigint, df bigint, base bigint, places binary"
 
 
 def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def packed(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Numbers from 0 on, of which each value holds the next ``n``, by seven bits a byte."""
+    values, size = values.astype(np.uint64), np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1 << 7 * k)
+        if not more.any():
+            break
+        size += more
+    ends = np.cumsum(size)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(size.max(initial=0)):
+        of = np.flatnonzero(size > k)
+        out[ends[of] - size[of] + k] = ((values[of] >> np.uint64(7 * k)) & np.uint64(127)) | ((size[of] > k + 1).astype(np.uint64) << np.uint64(7))
+    bounds = np.r_[0, ends[np.cumsum(n) - 1]] if len(n) else np.zeros(1)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(blocks: pa.Array) -> np.ndarray:
+    """The numbers of all values of ``packed``, one after the other."""
+    data = np.frombuffer(b"".join(blocks.to_pylist()), np.uint8)
+    first = np.flatnonzero(np.r_[True, data[:-1] < 128][: len(data)])
+    if not len(first):
+        return np.zeros(0, np.int64)
+    nth = np.arange(len(data)) - np.repeat(first, np.diff(np.r_[first, len(data)]))
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * nth), first)
+
+
 def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, tf, df, base, ids, positions): blocks of the places of a term, over all ``columns``. A block holds one batch of rows: for each place
+    """(term, tf, df, base, places): blocks of the places of a term, over all ``columns``. A block holds rows whose texts were read together: for each place
     the row's key, less the one before it (at first ``base``), and the position; a column's first token is at its number times COLUMN_STEP."""
 
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().sort_by("id")
+        keys = t.column("id").to_numpy()
+        row, at, code, terms = tokens(pa.concat_arrays([x for c in range(len(columns)) for x in t.column(f"c{c}").chunks]))
+        at, row = at + row // len(keys) * COLUMN_STEP, row % len(keys)
+        # by term, row and position: rows are in order, and in each column's tokens the positions are
+        order = np.argsort(code * np.int64(len(keys)) + row, kind="stable")
+        code, own, at = code[order], keys[row[order]], at[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+        base, tf = own[first], np.diff(np.r_[first, len(code)])
+        df = np.add.reduceat(np.r_[True, (code[1:] != code[:-1]) | (own[1:] != own[:-1])].astype(np.int64), first) if len(first) else first
+        steps = np.diff(own, prepend=own[:1])
+        steps[first] = 0
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(code[first])), pa.array(tf), pa.array(df), pa.array(base), packed(np.stack([steps, at], 1).ravel(), 2 * tf)], ["term", "tf", "df", "base", "places"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            keys = batch.column("id").to_numpy()
-            found, row, at = [], [], []
-            for c in range(len(columns)):
-                lists = batch.column(f"c{c}")
-                n = lists.value_lengths().to_numpy()
-                found.append(lists.flatten())
-                row.append(np.repeat(np.arange(len(n)), n))
-                at.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + c * COLUMN_STEP)
-            coded = pa.concat_arrays(found).dictionary_encode()
-            code, row, at = coded.indices.to_numpy(), np.concatenate(row), np.concatenate(at)
-            if not len(code):
-                continue
-            order = np.lexsort((at, keys[row], code))
-            code, own, at = code[order], keys[row[order]], at[order]
-            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            base = own[first]
-            tf = np.diff(np.r_[first, len(code)])
-            df = np.add.reduceat(np.r_[True, (code[1:] != code[:-1]) | (own[1:] != own[:-1])].astype(np.int64), first)
-            ends = pa.array(np.r_[first, len(code)].astype(np.int32))
-            steps = np.diff(own, prepend=own[0])
-            steps[first] = 0
-            of = lambda x, kind, ends=ends: pa.ListArray.from_arrays(ends, pa.array(x, kind))
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), pa.array(tf), pa.array(df), pa.array(base), of(steps, pa.int64()), of(at, pa.int64())], ["term", "tf", "df", "base", "ids", "positions"])
-
-    d = rows.select(F.col(key).cast("bigint").alias("id"), *(terms(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)))
+            # texts that are large together are not read together
+            for s in range(0, len(batch), 2048):
+                held.append(batch.slice(s, 2048))
+                size += held[-1].nbytes
+                if size >= TOGETHER:
+                    yield blocks(held)
+                    held, size = [], 0
+        if sum(map(len, held)):
+            yield blocks(held)
+
+    d = rows.select(F.col(key).cast("bigint").alias("id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"c{i}") for i, c in enumerate(columns)))
     return d.where("id is not null").mapInArrow(run, _POSTINGS)
 
 
 def _each(blocks: DataFrame, *keep: Column | str) -> DataFrame:
     """(kept columns, id, position): a row a place."""
-    d = blocks.select(*keep, "base", "ids", "positions")
+    d = blocks.select(*keep, F.col("tf").alias("__n"), "base", "places")
     names = d.columns[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = batch.column("ids"), batch.column("ids").value_lengths().to_numpy()
-            sums = np.cumsum(ids.flatten().to_numpy())
+            n, steps = batch.column("__n").to_numpy(), unpacked(batch.column("places")).reshape(-1, 2)
+            sums = np.cumsum(steps[:, 0])
             # a block's first step is 0, so what is summed up before it is the sum at its first place
             own = sums + np.repeat(batch.column("base").to_numpy() - sums[np.cumsum(n) - n], n)
             at = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(own), batch.column("positions").flatten()], [*names, "id", "position"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(own), pa.array(steps[:, 1])], [*names, "id", "position"])
 
     return d.mapInArrow(run, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.select(*names).schema) + "id bigint, position bigint")
 
 
+@F.arrow_udf(LongType())
+def _n_tokens(*texts: pa.Array) -> pa.Array:
+    """How many terms the texts of a row have."""
+    return pa.array(sum(np.bincount(tokens(t)[0], minlength=len(t)) for t in texts), pa.int64())
+
+
 class Index:
     """An index kept under ``root``; ``columns`` are what is searched, ``keep`` the further columns that rows show."""
 
@@ -99,7 +137,7 @@ class Index:
 
     def _written(self, rows: DataFrame, gone: DataFrame | None) -> dict[str, str]:
         shown = [F.col(self.key).cast("bigint").alias("id"), *self.columns, *self.keep]
-        size = reduce(Column.__add__, (n_terms(F.col(c)) for c in self.columns)).cast("bigint")
+        size = _n_tokens(*(F.col(c).cast("string") for c in self.columns))
         entries = rows.where(F.col(self.key).isNotNull()).select(*shown, size.alias("tokens"), F.lit(False).alias("gone"))
         if gone is not None:
             entries = entries.unionByName(gone.select(F.col(self.key).cast("bigint").alias("id"), F.lit(True).alias("gone")), allowMissingColumns=True)

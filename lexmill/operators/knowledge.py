@@ -16,8 +16,9 @@ COLUMNS = ["content", "source_name", "source_type"]
 
 
 def _entries(df: DataFrame, number: int, key: str, case: Column, kind: Column, name: Column, content: Column) -> DataFrame:
-    d = df.select((F.col(key) + F.lit(number * SOURCE_STEP)).cast("bigint").alias("id"), case.cast("bigint").alias("case_id"), kind.alias("source_type"), name.alias("source_name"), content.alias("content"))
-    return d.where(F.length(F.btrim("content")) >= LEAST).withColumn("print", F.md5(F.col("content").cast("binary")))
+    # out of an array of one, a content is made once, not once more for each use of it
+    d = df.select((F.col(key) + F.lit(number * SOURCE_STEP)).cast("bigint").alias("id"), case.cast("bigint").alias("case_id"), kind.alias("source_type"), name.alias("source_name"), F.explode(F.array(content)).alias("content"))
+    return d.where(F.length(F.btrim("content")) >= LEAST).withColumn("print", F.unhex(F.md5(F.col("content").cast("binary"))))
 
 
 def _first(df: DataFrame, *by: str) -> DataFrame:
@@ -35,15 +36,17 @@ def entries(docs: DataFrame, mails: DataFrame, cases: DataFrame, files: DataFram
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     kind = F.when(F.endswith("filename", F.lit(".docx")), "docx").otherwise("pdf")
-    own = _first(_entries(docs, 0, "id", F.col("case_id"), kind, F.col("filename"), F.col("text")), "case_id", "print")
+    every = _entries(docs, 0, "id", F.col("case_id"), kind, F.col("filename"), F.col("text"))
+    own = _first(every, "case_id", "print")
     # what is compared is small and read twice; texts stay where they are
-    prints = staged(own.select("print").distinct(), "prints")
+    prints = staged(every.select("print").distinct(), "prints")
     said = F.concat(F.lit("Subject: "), text("subject"), F.lit("\nFrom: "), text("sender"), F.lit("\n\n"), text("body"))
     name = F.concat(F.lit("email_"), F.col("id").cast("string"), F.lit("_"), F.left(text("subject"), F.lit(50)))
     sent = _first(_entries(mails, 1, "id", F.col("case_id"), F.lit("email"), name, said), "print").join(prints, "print", "left_anti")
     lines = F.array(*(F.when(filled_trim(F.col(c)), F.concat(F.lit(f"{c}: "), F.col(c))) for c in fields))
     about = F.array_join(lines, "\n")  # blank ones are null and left out
-    known = cases.select("id", about.alias("about")).where("about <> ''")
+    # fields that are made of others are made once
+    known = cases.select("id", F.inline(F.array(F.struct(*fields)))).select("id", about.alias("about")).where("about <> ''")
     known = known.select((F.col("id") + F.lit(2 * SOURCE_STEP)).alias("id"), F.col("id").alias("case_id"), F.lit("db_field").alias("source_type"), F.concat(F.lit("case_"), F.col("id").cast("string"), F.lit("_fields")).alias("source_name"), F.col("about").alias("content"))
     kept = _first(_entries(files, 3, "id", F.col("case_id"), F.lit("email_md"), F.col("filename"), F.col("text")), "print")
     kept = kept.join(prints.unionByName(sent.select("print")), "print", "left_anti")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,39 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(strip_accents(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def n_terms(text: Column) -> Column:
-    """How many terms a text has."""
-    return F.regexp_count(F.lower(strip_accents(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"))
+#: By byte of UTF-8, whether it may be of a term: ASCII letters and digits, and all that is not ASCII.
+_WORD = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+
+
+def tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """(row, place in the row, number, terms by number) of all terms of some texts, in order; those of ``terms``. What stands between ASCII characters that no term has is folded once, however often it comes."""
+    texts = texts.cast(pa.string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    word = _WORD[data]
+    if b"\xce\xa3" in data.tobytes():
+        # how a capital sigma is lowered depends on what is around it, so such a text stays in one piece
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero((data[:-1] == 0xCE) & (data[1:] == 0xA3)), "right") - 1):
+            word[ends[i] : ends[i + 1]] = True
+    cut = np.zeros(len(data) + 1, bool)
+    cut[ends] = True
+    s = np.flatnonzero(word & (cut[:-1] | ~np.r_[False, word[:-1]]))
+    e = np.flatnonzero(word & (cut[1:] | ~np.r_[word[1:], False])) + 1
+    if not len(s):
+        return *(np.zeros(0, np.int64) for _ in range(3)), pa.array([], pa.string())
+    # the pieces and, between them, what is left out
+    pieces = pa.StringArray.from_buffers(2 * len(s) - 1, pa.py_buffer(np.stack([s, e], 1).ravel().astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+    pieces = pieces.take(pa.array(np.arange(0, 2 * len(s), 2))).dictionary_encode()
+    found = [[x.lower()] if x.isascii() and x.isalnum() else _TERMS.findall(x.translate(_FOLD).lower()) for x in pieces.dictionary.to_pylist()]
+    counts = np.array([len(x) for x in found], np.int64)
+    coded = pa.array([t for x in found for t in x], pa.string()).dictionary_encode()
+    first, of = np.cumsum(counts) - counts, pieces.indices.to_numpy()
+    n = counts[of]
+    row = np.repeat(np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(s, ends))), n)
+    numbers = coded.indices.to_numpy()[np.repeat(first[of], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+    per = np.bincount(row, minlength=len(texts))
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per), numbers, coded.dictionary
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:

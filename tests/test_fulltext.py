@@ -116,6 +116,48 @@ def test_postings_are_blocks(spark):
     assert got == sorted((w, i, k) for i, x in rows for k, w in enumerate(x.split()))
 
 
+def test_postings_are_blocks_of_more_than_a_batch(spark):
+    # a block holds what a task reads together, however it comes in
+    rows = [(5000 - i * 7, "uno dos uno" if i % 2 else "dos tres", "uno" if i % 3 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, texto string, titulo string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        blocks = fulltext.postings(df, "id", ["texto", "titulo"])
+        assert blocks.count() == 3 and dict(blocks.dtypes)["places"] == "binary"
+        got = sorted((r["term"], r["id"], r["position"]) for r in fulltext._each(blocks, "term").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((w, i, k + c * fulltext.COLUMN_STEP) for i, *texts in rows for c, x in enumerate(texts) for k, w in enumerate((x or "").split()))
+
+
+def test_tokens_equal_terms(spark):
+    import pyarrow as pa
+
+    from lexmill.operators import search
+
+    texts = [None, "", " ", "Año ÑANDÚ,x-1_b", "ΑΣ'Α ΟΔΟΣ", "ΑΣ", "İstanbul ǅ", "a", "...", "日本 語x", "e\u0301 x\u00aa", "x" * 70, "a\nb\0c", "uno dos Uno", "½ ²3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = [r["w"] for r in df.orderBy("i").select(search.terms(df["t"]).alias("w")).collect()]
+    column = pa.array(["skipped", *texts], pa.string())[1:]
+    row, place, number, known = search.tokens(column)
+    got = [[] for _ in texts]
+    for r, k, t in zip(row.tolist(), place.tolist(), number.tolist(), strict=True):
+        assert k == len(got[r])
+        got[r].append(known[t].as_py())
+    assert got == want
+    assert df.select("i", fulltext._n_tokens("t", "t").alias("n")).orderBy("i").toArrow().column("n").to_pylist() == [2 * len(w) for w in want]
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values, n = np.r_[0, 127, 128, 2**62, rng.integers(0, 1 << 40, 995), 5], np.array([1, 4, 990, 5])
+    assert (fulltext.unpacked(fulltext.packed(values, n)) == values).all()
+    assert [fulltext.unpacked(fulltext.packed(values, n)[i : i + 1]).size for i in range(4)] == n.tolist()
+    assert not len(fulltext.unpacked(fulltext.packed(values[:0], n[:0])))
+
+
 @pytest.mark.parametrize("wrong", ["(uno", "uno )", "AND uno", "NEAR(uno, dos)", "uno OR", '"uno'])
 def test_queries_without_meaning(wrong):
     with pytest.raises(ValueError):
