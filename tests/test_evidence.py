@@ -226,6 +226,18 @@ def test_texts_are_dealt_out_once(spark, found):
     assert "start" not in joins[0] and "hash" not in joins[0] and any("hash" in line for line in joins[1:]) and "__tokens" not in plan
 
 
+def test_a_vault_is_dealt_out_once(spark):
+    spans = spark.createDataFrame([(1, 1, 5, 9, "CC", "123", "h1"), (2, 1, 0, 3, "CC", "123", "h1"), (2, 1, 9, 12, "CC", "456", "h2"), (3, 2, 0, 3, "PERSON", "Ana", "h3")], "id bigint, case_id bigint, start int, end int, kind string, value string, hash string")
+    vault = redaction.minted(spans, "id", "case_id", b"k", counted=True)
+    shuffles = lambda d: sum("Exchange" in line for line in d._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert shuffles(vault) == 1
+    assert sorted(tuple(r) for r in vault.collect()) == [(1, "CC", "h1", "123", "[CC_####123_1]"), (1, "CC", "h2", "456", "[CC_####456_2]"), (2, "PERSON", "h3", "Ana", "[ACCIONANTE_1]")]
+    # and once more to be read by token, beside the texts that it meets
+    texts = spark.createDataFrame([(1, 1, "a [CC_####456_2]"), (2, 3, "[CC_####456_2]")], "id bigint, case_id bigint, said string")
+    back = redaction.restored(texts, "case_id", "said", vault)
+    assert shuffles(back) == 3 and sorted(tuple(r) for r in back.collect()) == [(1, 1, "a 456"), (2, 3, "[CC_####456_2]")]
+
+
 def test_texts_are_searched_together(monkeypatch):
     import pyarrow as pa
 
